@@ -60,12 +60,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     best = salted.groupBy("digest", "norm").agg(F.max("rank").alias("rank"), F.sum("size").alias("size"))
     # Which of the texts of one digest: always 0, unless SHA-256 collides.
     best = best.select("digest", "rank", "size", F.xxhash64("norm").alias("check"))
-    groups = (
-        salted.select("salt", "digest", F.xxhash64("norm").alias("check"))
-        .join(best, ["digest", "check"])
-        .select("salt", "digest", "check", "rank", "size")
-    )
+    # The way back needs no texts: which salts a text has comes from its members' keys alone.
     members = rows.select("id", "salt", "digest", F.xxhash64("norm").alias("check"))
+    groups = members.select("salt", "digest", "check").distinct().join(best, ["digest", "check"])
     offset = F.expr(f"rank % cast({RADIX} as decimal(21,0))")
     joined = members.join(groups, ["salt", "digest", "check"]).withColumn(
         "keep",
