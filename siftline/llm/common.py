@@ -47,3 +47,10 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 def salt(column: str, ways: int):
     """A salt in [0, ways) from a row's own id, so that a task that runs again deals rows alike."""
     return F.pmod(F.xxhash64(F.col(column)), F.lit(ways)).cast("int")
+
+
+def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
+    """Bounds the rows of an Arrow batch, so that a batch of very long texts still fits a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
+        spark.conf.set(key, str(rows))

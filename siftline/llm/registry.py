@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import chat, exact_dedup, ngram_join, packing, token_file, warc
 
 QUERIES = {
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op5_warc": warc.op5_warc,
+    "op6_chat_format": chat.op6_chat_format,
+    "op7_ngram_join": ngram_join.op7_ngram_join,
+    "op8_token_file": token_file.op8_token_file,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
 ORACLES = {
+    "op5_warc": warc.ORACLE,
+    "op6_chat_format": chat.ORACLE,
+    "op7_ngram_join": ngram_join.ORACLE,
     "op10_exact_dedup": exact_dedup.ORACLE,
 }
