@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, ngram_join, packing, token_file, warc
+from . import chat, embedding_join, exact_dedup, ngram_join, packing, token_file, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_embedding_dedup": embedding_join.op4_embedding_dedup,
     "op5_warc": warc.op5_warc,
     "op6_chat_format": chat.op6_chat_format,
     "op7_ngram_join": ngram_join.op7_ngram_join,
