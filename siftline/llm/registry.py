@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_join, exact_dedup, ngram_join, packing, token_file, warc
+from . import chat, embedding_join, exact_dedup, ngram_join, packing, quality, token_file, warc
 
 QUERIES = {
     "op3_best_fit_packing": packing.op3_best_fit_packing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_chat_format": chat.op6_chat_format,
     "op7_ngram_join": ngram_join.op7_ngram_join,
     "op8_token_file": token_file.op8_token_file,
+    "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
