@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat, embedding_join, exact_dedup, ngram_join, packing, pieces, quality, token_file, warc
+from . import chat, embedding_join, exact_dedup, html_extract, ngram_join, packing, pieces, quality, token_file, warc
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_sentencepiece": pieces.op2_sentencepiece,
     "op3_best_fit_packing": packing.op3_best_fit_packing,
     "op4_embedding_dedup": embedding_join.op4_embedding_dedup,
