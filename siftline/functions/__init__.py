@@ -1,0 +1 @@
+"""Scalar column functions: every one maps columns to a column and stays in the JVM."""
