@@ -84,22 +84,38 @@ def encode_blocks(ids: np.ndarray) -> list[bytes]:
         part = above[rows]
         odd = part >> np.uint32(w) != 0 if w < 32 else np.zeros(part.shape, dtype=bool)
         packed = _pack(part & np.uint32((1 << w) - 1), w) if w else np.zeros((len(rows), 0), dtype=np.uint32)
-        for i, row in enumerate(rows):
-            at = np.flatnonzero(odd[i])
-            head = int(low[row]).to_bytes(4, "little") + bytes([w, 0]) + len(at).to_bytes(2, "little")
-            out[row] = head + packed[i].tobytes() + at.astype("<u2").tobytes() + part[i][at].astype("<u4").tobytes()
+        heads = np.zeros(len(rows), np.dtype([("low", "<u4"), ("width", "u1"), ("zero", "u1"), ("odd", "<u2")]))
+        heads["low"], heads["width"], heads["odd"] = low[rows], w, odd.sum(axis=1)
+        head, body = heads.tobytes(), packed.tobytes()
+        size = 4 * packed.shape[1]
+        which, places = np.nonzero(odd)
+        ends = np.concatenate([[0], np.cumsum(heads["odd"], dtype=np.int64)]).tolist()
+        places, values_ = places.astype("<u2").tobytes(), part[which, places].astype("<u4").tobytes()
+        for i, row in enumerate(rows.tolist()):
+            a, b = ends[i], ends[i + 1]
+            out[row] = head[8 * i : 8 * i + 8] + body[size * i : size * (i + 1)] + places[2 * a : 2 * b] + values_[4 * a : 4 * b]
     return out
 
 
-def decode_block(data: bytes) -> np.ndarray:
-    low, width, odd = int.from_bytes(data[:4], "little"), data[4], int.from_bytes(data[6:8], "little")
-    end = 8 + 4 * LANES * width
-    out = np.zeros((1, BLOCK), dtype=np.uint32)
-    if width:
-        out = _unpack(np.frombuffer(data, "<u4", LANES * width, 8).reshape(1, -1), width)
-    if odd:
-        out[0, np.frombuffer(data, "<u2", odd, end)] = np.frombuffer(data, "<u4", odd, end + 2 * odd)
-    return (out + np.uint32(low)).reshape(-1)
+def decode_blocks(data: bytes, starts: np.ndarray) -> np.ndarray:
+    """The ids of a run of blocks; ``starts`` (one more than blocks) count from the beginning of ``data``."""
+    raw = np.frombuffer(data, np.uint8)
+    at = starts[:-1].astype(np.int64)
+    heads = raw[at[:, None] + np.arange(8)].copy().view(np.dtype([("low", "<u4"), ("width", "u1"), ("zero", "u1"), ("odd", "<u2")]))[:, 0]
+    out = np.zeros((len(at), BLOCK), np.uint32)
+    for width in np.unique(heads["width"]):
+        w, rows = int(width), np.flatnonzero(heads["width"] == width)
+        if w:
+            words = raw[(at[rows] + 8)[:, None] + np.arange(4 * LANES * w)].copy().view("<u4")
+            out[rows] = _unpack(words, w)
+    odd = heads["odd"].astype(np.int64)
+    if odd.any():
+        rows = np.repeat(np.arange(len(at)), odd)
+        k = np.arange(len(rows)) - np.repeat(np.cumsum(odd) - odd, odd)
+        first = (at + 8 + 4 * LANES * heads["width"].astype(np.int64))[rows]
+        place = raw[(first + 2 * k)[:, None] + np.arange(2)].copy().view("<u2")[:, 0]
+        out[rows, place] = raw[(first + 2 * odd[rows] + 4 * k)[:, None] + np.arange(4)].copy().view("<u4")[:, 0]
+    return (out + heads["low"][:, None]).reshape(-1)
 
 
 class Writer:
@@ -165,8 +181,7 @@ def read_documents(source, blocks: int = 512) -> Iterator[tuple[int | None, int,
     for first in range(0, n_blocks, blocks):
         last = min(first + blocks, n_blocks)
         raw = source.read_at(int(starts[last] - starts[first]), int(starts[first]))
-        base = int(starts[first])
-        got = np.concatenate([decode_block(raw[int(starts[b]) - base : int(starts[b + 1]) - base]) for b in range(first, last)])
+        got = decode_blocks(raw, starts[first : last + 1] - starts[first])
         low, high = first * BLOCK, min(last * BLOCK, ids)
         while doc < n_docs and docs[doc] < high:
             parts.append(got[max(docs[doc], low) - low : min(docs[doc + 1], high) - low])

@@ -10,17 +10,18 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 
-#: Words whose ids a worker keeps; beyond it the memory is emptied and filled anew. Only speed depends on it.
-KEPT_WORDS = 600_000
+#: Words of a generation that a worker keeps. A full one is kept as the old one until the next is full; words met
+#: again move on. Only speed depends on it.
+KEPT_WORDS = 700_000
 #: Words longer than this are not kept.
 LONGEST_KEPT = 64
 
-# Two white-space characters in a row, others than blank and line feed, or any at the ends.
-_ODD = re.compile(r"\s\s|[^\S \n]|^\s|\s$")
 # Letters, then punctuation that neither joins letters nor starts a contraction.
 _TAIL = re.compile(r"([\n\r]?[^\W\d_]+)([.,;:!?|$%&*#)]+)")
 
@@ -32,11 +33,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Byte-level vocabularies write a byte as itself where it is printable Latin-1, else as U+0100 and on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
 class WordIds:
     """Ids, as bytes of little-endian unsigned 32-bit integers, of whole texts.
 
     A key of the memory is a word; ``\\n`` before it stands for the line feed before the word, ``\\r`` for
-    nothing before it (as at a text's start), and a bare word has a blank before it.
+    nothing before it (as at a text's start), and a bare word has a blank before it. Words of letters
+    alone are one unit of these vocabularies and go straight to the library's model, others through all of it.
     Strings of special tokens inside a text are ordinary text.
     """
 
@@ -46,31 +53,63 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # Whether a blank is part of the word behind it, or dropped.
+        plain, blank, self.line = self._library(["a", " a", "\n"])
+        self.lead = chr(_BYTES[32]) if plain != blank else ""
 
     def _library(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False) if texts else []
-        return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+        flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
+        ends = list(accumulate(map(len, found), initial=0))
+        return [flat[4 * a : 4 * b] for a, b in pairwise(ends)]
 
     def _learn(self, words: set[str]) -> None:
-        known = self.known
+        known, tokenize, normalizer = self.known, self.model.tokenize, self.normalizer
         parts = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
         plain = words.difference(parts).union(a for a, _ in parts.values()).union("\r" + b for _, b in parts.values())
-        ask = list(plain.difference(known))
-        said = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in ask]
-        known.update(zip(ask, self._library(said), strict=True))
+        rest = []
+        for key in plain.difference(known):
+            mark = key[:1]
+            word = key[1:] if mark in "\r\n" else key
+            if normalizer and word.isalpha():
+                word = normalizer.normalize_str(word)
+            if not word.isalpha():
+                rest.append(key)
+                continue
+            said = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
+            said = said if mark in "\r\n" else self.lead + said
+            ids = array("I", [t.id for t in tokenize(said)]).tobytes()
+            known[key] = self.line + ids if mark == "\n" else ids
+        said = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in rest]
+        known.update(zip(rest, self._library(said), strict=True))
         known.update((w, known[a] + known["\r" + b]) for w, (a, b) in parts.items())
 
+    @staticmethod
+    def _cut(text: str) -> list[str] | None:
+        """The text's words as keys; None if its white space is not single blanks and line feeds between words."""
+        words = ("\r" + text).replace("\n", " \n").split(" ")
+        if not text or "" in words or "\n" in words or words[0] == "\r":
+            return None
+        # Other white space would be missing from what splitting at any white space leaves.
+        if sum(map(len, text.split())) != len(text) - text.count(" ") - text.count("\n"):
+            return None
+        return words
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        odd = [bool(_ODD.search(t)) for t in texts]
-        cut = [("\r" + t).replace("\n", " \n").split(" ") if not o and t else [] for t, o in zip(texts, odd, strict=True)]
-        new = set().union(*cut)
+        cut = [self._cut(t) for t in texts]
+        used = set().union(*(words for words in cut if words))
+        new = used.difference(self.known)
         if len(self.known) + len(new) > KEPT_WORDS:
-            self.known = {}
-        self._learn(new.difference(self.known))
+            self.known, self.old, new = {}, self.known, used
+        again = self.old.keys() & new
+        self.known.update((w, self.old[w]) for w in again)
+        self._learn(new - again)
         known = self.known
-        whole = iter(self._library([t for t, o in zip(texts, odd, strict=True) if o]))
-        out = [next(whole) if o else b"".join(map(known.__getitem__, words)) for o, words in zip(odd, cut, strict=True)]
+        whole = iter(self._library([t for t, words in zip(texts, cut, strict=True) if words is None]))
+        out = [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in cut]
         for w in (w for w in new if len(w) > LONGEST_KEPT):
             known.pop(w, None)
         return out
