@@ -144,3 +144,42 @@ def matches_pattern(value: Column, pattern: str) -> Column:
     except re.error:
         return value.rlike(glob_regex(pattern))
     return value.rlike(glob_regex(pattern)) | value.rlike(pattern)
+
+
+def identifiers(*texts: Column) -> Column:
+    """Distinct vulnerability ids in the texts, GHSA first, then in order of appearance."""
+    every = F.concat(*(F.regexp_extract_all(F.upper(F.coalesce(t, F.lit(""))), F.lit(r"(CVE-\d{4}-\d{4,}|GHSA(?:-[0-9A-Z]{4}){3}|GO-\d{4}-\d{4,})"), 1) for t in texts))
+    distinct = F.array_distinct(every)
+    first = F.filter(distinct, lambda i: F.startswith(i, F.lit("GHSA")))
+    return F.concat(first, F.filter(distinct, lambda i: ~F.startswith(i, F.lit("GHSA"))))
+
+
+def repository_path(uri: Column, root: Column) -> Column:
+    """A file address made relative to the repository: decoded, ``.`` and ``..`` folded; null for what lies outside."""
+    path = F.coalesce(F.try_url_decode(F.replace(F.regexp_replace(uri, "^file://", ""), F.lit("+"), F.lit("%2B"))), uri)
+    inside = F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substr(path, F.length(root) + 2)).when(~F.startswith(path, F.lit("/")), path)
+    start = F.array().cast("array<string>")
+    up = lambda acc: F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.size(acc) - 1))
+    folded = F.aggregate(F.split(inside, "/"), start, lambda acc, p: F.when(p == "..", up(acc)).when(p.isin(".", ""), acc).otherwise(F.concat(acc, F.array(p))))
+    return F.when(folded.isNotNull() & (F.size(folded) > 0), F.array_join(folded, "/"))
+
+
+def flaw_paragraph(summary: Column, details: Column, most: int = 420) -> Column:
+    """The summary and the details without a repeated summary, cut behind the last sentence that fits."""
+    rest = F.when(F.startswith(details, summary), F.trim(F.substr(details, F.length(summary) + 1))).otherwise(details)
+    whole = F.trim(F.concat_ws(" ", summary, rest))
+    head = F.substring(whole, 1, most)
+    end = F.length(head) - F.locate(".", F.reverse(head)) + 1
+    return F.when(F.length(whole) <= most, whole).when(F.contains(head, F.lit(".")), F.substr(head, F.lit(1), end)).otherwise(head)
+
+
+def attack_conditions(text: Column) -> Column:
+    """Readable conditions of the CVSS vector found anywhere in a text; empty without one."""
+    vector = F.regexp_extract(text, r"(CVSS:\d\.\d(?:/[A-Za-z]{1,3}:[A-Za-z])+)", 1)
+    # What the metrics say.
+    words = {
+        "AV:N": "over the network", "AV:A": "from the adjacent network", "AV:L": "locally", "AV:P": "with physical access", "AC:L": "without special conditions", "AC:H": "under special conditions",
+        "PR:N": "without an account", "PR:L": "with an ordinary account", "PR:H": "with an administrator's account", "UI:N": "without the user", "UI:R": "with the user's help",
+    }
+    said = F.transform(F.split(vector, "/"), lambda m: lookup(words, m))
+    return F.filter(said, lambda x: x.isNotNull())
