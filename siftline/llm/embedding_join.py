@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import salt, shared_dir, table, written
+from .common import bounded_sample, salt, shared_dir, table, written
 from .components import connected_components
 
 #: Vectors that the quantisers are fitted on, at most.
@@ -127,7 +127,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
     salted = valid.groupBy("salt", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"))
     classes = written(salted.groupBy("v").agg(F.min("low").alias("rep"), F.sum("weight").alias("weight")), f"{folder}/classes")
 
-    sample = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()["v"].to_list()
+    sample = bounded_sample(classes, ["rep"], ["v"], SAMPLE)["v"].to_list()
     if not sample:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
     size = max(sorted({len(v) for v in sample}), key=lambda n: sum(len(v) == n for v in sample))

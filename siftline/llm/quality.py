@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, salt, shared_dir, table, written
+from .common import arrow_rows, bounded_sample, salt, shared_dir, table, written
 
 #: Labelled rows that the document classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -124,7 +124,7 @@ def quality_scores(
     )
     seen = written(_featured(rows), f"{folder}/features")
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
-    sample = seen.join(marks, "doc_id").orderBy(F.xxhash64("doc_id", "check"), "doc_id", "check", "y").limit(SAMPLE).select("x", "y").toPandas()
+    sample = bounded_sample(seen.join(marks, "doc_id"), ["doc_id", "check", "y"], ["x", "y"], SAMPLE)
     if len(sample):
         weights, prior = fit(np.stack(sample["x"].to_list()), sample["y"].to_numpy())
     else:
