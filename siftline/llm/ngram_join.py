@@ -5,8 +5,8 @@ Exact, without a pass over all pairs:
 1. Texts with the same shingle set are one *class*; its smallest id stands for it.
 2. Blocks. Sizes fall into bands. Two linked sets of a band differ in at most k shingles, so if all shingles are
    dealt to k + 1 + s segments by hash, at least s + 1 segments of the two are the same. Each class sends
-   one key per segment; linked classes share a key. Common passages hardly matter: a key is a
-   whole segment, drawn from all over the text. Classes that share keys, directly or by others, form a cluster.
+   one key per segment. A class of which fewer than s + 1 segments occur elsewhere cannot be linked and
+   goes; that is what keeps texts apart that only share passages. The others form clusters by their common keys.
 3. Trees. A cluster's sets go to one task, or, beyond ``CHUNK`` shingles, in chunks of which each pair goes
    to one task. A signature tree holds OR-combined bitmaps and size ranges of its sets; a dual traversal
    from the root drops node pairs whose largest possible overlap is too small, and those whose sets are
@@ -45,41 +45,53 @@ def _bands(num: int, den: int, words_most: int = 1 << 31) -> list[tuple[int, int
         high = max(low, int(low * BAND))
         # |x| + |y| <= 2 * high and overlap >= num / (num + den) of that sum.
         most = (den - num) * 2 * high // (den + num)
-        spare = max(1, most // 8)
+        spare = max(1, most // 2)
         out.append((low, high, most + 1 + spare if most else 0, spare))
         low = high + 1
     return out
 
 
-def block_keys(hashes: np.ndarray, bands: list[tuple[int, int, int, int]], lows: np.ndarray, num: int, den: int) -> np.ndarray:
-    """The keys of a set: one per segment of its own band and, if its size allows links into it, of the next.
+def _segments(hashes: np.ndarray, bands: list[tuple[int, int, int, int]], lows: np.ndarray, num: int, den: int):
+    """(band, its segments, spare ones, the segment of each shingle) for a set's own band and, if its size allows links into it, the next.
 
-    A segment of fewer than two shingles says little. If a set has no more of them than there are spare
-    segments, they are left out: at least one other segment is still shared with every linked set.
-    Sets of a band that allows no difference have no keys, as equal sets are one class already.
+    A band that allows no difference has no segments, as equal sets are one class.
     """
     n = len(hashes)
-    own = int(np.searchsorted(lows, n, side="right")) - 1
-    found = []
+    own = int(np.searchsorted(lows, n, side="right")) - 1 if n else 0
     for band in (own, own + 1):
         low, _, segments, spare = bands[band]
-        if not segments or (band > own and n * den < num * low):
-            continue
-        segment = (mixed(hashes + np.uint64(band)) >> np.uint64(33)) % np.uint64(segments)
+        if n and segments and (band == own or n * den >= num * low):
+            yield band, segments, spare, (mixed(hashes + np.uint64(band)) >> np.uint64(33)) % np.uint64(segments)
+
+
+def shared_needs(hashes: np.ndarray, bands: list[tuple[int, int, int, int]], lows: np.ndarray, num: int, den: int) -> dict[int, int]:
+    """For each parity of a band, how many keys a set shares with every set it is linked with.
+
+    Empty segments are the same everywhere. If a set has no more of them than there are spare segments they are left
+    out and that many fewer keys are shared; a set of mostly empty segments sends keys for them, too, and shares
+    at least one.
+    """
+    out = {}
+    for band, segments, spare, segment in _segments(hashes, bands, lows, num, den):
+        empty = segments - len(np.unique(segment))
+        out[band % 2] = spare + 1 - empty if empty <= spare else 1
+    return out
+
+
+def block_keys(hashes: np.ndarray, bands: list[tuple[int, int, int, int]], lows: np.ndarray, num: int, den: int) -> np.ndarray:
+    """A set's keys, one per segment; the lowest bit is the parity of the band."""
+    found = [np.zeros(0, np.uint64)]
+    for band, segments, spare, segment in _segments(hashes, bands, lows, num, den):
         order = np.argsort(segment.astype(np.uint16) if segments < 65536 else segment, kind="stable")
         segment = segment[order]
         cuts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-        sums = np.add.reduceat(mixed(hashes[order] + np.uint64(7)), cuts)
-        counts = np.diff(np.append(cuts, n))
-        names = segment[cuts]
-        empty = segments - len(cuts)
-        if empty + int((counts == 1).sum()) <= spare:
-            sums, names = sums[counts > 1], names[counts > 1]
-        elif empty:
+        sums, names = np.add.reduceat(mixed(hashes[order] + np.uint64(7)), cuts), segment[cuts]
+        if segments - len(cuts) > spare:
             missing = np.setdiff1d(np.arange(segments, dtype=np.uint64), names)
             sums, names = np.concatenate([sums, np.zeros(len(missing), np.uint64)]), np.concatenate([names, missing])
-        found.append(mixed(sums ^ mixed(names * np.uint64(1024) + np.uint64(band))))
-    return np.concatenate(found) if found else np.zeros(0, np.uint64)
+        keys = mixed(sums ^ mixed(names * np.uint64(1024) + np.uint64(band)))
+        found.append((keys & ~np.uint64(1)) | np.uint64(band % 2))
+    return np.concatenate(found)
 
 
 class SignatureTree:
@@ -206,6 +218,8 @@ def _linked(tree: SignatureTree, rows_a: np.ndarray, rows_b: np.ndarray, keep: n
         return
     left, right = [tree.sets[r] for r in rows_a[at_a]], [tree.sets[r] for r in rows_b[at_b]]
     shared = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    if not len(shared):
+        return
     sides = []
     for side in (left, right):
         grid = np.zeros((len(side), len(shared)), np.float32)
@@ -249,20 +263,26 @@ def near_duplicates(
     bands = _bands(num, den)
     lows = np.asarray([b[0] for b in bands], np.int64)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scheme = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("keys", pa.list_(pa.int64()))])
+    scheme = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("need_0", pa.int32()), ("need_1", pa.int32())])
 
     def sets(batches):
         for batch in batches:
             for ids, texts in _in_calls(batch):
                 found = shingle_sets(texts, words)
-                keys = [block_keys(s, bands, lows, num, den) if len(s) else np.zeros(0, np.uint64) for s in found]
-                ends = np.concatenate([[0], np.cumsum([len(k) for k in keys])])
+                needs = [shared_needs(s, bands, lows, num, den) for s in found]
                 names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
-                flat = pa.array(np.concatenate(keys).view(np.int64))
                 arrays = [pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(names, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], schema=scheme)
+                arrays += [pa.array([n.get(band) for n in needs], pa.int32()) for band in (0, 1)]
+                yield pa.RecordBatch.from_arrays(arrays, schema=scheme)
+
+    def keys(batches):
+        for batch in batches:
+            for ids, texts in _in_calls(batch):
+                found = [block_keys(s, bands, lows, num, den) for s in shingle_sets(texts, words)]
+                reps = np.repeat(np.asarray(ids, np.int64), [len(k) for k in found])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(reps)], names=["key", "rep"])
 
-    seen = written(rows.mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, keys array<long>"), f"{folder}/sets")
+    seen = written(rows.mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, need_0 int, need_1 int"), f"{folder}/sets")
 
     # Classes of equal sets, by salted minima: no task meets more than a salt's share of one hot set.
     members = seen.where(F.col("doc_id").isNotNull() & F.col("set_id").isNotNull()).select("doc_id", "set_id", salt("doc_id", ways).alias("salt"))
@@ -271,11 +291,19 @@ def near_duplicates(
     of_class = members.join(salted.select("salt", "set_id").join(reps, "set_id"), ["salt", "set_id"])
     of_class = written(of_class.select("doc_id", "rep"), f"{folder}/classes")
 
-    # Blocks: of all classes with a key, each is tied to the smallest.
-    keyed = seen.where(F.size("keys") > 0).join(of_class.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct(), "doc_id", "left_semi")
-    keyed = keyed.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
-    first = F.first("rep").over(Window.partitionBy("key").orderBy("rep"))
-    ties = keyed.select("rep", first.alias("first")).where(F.col("rep") != F.col("first")).distinct()
+    # Blocks: only keys that another class has, too, and only classes with as many of those as a link takes.
+    classes = of_class.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
+    keyed = seen.where("need_0 is not null or need_1 is not null").join(classes, "doc_id", "left_semi")
+    sent = rows.join(keyed.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "key long, rep long")
+    by_key = Window.partitionBy("key").orderBy("rep")
+    near = F.coalesce(F.lag("rep").over(by_key) != F.col("rep"), F.lit(False)) | F.coalesce(F.lead("rep").over(by_key) != F.col("rep"), F.lit(False))
+    common = written(sent.withColumn("common", near).where("common").drop("common"), f"{folder}/keys")
+    band = F.col("key").bitwiseAND(F.lit(1)).alias("band")
+    counts = common.groupBy("rep", band).agg(F.count(F.lit(1)).alias("n"))
+    need = F.when(F.col("band") == 0, F.col("need_0")).otherwise(F.col("need_1"))
+    enough = counts.join(keyed.select(F.col("doc_id").alias("rep"), "need_0", "need_1"), "rep").where(F.col("n") >= need).select("rep", "band").distinct()
+    first = F.first("rep").over(by_key)
+    ties = common.withColumn("band", band).join(enough, ["rep", "band"]).select("rep", first.alias("first")).where(F.col("rep") != F.col("first")).distinct()
     clusters = connected_components(ties.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     clusters = written(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), f"{folder}/clusters")
 
