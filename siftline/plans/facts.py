@@ -244,3 +244,20 @@ def s27(spark, d):
 def s18(spark, d):
     out = verdicts(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("verdict") == "confirmed").alias("confirmed"))
     return out.select(F.to_json(F.struct("total", "confirmed")).alias("summary"))
+
+
+@query("p24_secret_redaction")
+def p24(spark, d):
+    from ..functions.fuzzy import redacted
+
+    return table(spark, d, "documents").select("doc_id", redacted(F.col("text")).alias("r")).select("doc_id", F.col("r.hidden").alias("hidden"), F.md5("r.text").alias("text_md5"))
+
+
+@query("j34_quote_grounding", "SELECT doc_id, true AS grounded FROM documents WHERE length(trim(text)) > 0")
+def j34(spark, d):
+    """Each document's own first line, with other white space and in lower case, is found in it again."""
+    from ..functions.fuzzy import grounded
+
+    quote = F.lower(F.concat(F.lit("  "), F.get(F.split(F.trim("text"), "\n"), F.lit(0))))
+    rows = table(spark, d, "documents").where(F.length(F.trim("text")) > 0)
+    return rows.select("doc_id", grounded(quote, F.col("text"), 0.85).alias("grounded"))

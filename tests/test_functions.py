@@ -99,3 +99,24 @@ def test_budget_skips_a_large_item_and_takes_a_later_small_one(spark):
     df = spark.createDataFrame(rows, "run string, score int, path string, n int, exempt boolean")
     got = {r.path: r.deferred for r in windows.greedy_budget(df, "run", "score", "path", "n", "exempt", 30.0, 10).collect()}
     assert got == {"a": False, "b": True, "c": False, "d": True, "e": False}
+
+
+def test_redaction(spark):
+    from siftline.functions.fuzzy import redacted
+
+    hide = lambda t: one(spark, redacted(F.lit(t).cast("string"))).asDict()
+    got = hide("key = 'aB3$kQ9zLm2pXw7R' # x")
+    assert got["hidden"] == 1 and "aB3$" not in got["text"] and got["text"].startswith("key = '<hidden: 16 characters, mixed")
+    for kept in ("key = 'aaaaaaaaaaaaaaaaaaaa'", "url: https://example.com/a1b2c3d4e5f6", "short = x1y2", "two words here"):
+        assert hide(kept) == {"text": kept, "hidden": 0}
+    assert hide(None) == {"text": None, "hidden": 0}
+
+
+def test_grounding(spark):
+    from siftline.functions.fuzzy import grounded
+
+    code = F.lit("def run(cmd):\n    return os.system(cmd)\n")
+    assert one(spark, grounded(F.lit("RETURN  os.system(cmd)"), code, 0.9))
+    assert one(spark, grounded(F.lit("return os.systen(cmd)"), code, 0.8))
+    assert not one(spark, grounded(F.lit("eval(request.args)"), code, 0.8))
+    assert not one(spark, grounded(F.lit(""), code, 0.8))
