@@ -55,9 +55,10 @@ def redact_secrets(texts: pd.Series) -> pd.DataFrame:
 
 
 def redacted(text: Column) -> Column:
-    """``redact_secrets``, asked only where an assignment of a long value can be."""
+    """``redact_secrets`` where an assignment of a long value can be; other texts reach Python as nulls."""
     plain = F.struct(text.alias("text"), F.lit(0).alias("hidden"))
-    return F.when(text.rlike(r"""[\w.\-]["']?\s*(=>|[:=])\s*["']?[^\s"',;]{16}"""), redact_secrets(text)).otherwise(plain)
+    maybe = text.rlike(r"""[\w.\-]["']?\s*(=>|[:=])\s*["']?[^\s"',;]{16}""")
+    return F.when(maybe, redact_secrets(F.when(maybe, text))).otherwise(plain)
 
 
 def similarity(quote: str, text: str) -> float:
@@ -75,7 +76,9 @@ def quote_similarity(quotes: pd.Series, texts: pd.Series) -> pd.Series:
 
 
 def grounded(quote: Column, text: Column, threshold: float) -> Column:
-    """Whether a quote stands in a text but for white space and case; only misses are measured for similarity."""
+    """Whether a quote stands in a text but for white space and case; only misses reach Python, other rows as nulls."""
     plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
     q, t = plain(quote), plain(text)
-    return F.when(q == "", False).when(F.contains(t, q), True).otherwise(F.coalesce(quote_similarity(q, t) >= threshold, F.lit(False)))
+    miss = (q != "") & ~F.contains(t, q)
+    near = quote_similarity(F.when(miss, q), F.when(miss, t)) >= threshold
+    return F.when(q == "", False).when(miss, F.coalesce(near, F.lit(False))).otherwise(F.contains(t, q))
