@@ -294,7 +294,8 @@ def near_duplicates(
     # Blocks: only keys that another class has, too, and only classes with as many of those as a link takes.
     classes = of_class.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
     keyed = seen.where("need_0 is not null or need_1 is not null").join(classes, "doc_id", "left_semi")
-    sent = rows.join(keyed.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "key long, rep long")
+    # Both joins with texts shuffle at every size: no plan for small inputs that large ones could not follow.
+    sent = rows.join(keyed.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "key long, rep long")
     by_key = Window.partitionBy("key").orderBy("rep")
     near = F.coalesce(F.lag("rep").over(by_key) != F.col("rep"), F.lit(False)) | F.coalesce(F.lead("rep").over(by_key) != F.col("rep"), F.lit(False))
     common = written(sent.withColumn("common", near).where("common").drop("common"), f"{folder}/keys")
@@ -316,7 +317,7 @@ def near_duplicates(
     plan = plan.select("doc_id", "cluster", "chunk", other.alias("other")).select(
         "doc_id", "cluster", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high")
     )
-    taken = rows.join(plan, "doc_id")
+    taken = rows.join(plan.hint("merge"), "doc_id")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", kind="stable")
