@@ -1,13 +1,14 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 1. Each task tokenises its documents, cuts long ones and packs its own pieces best-fit, the longest first.
-   Bins that are full or nearly full are final.
-2. Underfull bins become items themselves: each round deals them to an eighth of the tasks, which pack them
-   best-fit again, the fullest first, and emit what is nearly full by a bound that doubles every round.
-3. The last round is one task. Two bins that are at most half full always merge, so what reaches it is
-   bounded by the number of first-round tasks, not by the rows.
-
-Every round is written to the shared folder, so a bin is decided once even if tasks run again.
+   At most one bin of a task is at most half full then, as two such bins always merge.
+2. Bins above half full cannot merge with each other, so only those few bins of at most half can still move. The
+   driver packs them best-fit into each other and into the rest, of which it knows how many have each number of
+   free places: one row for each first-round task and one for each free size, however many pieces there are.
+3. For each bin that takes others one with as many free places is picked: which task gives how many follows from counts
+   by task and free size, and inside a task the first ones by number go. All other bins stay as they are.
+
+The first round is written to the shared folder, so a bin is decided once even if tasks run again.
 """
 
 from __future__ import annotations
@@ -15,19 +16,14 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
 from .common import arrow_rows, shared_dir, table, written
 
 CAPACITY = 2048
-#: Tasks of a round whose bins meet in one task of the next.
-FAN_IN = 8
-#: Free places up to which a bin of the first round counts as full; it doubles every round.
-NEARLY_FULL = CAPACITY // 64
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free int"
 
@@ -61,10 +57,46 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.asarray(fill, np.int64)
 
 
-def _sequence(round_no: int, bins: np.ndarray) -> np.ndarray:
+def residual_fit(small: np.ndarray, free: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """Bin and offset of each small item, and of which kind each of these bins is.
+
+    ``free`` counts the bins above half full by their free places. A bin's kind is (free places, how many such bins
+    were taken before it), or (-1, item) for an item that no bin fits. The longest items go first, each into the fullest bin.
+    """
+    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
+    whole, taken, kinds, left = dict(free), dict.fromkeys(free, 0), [], []
+    bins, offsets = np.zeros(len(small), np.int64), np.zeros(len(small), np.int64)
+    used = sum(1 << n for n, count in free.items() if n and count)
+    for i in np.argsort(-small, kind="stable").tolist():
+        size = int(small[i])
+        fitting = used >> size
+        if fitting:
+            at = size + (fitting & -fitting).bit_length() - 1
+            if stacks[at]:
+                b = stacks[at].pop()
+            else:
+                b = len(kinds)
+                kinds.append((at, taken[at]))
+                left.append(at)
+                taken[at], whole[at] = taken[at] + 1, whole[at] - 1
+            if not stacks[at] and not whole.get(at):
+                used ^= 1 << at
+        else:
+            b = len(kinds)
+            kinds.append((-1, i))
+            left.append(capacity)
+        bins[i], offsets[i] = b, capacity - left[b]
+        left[b] -= size
+        if left[b]:
+            used |= 1 << left[b]
+            stacks[left[b]].append(b)
+    return bins, offsets, kinds
+
+
+def _sequence(bins: np.ndarray) -> np.ndarray:
     from pyspark import TaskContext
 
-    return (round_no << 58) + (TaskContext.get().partitionId() << 32) + bins
+    return (TaskContext.get().partitionId() << 32) + bins
 
 
 def _first_round(tokenizer: str, end_id: int, capacity: int):
@@ -83,7 +115,7 @@ def _first_round(tokenizer: str, end_id: int, capacity: int):
         arrays = [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["piece"], pa.int32())]
         arrays += [pa.array(columns[n], pa.int64()) for n in ("start", "length", "ids_crc32")]
         free = (capacity - fill)[bins].astype(np.int32) if len(bins) else np.zeros(0, np.int32)
-        arrays += [pa.array(_sequence(0, bins)), pa.array(offset), pa.array(free)]
+        arrays += [pa.array(_sequence(bins)), pa.array(offset), pa.array(free)]
         whole = pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECES.split(", ")])
         for at in range(0, whole.num_rows, 8192):
             yield whole.slice(at, 8192)
@@ -91,24 +123,34 @@ def _first_round(tokenizer: str, end_id: int, capacity: int):
     return pack
 
 
-def _merge_round(round_no: int, capacity: int):
-    """Packs the bins that reach a task as items; their pieces move along."""
-
-    def pack(frames):
-        frames = [x for x in frames if len(x)]
-        if not frames:
-            return
-        rows = pd.concat(frames, ignore_index=True)
-        items, item = np.unique(rows["sequence_id"].to_numpy(), return_inverse=True)
-        sizes = np.zeros(len(items), np.int64)
-        sizes[item] = capacity - rows["free"].to_numpy()
-        bins, offset, fill = best_fit(sizes, capacity)
-        rows["offset"] += offset[item]
-        rows["free"] = (capacity - fill)[bins][item].astype(np.int32)
-        rows["sequence_id"] = _sequence(round_no, bins[item])
-        yield rows
-
-    return pack
+def _moves(packed: DataFrame, capacity: int) -> list[tuple[int, int, int]]:
+    """Bins of at most half that go into another: sequence_id, the other's, and where it begins there."""
+    bins = packed.where("offset = 0").select("sequence_id", "free", F.shiftright("sequence_id", 32).alias("task"))
+    is_small = F.col("free") * 2 >= capacity
+    small = bins.where(is_small).orderBy("sequence_id").collect()  # at most one of each first-round task
+    if not small:
+        return []
+    large = bins.where(~is_small & (F.col("free") > 0))
+    counts = {r["free"]: r["n"] for r in large.groupBy("free").agg(F.count(F.lit(1)).alias("n")).collect()}
+    ids, sizes = [r["sequence_id"] for r in small], np.asarray([capacity - r["free"] for r in small], np.int64)
+    fitted, offsets, kinds = residual_fit(sizes, counts, capacity)
+    need: dict[int, int] = {}
+    for free, _ in kinds:
+        need[free] = need.get(free, 0) + (free >= 0)
+    need.pop(-1, None)
+    picked: dict[tuple[int, int], int] = {}
+    if need:
+        spark = packed.sparkSession
+        wanted = F.broadcast(spark.createDataFrame(list(need.items()), "free int, need long"))  # at most one row for each free size
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("free").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        by_task = large.join(wanted, "free").groupBy("free", "task", "need").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
+        given = by_task.where("before < need").select("free", "task", "before", F.least("n", F.col("need") - F.col("before")).alias("give"))
+        rank = F.row_number().over(Window.partitionBy("free", "task").orderBy("sequence_id"))
+        chosen = large.join(given, ["free", "task"]).withColumn("rank", rank).where("rank <= give")
+        picked = {(r["free"], r["place"]): r["sequence_id"] for r in chosen.select("free", (F.col("before") + F.col("rank") - 1).alias("place"), "sequence_id").collect()}
+    into = [ids[place] if free < 0 else picked[free, place] for free, place in kinds]
+    moved = zip(ids, (into[b] for b in fitted.tolist()), offsets.tolist(), strict=True)
+    return [(own, other, at) for own, other, at in moved if own != other]
 
 
 def pack(
@@ -130,20 +172,12 @@ def pack(
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     folder = shared_dir(spark)
     packed = written(rows.mapInArrow(_first_round(tokenizer, end_id, capacity), _PIECES), f"{folder}/0")
-    tasks = max(1, rows.rdd.getNumPartitions())
-    nearly, round_no, done = NEARLY_FULL, 1, []
-    while True:
-        done.append(packed.where(F.col("free") <= nearly))
-        left = packed.where(F.col("free") > nearly)
-        tasks = -(-tasks // FAN_IN)
-        dealt = left.repartition(tasks, "sequence_id") if tasks > 1 else left.coalesce(1)
-        packed = written(dealt.mapInPandas(_merge_round(round_no, capacity), _PIECES), f"{folder}/{round_no}")
-        nearly, round_no = 2 * nearly, round_no + 1
-        if tasks == 1:
-            break
-    for part in done:
-        packed = packed.unionByName(part)
-    return packed.drop("free")
+    moves = _moves(packed, capacity)
+    if moves:
+        moved = spark.createDataFrame(moves, "sequence_id long, into long, at long")
+        packed = packed.join(F.broadcast(moved), "sequence_id", "left").withColumn("offset", F.col("offset") + F.coalesce("at", F.lit(0)))
+        packed = packed.withColumn("sequence_id", F.coalesce("into", "sequence_id"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

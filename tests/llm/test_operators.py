@@ -175,6 +175,40 @@ def test_best_fit_is_tight(capacity):
     assert (offsets + sizes <= fill[bins]).all()
 
 
+def test_packing_moves_only_bins_of_at_most_half(spark):
+    r = random.Random(7)
+    counts = [[r.randint(1100, 1900) for _ in range(12)] + [r.randint(50, 900)] for _ in range(8)]
+    rows = [(100 * t + k, "the " * n) for t, part in enumerate(counts) for k, n in enumerate(part)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(rows, 8), "doc_id long, text string")
+    got = packing.pack(df, WORD, end_id=0).collect()
+    spans = {}
+    for x in got:
+        spans.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for s in spans.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 2048
+    assert len(got) == len(rows) and sum(x.length > 1024 for x in got) == 96
+    # Bins that cannot pair stay with the task that made them instead of meeting in one.
+    assert len({x.sequence_id >> 32 for x in got if x.length > 1024}) == 8
+    assert len(spans) == len(packing.best_fit(np.asarray([x.length for x in got]), 2048)[2])
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_residual_fit_is_best_fit(seed):
+    r = np.random.default_rng(seed)
+    large, small = r.integers(51, 101, 60), r.integers(1, 51, 40)
+    free = {int(n): int(c) for n, c in zip(*np.unique(100 - large, return_counts=True), strict=True)}
+    bins, offsets, kinds = packing.residual_fit(small, free, 100)
+    opened = sum(n < 0 for n, _ in kinds)
+    assert len(large) + opened == len(packing.best_fit(np.concatenate([large, small]), 100)[2])
+    assert len(set(kinds)) == len(kinds) and all(place < free[n] for n, place in kinds if n >= 0)
+    for b, (n, _) in enumerate(kinds):
+        mine = sorted(zip(offsets[bins == b].tolist(), small[bins == b].tolist(), strict=True))
+        start = 0 if n < 0 else 100 - n
+        assert [o for o, _ in mine] == [start + sum(x for _, x in mine[:k]) for k in range(len(mine))]
+        assert start + sum(x for _, x in mine) <= 100
+
+
 def test_words_give_the_library_ids():
     r = random.Random(4)
     letters = "ab .,\n!'́é1½²Σ\t|$%"
