@@ -55,9 +55,13 @@ def redact_secrets(texts: pd.Series) -> pd.DataFrame:
 
 
 def redacted(text: Column) -> Column:
-    """``redact_secrets`` where an assignment of a long value can be; other texts reach Python as nulls."""
+    """``redact_secrets`` where an assignment of a long value can be; other texts reach Python as nulls.
+
+    The test admits more than ``_ASSIGNED`` and never less: any key, all white space that Python knows, and values with
+    commas and semicolons, which may be quoted.
+    """
     plain = F.struct(text.alias("text"), F.lit(0).alias("hidden"))
-    maybe = text.rlike(r"""[\w.\-]["']?\s*(=>|[:=])\s*["']?[^\s"',;]{16}""")
+    maybe = text.rlike(r"""[:=]>?[\s\p{Z}\x1c-\x1f\x85]*["']?[^\s"']{%d}""" % SECRET_LENGTH)
     return F.when(maybe, redact_secrets(F.when(maybe, text))).otherwise(plain)
 
 

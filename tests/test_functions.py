@@ -112,6 +112,21 @@ def test_redaction(spark):
     assert hide(None) == {"text": None, "hidden": 0}
 
 
+@pytest.mark.parametrize(
+    "secret",
+    [
+        'password="aB3;dE5,gH7jK9mN1pQ3sT5"', "clé=aB3dE5gH7jK9mN1pQ3sT5uV", "k²=aB3dE5gH7jK9mN1pQ3sT5uV", "k\u00a0:\u2003aB3dE5gH7jK9mN1pQ3sT5uV", "k\x1c=\x1daB3dE5gH7jK9mN1pQ3sT5uV",
+        "k=\x85'aB3,dE5;gH7jK9mN'", "k=>aB3dE5gH7jK9mN1pQ3sT5uV", "k = >aB3dE5gH7jK9mN1pQ3sT5uV", "'k' : 'aB3dE5gH7jK9mN1p'", "ключ=аБ3дЕ5жЗ7иК9мН1пР3",
+    ],
+)
+def test_redaction_sees_what_its_pattern_admits(spark, secret):
+    from siftline.functions.fuzzy import redact, redacted
+
+    want = redact(secret)
+    assert want[1] == 1
+    assert one(spark, redacted(F.lit(secret))).asDict() == {"text": want[0], "hidden": 1}
+
+
 def test_grounding(spark):
     from siftline.functions.fuzzy import grounded
 
