@@ -132,10 +132,10 @@ def f14(spark, d):
     """SELECT conv_id, count(*) >= 2 AND bool_or(role = 'user') AND bool_or(role = 'assistant') AS authoritative FROM conversations GROUP BY 1""",
 )
 def f15(spark, d):
-    trace = F.collect_list(F.struct(F.when(F.col("role") == "user", "source").when(F.col("role") == "assistant", "sink").otherwise("step").alias("role"), F.col("turn").alias("line")))
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(trace.alias("trace"))
-    has = lambda role: F.exists("trace", lambda s: (s["role"] == role) & s["line"].isNotNull())
-    return rows.select("conv_id", ((F.size("trace") >= 2) & has("source") & has("sink")).alias("authoritative"))
+    # Flags alone: no row holds a conversation.
+    has = lambda role: F.coalesce(F.bool_or((F.col("role") == role) & F.col("turn").isNotNull()), F.lit(False))
+    authoritative = (F.count(F.lit(1)) >= 2) & has("user") & has("assistant")
+    return table(spark, d, "conversations").groupBy("conv_id").agg(authoritative.alias("authoritative"))
 
 
 @query("f18_advisory_nature", "SELECT doc_id, regexp_matches(text, '(?i)\\bbackdoor(ed)?\\b|compromised (package|account|release)') AS supply_chain FROM documents")

@@ -186,11 +186,10 @@ def p27(spark, d):
        SELECT conv_id, CASE WHEN len(steps) <= 4 THEN steps ELSE steps[1:1] || steps[len(steps) - 2:] END AS steps, greatest(len(steps) - 4, 0) AS omitted FROM s""",
 )
 def p28(spark, d):
-    from ..operators.windows import trim_trace
+    from ..operators.windows import trim_traces
 
-    steps = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda s: s["role"])
-    rows = table(spark, d, "conversations").groupBy("conv_id").agg(steps.alias("steps"))
-    return rows.select("conv_id", trim_trace(F.col("steps"), 4).alias("steps"), F.greatest(F.size("steps") - 4, F.lit(0)).cast("long").alias("omitted"))
+    steps = trim_traces(table(spark, d, "conversations").select("conv_id", "turn", "role"), "conv_id", ["turn", "role"], "role", 4)
+    return steps.select("conv_id", "steps", F.greatest(F.col("n") - 4, F.lit(0)).alias("omitted"))
 
 
 @query(

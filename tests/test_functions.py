@@ -112,6 +112,56 @@ def test_redaction(spark):
     assert hide(None) == {"text": None, "hidden": 0}
 
 
+def _budget(rows, pct, least):
+    """The rule item by item: run, score, path, n, exempt to path's (deferred, overflowed)."""
+    want = {}
+    for run in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == run), key=lambda r: (-r[1], r[2]))
+        allowed, spent = max(1, round(sum(r[3] for r in mine) * pct / 100)), 0
+        over = sum(r[3] for r in mine if r[4]) > allowed
+        for _, score, path, n, exempt in mine:
+            later = not exempt and (score < least or spent + n > allowed)
+            spent += 0 if later else n
+            want[path] = (later, over)
+    return want
+
+
+def test_budget_streams_a_hot_run(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(k % 3 and 7 or k % 11, r.randint(0, 100), f"p{k:06d}", r.randint(1, 60), r.random() < 0.02) for k in range(30_000)]
+    rows += [(None, 50, "null-a", 1, False), (None, 40, "null-b", 9, False)]
+    df = spark.createDataFrame(rows, "run long, score int, path string, n int, exempt boolean").repartition(5)
+    out = windows.greedy_budget(df, "run", "score", "path", "n", "exempt", 30.0, 25)
+    assert out.columns == [*df.columns, "deferred", "overflowed"]
+    assert {x.path: (x.deferred, x.overflowed) for x in out.collect()} == _budget(rows, 30.0, 25)
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("limit", [1, 4, 7])
+def test_trimmed_traces_hold_few_steps(spark, limit):
+    rows = [(key, turn, f"s{turn}") for key, n in ((1, 1), (2, 4), (3, 5), (4, 5000), (None, 9)) for turn in range(n)]
+    df = spark.createDataFrame(rows, "k long, turn long, role string").repartition(7)
+    got = {x.k: (x.steps, x.n) for x in windows.trim_traces(df, "k", ["turn", "role"], "role", limit).collect()}
+    head = max(1, limit // 3)
+    for key in (1, 2, 3, 4, None):
+        steps = [role for k, _, role in rows if k == key]
+        cut = steps if len(steps) <= limit else steps[:head] + steps[len(steps) - (limit - head) :]
+        assert got[key] == (cut, len(steps))
+
+
+def test_trace_queries_collect_no_conversation(spark):
+    from siftline.plans.registry import QUERIES
+
+    from .compare import DATA
+
+    flags = QUERIES["f15_positioned_trace"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in flags
+    trimmed = QUERIES["p28_trace_trimming"](spark, str(DATA))._jdf.queryExecution().optimizedPlan().toString()
+    assert trimmed.count("WindowGroupLimit") == 2
+
+
 @pytest.mark.parametrize(
     "secret",
     [
