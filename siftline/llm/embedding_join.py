@@ -1,8 +1,9 @@
 """Embedding near-dedup with product quantisation over inverted lists.
 
 1. Equal vectors become one, with a weight.
-2. A coarse and a product quantiser are fitted on a bounded sample (``SAMPLE`` vectors, by hash order); every
-   vector is then put into its nearest list with a residual code for each of eight subspaces.
+2. A coarse and a product quantiser are fitted for each vector length on a bounded sample (``SAMPLE`` vectors, by hash
+   order, dealt to the lengths by their shares); every vector is then put into its nearest list among its
+   length's, with a residual code for each of eight subspaces. Lists are numbered through all lengths.
 3. Each vector visits its own list and every list whose border with its own is near enough (``REACH``). In a
    list, distances from visitors to members are sums of table look-ups by code; members whose sum is small
    enough go on to the exact cosine in double precision, which alone decides.
@@ -27,6 +28,8 @@ from .components import connected_components
 
 #: Vectors that the quantisers are fitted on, at most.
 SAMPLE = 20_000
+#: What each vector length gives to the sample at least, as far as it has so many.
+LEAST_SAMPLE = 64
 #: Vectors of a list on average, and the most lists.
 LIST_SIZE, MOST_LISTS = 2048, 2048
 SUBSPACES, CODES = 8, 256
@@ -105,6 +108,22 @@ def _spanning(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
         label = new
 
 
+def _indexes(classes: DataFrame) -> dict[int, tuple[int, Index]]:
+    """For each vector length the number of its first list and its quantisers.
+
+    A length gets its share of the sample and of the lists, but ``LEAST_SAMPLE`` vectors and one list at least.
+    """
+    counts = {r["size"]: r["n"] for r in classes.groupBy(F.size("v").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    total, indexes, first = sum(counts.values()), {}, 0
+    for size, n in sorted(counts.items()):
+        most = max(LEAST_SAMPLE, -(-SAMPLE * n // total))
+        sample = bounded_sample(classes.where(F.size("v") == size), ["rep"], ["v"], most)["v"].to_list()
+        index = Index(np.asarray(sample, np.float64), int(max(1, min(MOST_LISTS * n // total, n // LIST_SIZE))))
+        indexes[size] = first, index
+        first += len(index.centres)
+    return indexes
+
+
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_list()).astype(np.float64)
 
@@ -112,8 +131,8 @@ def _stack(column: pd.Series) -> np.ndarray:
 def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", ways: int = 64) -> DataFrame:
     """One row per row of ``vectors``: vec_id, n_links, component_id, kept (whether the row is its component's first).
 
-    Vectors that are null, empty or zero, or hold null or non-finite parts link with nothing, and neither do
-    those of another length than the sample's most frequent one; a row without an id links with nothing
+    Vectors that are null, empty or zero, or hold null or non-finite parts link with nothing; vectors of different
+    lengths do not link with each other. A row without an id links with nothing
     and its component is null. Rows with equal vectors are all linked; rows that share an id count each.
     An empty table gives no rows. Other columns, labels included, are not read.
     """
@@ -127,29 +146,30 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
     salted = valid.groupBy("salt", "v").agg(F.min("vec_id").alias("low"), F.count(F.lit(1)).alias("weight"))
     classes = written(salted.groupBy("v").agg(F.min("low").alias("rep"), F.sum("weight").alias("weight")), f"{folder}/classes")
 
-    sample = bounded_sample(classes, ["rep"], ["v"], SAMPLE)["v"].to_list()
-    if not sample:
+    indexes = _indexes(classes)
+    if not indexes:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    size = max(sorted({len(v) for v in sample}), key=lambda n: sum(len(v) == n for v in sample))
-    classes = classes.where(F.size("v") == size)
-    lists = int(min(MOST_LISTS, max(1, classes.count() // LIST_SIZE)))
-    index = spark.sparkContext.broadcast(Index(np.asarray([v for v in sample if len(v) == size], np.float64), lists))
+    shared = spark.sparkContext.broadcast(indexes)
 
     def place(frames):
         for frame in frames:
             if not len(frame):
                 continue
-            x = _stack(frame["v"])
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            home = _nearest(x, index.value.centres)
-            visits = index.value.visits(x, home, radius)
-            yield pd.DataFrame({"rep": frame["rep"], "weight": frame["weight"], "home": home.astype(np.int32), "v": frame["v"], "visits": [np.flatnonzero(r).astype(np.int32) for r in visits]})
+            for size, part in frame.groupby(frame["v"].map(len)):
+                first, index = shared.value[size]
+                x = _stack(part["v"])
+                x /= np.linalg.norm(x, axis=1, keepdims=True)
+                home = _nearest(x, index.centres)
+                visits = index.visits(x, home, radius)
+                yield pd.DataFrame(
+                    {"rep": part["rep"], "weight": part["weight"], "home": (first + home).astype(np.int32), "v": part["v"], "visits": [(first + np.flatnonzero(r)).astype(np.int32) for r in visits]}
+                )
 
     placed = written(classes.mapInPandas(place, "rep long, weight long, home int, v array<double>, visits array<int>"), f"{folder}/placed")
     chunks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
     members = placed.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("n")).select("list", chunks("n", MEMBERS).alias("m_chunks"))
     visitors = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", chunks("n", VISITORS).alias("v_chunks"))
-    plan = F.broadcast(members.join(visitors, "list"))  # at most MOST_LISTS rows
+    plan = F.broadcast(members.join(visitors, "list"))  # at most MOST_LISTS rows, and one for each vector length
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
     as_member = placed.select("rep", "weight", "home", "v", F.col("home").alias("list")).join(plan, "list").select(
@@ -164,18 +184,20 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
         if not len(members) or not len(visitors):
             return pd.DataFrame({"rep": [], "n": [], "other": []}).astype("int64")
         raw_m, raw_v = _stack(members["v"]), _stack(visitors["v"])
+        first, index = shared.value[raw_m.shape[1]]
+        at -= first
         norm_m, norm_v = np.linalg.norm(raw_m, axis=1), np.linalg.norm(raw_v, axis=1)
         x_m = raw_m / norm_m[:, None]
-        codes, left = index.value.encode(x_m, np.full(len(x_m), at))
-        back = index.value.visits(x_m, np.full(len(x_m), at), radius)
+        codes, left = index.encode(x_m, np.full(len(x_m), at))
+        back = index.visits(x_m, np.full(len(x_m), at), radius)
         id_m, id_v = members["rep"].to_numpy(), visitors["rep"].to_numpy()
-        home_v = visitors["home"].to_numpy()
+        home_v = visitors["home"].to_numpy() - first
         part = REACH / np.sqrt(x_m.shape[1])
         limit = radius**2 + left**2 + 2 * radius * left * min(1.0, part) + 1e-4
         found_v, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(raw_v), 512):
             block = slice(i, i + 512)
-            near = index.value.distances(raw_v[block] / norm_v[block, None], at, codes) <= limit[None]
+            near = index.distances(raw_v[block] / norm_v[block, None], at, codes) <= limit[None]
             # Each pair once: of two lists that see it the smaller counts, inside a list the smaller id does.
             seen = np.where((home_v[block] == at)[:, None], id_v[block, None] < id_m[None], ~back[:, home_v[block]].T | (at < home_v[block])[:, None])
             v, m = np.nonzero(near & seen)

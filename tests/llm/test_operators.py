@@ -371,6 +371,24 @@ def _brute_vectors(rows, cosine):
     return {i: (links.get(i, 0), find(i) if i in good else i) for i, _ in rows if i is not None}
 
 
+def test_embeddings_of_two_lengths(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    rows = []
+    for first, size, n in ((0, 16, 240), (1000, 24, 160), (2000, 5, 3)):
+        base = r.normal(size=(30, size))
+        rows += [(first + i, (base[i % 30] + r.normal(size=size) * r.choice([0.0, 0.1, 0.3])).tolist()) for i in range(n)]
+    rows += [(3000, rows[-1][1]), (3001, [1.0] * 7)]
+    order = r.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(embedding_join, "LIST_SIZE", 40)
+    monkeypatch.setattr(embedding_join, "MEMBERS", 16)
+    monkeypatch.setattr(embedding_join, "VISITORS", 32)
+    got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_join.embedding_groups(df).collect()}
+    want = _brute_vectors(rows, 0.9)
+    assert all(any(want[i][0] for i, v in rows if len(v) == size) for size in (5, 16, 24))
+    assert got == want
+
+
 def test_embeddings(spark, monkeypatch):
     r = np.random.default_rng(0)
     base = r.normal(size=(40, 16))
