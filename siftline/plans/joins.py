@@ -135,6 +135,20 @@ def j12(spark, d):
     return words.where("keyword <> ''").join(names.distinct(), "keyword").groupBy("keyword").agg(F.count(F.lit(1)).alias("docs"))
 
 
+@query(
+    "j12_every_keyword",
+    """WITH k AS (SELECT DISTINCT lower(r_name) AS keyword FROM region UNION SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[\\s.,]+')) FROM benchmark),
+       w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s.,]+')) AS keyword FROM documents)
+       SELECT keyword, count(*) AS docs FROM w JOIN k USING (keyword) WHERE keyword <> '' GROUP BY 1""",
+)
+def j12_every(spark, d):
+    """As j12, whose SQL takes each passage's first word alone, with all of its words."""
+    words = lambda name: table(spark, d, name).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,]+"))).alias("keyword")).where("keyword <> ''")
+    names = table(spark, d, "region").select(F.lower("r_name").alias("keyword")).union(words("benchmark")).distinct()
+    # Counted before the join, so that a common word is one row there.
+    return words("documents").groupBy("keyword").agg(F.count(F.lit(1)).alias("docs")).join(names, "keyword")
+
+
 @query(
     "j14_variant_search",
     """WITH l AS (SELECT doc_id, trim(regexp_replace(unnest(string_split(text, chr(10))), '\\s+', ' ', 'g')) AS shape FROM documents),
@@ -191,6 +205,22 @@ def j24(spark, d):
     return joins.every_part(parts, hits, "item_id", "part")
 
 
+@query(
+    "j24_every_part",
+    """WITH g AS (SELECT DISTINCT item_id, unnest(regexp_split_to_array(lower(text), '[\\s.,]+')) AS part FROM benchmark),
+       w AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(text), '[\\s.,]+')) AS part FROM documents),
+       p AS (SELECT item_id, g.part, w.part AS hit FROM g LEFT JOIN w USING (part) WHERE g.part <> '')
+       SELECT item_id, count(p.part) AS parts, count(hit) AS found, CASE WHEN count(p.part) = 0 THEN 'external' WHEN count(hit) = count(p.part) THEN 'holds' ELSE 'absent' END AS state
+       FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN p USING (item_id) GROUP BY 1""",
+)
+def j24_every(spark, d):
+    """As j24, whose SQL takes each passage's three smallest words and English documents alone, with all words and documents."""
+    words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[\s.,]+")), lambda w: w != "")
+    hits = table(spark, d, "documents").select(F.explode(words).alias("part"))
+    parts = table(spark, d, "benchmark").select("item_id", F.explode_outer(words).alias("part"))
+    return joins.every_part(parts, hits, "item_id", "part")
+
+
 @query(
     "j27_longest_prefix",
     """WITH p AS (SELECT page_id, regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1) AS path FROM pages)

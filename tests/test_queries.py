@@ -27,6 +27,18 @@ def test_query(spark, duck, name):
         assert rows
 
 
+def test_passages_are_looked_up_whole(spark, tmp_path):
+    texts = [(1, "alpha beta gamma delta, Zeta"), (2, "alpha beta gamma delta missing"), (3, " ., ")]
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, "Alpha beta.", "en"), (2, "gamma\ndelta alpha", "en"), (3, "zeta", "fr")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([("ASIA",)], "r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = {tuple(r) for r in QUERIES["j24_every_part"](spark, str(tmp_path)).select("item_id", "parts", "found", "state").collect()}
+    assert got == {(1, 5, 5, "holds"), (2, 5, 4, "absent"), (3, 0, 0, "external")}
+    counts = dict(QUERIES["j12_every_keyword"](spark, str(tmp_path)).select("keyword", "docs").collect())
+    assert counts == {"alpha": 2, "beta": 1, "gamma": 1, "delta": 1, "zeta": 1}
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
