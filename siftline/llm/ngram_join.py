@@ -256,11 +256,14 @@ def near_duplicates(
     A text with fewer words has its whole sequence as its only shingle. Null, empty and blank texts have no set and
     link with nothing; neither does a row without an id, whose component is null. Rows that share an id are
     one node with all their sets. An empty table gives no rows. Other columns are not read.
+    A threshold so low that sets two bands apart can be linked (below about 1 / ``BAND``) raises ValueError.
     """
     spark = docs.sparkSession
     arrow_rows(spark)
     folder = shared_dir(spark)
     bands = _bands(num, den)
+    if any(high * den >= num * after for (_, high, *_), (after, *_) in zip(bands, bands[2:])):
+        raise ValueError(f"a threshold of {num} / {den} links sets two size bands apart, which share no keys")
     lows = np.asarray([b[0] for b in bands], np.int64)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     scheme = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("need_0", pa.int32()), ("need_1", pa.int32())])

@@ -148,6 +148,12 @@ def test_components(spark):
         assert got == {x: find(x) for x in list(root)}
 
 
+def test_thresholds_that_would_lose_links_are_refused(spark):
+    df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string")
+    with pytest.raises(ValueError, match="two size bands"):
+        ngram_join.near_duplicates(df, num=70, den=100)
+
+
 def test_packing(spark, docs):
     got = packing.pack(docs, WORD, end_id=0).collect()
     ids = {i: x + b"\0\0\0\0" for i, x in zip(*zip(*[(r.doc_id, tokens.encoder(WORD)([r.text or ""])[0]) for r in docs.select("doc_id", "text").collect()]), strict=True)}
