@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import lookup
+from .text import let, lookup
 
 # The weights of CVSS 3 metrics.
 CVSS3 = {
@@ -33,19 +33,38 @@ def clamp(value: Column, low, high) -> Column:
 
 
 def cvss3_base(vector: Column) -> Column:
-    """Base score of a CVSS 3 vector, null where a metric is missing or unknown."""
-    parts = F.str_to_map(vector, F.lit("/"), F.lit(":"))
-    at = lambda k: F.element_at(parts, F.lit(k))
-    w = {k: lookup(v, at(k)) for k, v in CVSS3.items()}
-    changed = at("S") == "C"
-    pr = F.when(changed, lookup(CVSS3_PRIVILEGES["C"], at("PR"))).otherwise(lookup(CVSS3_PRIVILEGES["U"], at("PR")))
-    iss = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
-    impact = F.when(changed, 7.52 * (iss - 0.029) - 3.25 * F.pow(iss - 0.02, F.lit(15))).otherwise(6.42 * iss)
-    raw = impact + 8.22 * w["AV"] * w["AC"] * pr * w["UI"]
-    capped = F.least(F.when(changed, 1.08 * raw).otherwise(raw), F.lit(10.0))
-    scaled = F.bround(capped * 100000, 0).cast("long")
-    rounded = F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
-    return F.when(F.startswith(vector, F.lit("CVSS:3")) & at("S").isNotNull(), F.when(impact <= 0, F.lit(0.0)).when(raw.isNotNull(), rounded))
+    """Base score of a CVSS 3 vector, null where a metric is missing or unknown.
+
+    Few vectors exist: over many rows, score the distinct ones (``cvss3_scores``).
+    """
+
+    def weights(parts):
+        at = lambda k: F.element_at(parts, F.lit(k))
+        changed = at("S") == "C"
+        pr = F.when(changed, lookup(CVSS3_PRIVILEGES["C"], at("PR"))).otherwise(lookup(CVSS3_PRIVILEGES["U"], at("PR")))
+        return F.struct(changed.alias("changed"), pr.alias("PR"), *(lookup(v, at(k)).alias(k) for k, v in CVSS3.items()))
+
+    def impact(w):
+        iss = 1 - (1 - w["C"]) * (1 - w["I"]) * (1 - w["A"])
+        value = let(iss, lambda x: F.when(w["changed"], 7.52 * (x - 0.029) - 3.25 * F.pow(x - 0.02, F.lit(15))).otherwise(6.42 * x))
+        return F.struct(w["changed"].alias("changed"), value.alias("impact"), (8.22 * w["AV"] * w["AC"] * w["PR"] * w["UI"]).alias("ease"))
+
+    def rounded(scaled):
+        return F.when(scaled % 10000 == 0, scaled / 100000.0).otherwise((F.floor(scaled / 10000) + 1) / 10.0)
+
+    def score(x):
+        raw = F.when(x["changed"], 1.08 * (x["impact"] + x["ease"])).otherwise(x["impact"] + x["ease"])
+        found = let(F.bround(F.least(raw, F.lit(10.0)) * 100000, 0).cast("long"), rounded)
+        return F.when(x["impact"] <= 0, F.lit(0.0)).when((x["impact"] + x["ease"]).isNotNull(), found)
+
+    parts = F.when(F.startswith(vector, F.lit("CVSS:3")), F.str_to_map(vector, F.lit("/"), F.lit(":")))
+    return let(parts, lambda p: F.when(F.element_at(p, F.lit("S")).isNotNull(), let(weights(p), lambda w: let(impact(w), score))))
+
+
+def cvss3_scores(df: DataFrame, vector: str) -> DataFrame:
+    """The distinct vectors of ``df`` with their rows' number, score and level."""
+    counted = df.groupBy(vector).agg(F.count(F.lit(1)).alias("n")).withColumn("score", cvss3_base(F.col(vector)))
+    return counted.withColumn("level", level_of_score(F.col("score")))
 
 
 def level_of_score(score: Column) -> Column:

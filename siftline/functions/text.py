@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -22,6 +23,11 @@ LEVEL_WORDS = {"error": "high", "warning": "medium", "note": "low", "none": "inf
 SEVERITY_ORDER = ("info", "low", "medium", "high", "critical")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def lookup(words: dict, key: Column) -> Column:
     """The value of a small fixed table; null for keys it lacks."""
     flat = [F.lit(x) for pair in words.items() for x in pair]

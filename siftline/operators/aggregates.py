@@ -82,27 +82,27 @@ def upgrade_plan(df: DataFrame) -> DataFrame:
     Rows: ordinal, package, installed, advisory, verdict, fix (lowest fix above the installed version, or null).
     An advisory counts once, by its first row.
     """
-    first = keep_best(df, ["package", "installed", "advisory"], [F.col("ordinal")])
-    current, fix = lenient_parts(F.col("installed")), lenient_parts(F.col("fix"))
-    rows = first.withColumn("parts", fix).withColumn("same", fix.isNotNull() & (major(fix) == major(current)))
+    # By a minimum instead of a sort, and once for each fix: a package version has no more fixes than its releases.
+    first = best_by(df, ["package", "installed", "advisory"], [F.col("ordinal")], ["verdict", "fix"])
+    by_fix = first.groupBy("package", "installed", "fix").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("verdict") == "confirmed").alias("confirmed"), F.count_if(F.col("verdict") == "unknown").alias("open")
+    )
+    by_fix = by_fix.withColumns({"current": lenient_parts(F.col("installed")), "parts": lenient_parts(F.col("fix"))})
     key = F.struct("parts", "fix")
-    grouped = rows.groupBy("package", "installed").agg(
-        F.count(F.lit(1)).alias("advisories"),
-        F.count_if(F.col("verdict") == "confirmed").alias("confirmed"),
-        F.count_if(F.col("verdict") == "unknown").alias("open"),
-        F.count_if(F.col("fix").isNull()).alias("unfixed"),
+    grouped = by_fix.groupBy("package", "installed").agg(
+        F.sum("n").alias("advisories"),
+        F.sum("confirmed").alias("confirmed"),
+        F.sum("open").alias("open"),
+        F.coalesce(F.sum(F.when(F.col("fix").isNull(), F.col("n"))), F.lit(0)).alias("unfixed"),
         F.max(F.when(F.col("parts").isNotNull(), key)).alias("top"),
-        F.max(F.when(F.col("same"), key)).alias("inside"),
-    )
-    crossing = F.coalesce(major(F.col("top.parts")) > major(lenient_parts(F.col("installed"))), F.lit(False))
-    grouped = grouped.withColumn("major", crossing).withColumn("inside", F.when(crossing, F.col("inside")))
-    covered = (
-        rows.join(grouped.select("package", "installed", "inside"), ["package", "installed"])
-        .where(F.col("parts") <= F.col("inside.parts"))
-        .groupBy("package", "installed")
-        .agg(F.count(F.lit(1)).alias("same_major_covers"))
+        F.max(F.when(F.col("parts").isNotNull() & (major(F.col("parts")) == major(F.col("current"))), key)).alias("inside"),
+        F.collect_list(F.struct("parts", "n")).alias("fixes"),
+        F.first("current").alias("current"),
     )
-    return grouped.join(covered, ["package", "installed"], "left").select(
+    crossing = F.coalesce(major(F.col("top.parts")) > major(F.col("current")), F.lit(False))
+    grouped = grouped.withColumn("major", crossing).withColumn("inside", F.when(F.col("major"), F.col("inside")))
+    covers = F.aggregate(F.filter("fixes", lambda x: x["parts"] <= F.col("inside.parts")), F.lit(0).cast("long"), lambda total, x: total + x["n"])
+    return grouped.select(
         "package", "installed", F.coalesce("top.fix", F.lit("")).alias("target"), "advisories", "confirmed", "open", "unfixed", "major",
-        F.coalesce("inside.fix", F.lit("")).alias("same_major"), F.coalesce("same_major_covers", F.lit(0)).cast("long").alias("same_major_covers"),
+        F.coalesce("inside.fix", F.lit("")).alias("same_major"), F.when(F.col("inside").isNotNull(), covers).otherwise(0).cast("long").alias("same_major_covers"),
     )

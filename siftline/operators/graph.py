@@ -3,46 +3,92 @@
 from __future__ import annotations
 
 import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def _durable(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder the session names; only where it names none, in a folder of this machine."""
+    """A checkpoint in the folder the session names; only on one machine that names none, in a folder of that machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-scratch-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-scratch-"))
     return df.checkpoint()
 
 
-def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, most: int = 1000) -> DataFrame:
-    """(node, hops): all nodes reachable from the starts (0 hops), each with its fewest hops."""
-    seen = _durable(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("hops", F.lit(0)))
-    frontier = seen
-    for hop in range(1, most + 1):
-        step = frontier.join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("node")).distinct()
-        frontier = _durable(step.join(seen.select("node"), "node", "left_anti").withColumn("hops", F.lit(hop)))
-        if frontier.isEmpty():
+def _union(levels: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, levels)
+
+
+def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, within: int | None = None) -> DataFrame:
+    """(node, marks, hops): all nodes reachable from the starts (0 hops), each with its fewest hops.
+
+    The first column of ``starts`` is the node; others are marks that go along, so several closures are one: a
+    node comes once for each mark that reaches it. It ends when a level brings nothing new; ``within`` is a
+    limit that the question itself sets (nodes of at most so many hops).
+    """
+    marks = starts.columns[1:]
+    levels = [_durable(starts.withColumnRenamed(starts.columns[0], "node").distinct().withColumn("hops", F.lit(0)))]
+    while within is None or len(levels) <= within:
+        step = levels[-1].join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("node"), *marks).distinct()
+        new = _durable(step.join(_union(levels).select("node", *marks), ["node", *marks], "left_anti").withColumn("hops", F.lit(len(levels))))
+        if new.isEmpty():
             break
-        seen = _durable(seen.unionByName(frontier))
-    return seen
+        levels.append(new)
+    return _union(levels)
 
 
-def smallest_label(edges: DataFrame, a: str, b: str) -> DataFrame:
-    """(node, label): connected components by the smallest node, with labels jumping to their label's label."""
-    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct()
-    both = _durable(both)
-    labels = _durable(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("label")).select(F.col("x").alias("node"), "label"))
+def _star(edges: DataFrame, large: bool, ways: int) -> DataFrame:
+    """One contraction: each node's neighbours are tied to the smallest of them and the node itself.
+
+    The large star moves only the neighbours above the node, the small star those below and the node; both
+    keep what is connected. A node's minimum is taken by salts and comes back to its links by the same salts, so no
+    task meets more than a salt's share of a hub's links.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other"))
+    if large:
+        both = both.unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
+    both = both.withColumn("salt", F.pmod(F.xxhash64("other"), F.lit(ways)).cast("int"))
+    salted = both.groupBy("node", "salt").agg(F.min("other").alias("least"))
+    low = salted.groupBy("node").agg(F.least(F.min("least"), F.col("node")).alias("low"))
+    tied = both.join(salted.select("node", "salt").join(low, "node"), ["node", "salt"])
+    if large:
+        moved = tied.where(F.col("other") > F.col("node")).select(F.col("other").alias("a"), F.col("low").alias("b"))
+    else:
+        moved = tied.select(F.col("other").alias("a"), F.col("low").alias("b")).unionByName(low.select(F.col("node").alias("a"), F.col("low").alias("b")))
+    return moved.where(F.col("a") != F.col("b")).distinct()
+
+
+def connected_components(links: DataFrame, ways: int = 16) -> DataFrame:
+    """(node, component) of every node in ``links`` (columns a, b): component is the smallest node reachable.
+
+    By alternating star contractions. Loops and repeated links do no harm; links with a null end are left
+    out; a node whose only link is to itself is not listed. Each round is a checkpoint in the shared folder; the rounds
+    grow with the logarithm of the longest path, and end when a round changes nothing.
+    """
+    some = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
+    edges = _durable(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    mark = None
     while True:
-        near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("other"))
-        new = labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.least("label", F.coalesce("other", "label")).alias("label"))
-        jump = new.select(F.col("node").alias("label"), F.col("label").alias("up"))
-        new = _durable(new.join(jump, "label", "left").select("node", F.least("label", F.coalesce("up", "label")).alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where(F.col("label") != F.col("old"))
-        if changed.isEmpty():
-            return new
-        labels = new
+        edges = _durable(_star(_star(edges, True, ways), False, ways))
+        row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if row == mark:
+            break
+        mark = row
+    components = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return components.unionByName(components.select(F.col("component").alias("node"), "component").distinct())
+
+
+def smallest_label(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, label): connected components by the smallest node; a node tied only to itself is its own label."""
+    pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
+    found = connected_components(pairs).select("node", F.col("component").alias("label"))
+    alone = pairs.where("a = b").select(F.col("a").alias("node")).distinct().join(found, "node", "left_anti")
+    return found.unionByName(alone.withColumn("label", F.col("node")))
 
 
 def scopes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -50,35 +96,36 @@ def scopes(nodes: DataFrame, edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     ``roots``: node, dev (boolean). ``edges``: src, dst.
     """
-    prod = reach(edges, roots.where("not dev").select("node"), "src", "dst").select("node").withColumn("_prod", F.lit(True))
-    dev = reach(edges, roots.where("dev").select("node"), "src", "dst").select("node").withColumn("_dev", F.lit(True))
-    scope = F.when(F.col("_prod"), "runtime").when(F.col("_dev"), "dev").otherwise("unknown")
-    return nodes.select("node").join(prod, "node", "left").join(dev, "node", "left").select("node", scope.alias("scope"))
-
-
-def shortest_paths(edges: DataFrame, starts: DataFrame, src: str, dst: str, levels: int = 12) -> DataFrame:
-    """(node, path): one shortest path to each reachable node, the smallest of equals, as an array from the start."""
-    seen = _durable(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("path", F.array("node")))
-    frontier = seen
-    for _ in range(levels):
-        step = frontier.join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("to"), F.concat("path", F.array(dst)).alias("path"))
+    found = reach(edges, roots.select("node", "dev"), "src", "dst").groupBy("node").agg(F.bool_and("dev").alias("dev"))
+    scope = F.when(F.col("dev"), "dev").when(~F.col("dev"), "runtime").otherwise("unknown")
+    return nodes.select("node").join(found, "node", "left").select("node", scope.alias("scope"))
+
+
+def shortest_paths(edges: DataFrame, starts: DataFrame, src: str, dst: str, levels: int | None = None) -> DataFrame:
+    """(node, path): one shortest path to each reachable node, the smallest of equals, as an array from the start.
+
+    ``levels`` is a limit that the question itself sets (paths of so many steps at most); without one all are found.
+    """
+    found = [_durable(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("path", F.array("node")))]
+    while levels is None or len(found) <= levels:
+        step = found[-1].join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("to"), F.concat("path", F.array(dst)).alias("path"))
         step = step.groupBy("to").agg(F.min("path").alias("path")).withColumnRenamed("to", "node")
-        frontier = _durable(step.join(seen.select("node"), "node", "left_anti"))
-        if frontier.isEmpty():
+        new = _durable(step.join(_union(found).select("node"), "node", "left_anti"))
+        if new.isEmpty():
             break
-        seen = _durable(seen.unionByName(frontier))
-    return seen
+        found.append(new)
+    return _union(found)
 
 
 def resolve_chain(aliases: DataFrame, name: str, target: str, depth: int = 6) -> DataFrame:
-    """(name, final, hops): each alias followed to its end, ``depth`` steps at most."""
+    """(name, final, hops, finished): each alias followed ``depth`` steps at most; not finished if ``final`` is an alias itself."""
     out = aliases.select(F.col(name).alias("name"), F.col(target).alias("final"), F.lit(1).alias("hops"))
     step = aliases.select(F.col(name).alias("final"), F.col(target).alias("next"))
     for _ in range(depth - 1):
         out = out.join(step, "final", "left").select(
             "name", F.coalesce("next", "final").alias("final"), (F.col("hops") + F.when(F.col("next").isNotNull(), 1).otherwise(0)).alias("hops")
         )
-    return out
+    return out.join(step.select("final", "next"), "final", "left").select("name", "final", "hops", F.col("next").isNull().alias("finished"))
 
 
 def first_seen_order(df: DataFrame, keys: list[str], order: str) -> DataFrame:

@@ -75,3 +75,29 @@ def answered(df: DataFrame, key: str, asked: DataFrame, reached: DataFrame) -> D
     r = reached.select(key).distinct().withColumn("_reached", F.lit(True))
     state = F.when(F.col("_reached"), True).when(F.col("_asked"), False)
     return df.join(a, key, "left").join(r, key, "left").withColumn("reached", state).drop("_asked", "_reached")
+
+
+def containing(texts: DataFrame, text_id: str, text: str, passages: DataFrame, passage_id: str, passage: str, words: int = 5) -> DataFrame:
+    """(text_id, passage_id) of every passage that stands literally in a text.
+
+    A passage may begin and end inside longer words of the text, so its key is made of inner words only: up to
+    ``words`` of them, the longest run that it has. Texts are asked for the runs of those lengths that passages really
+    have, and only candidates are compared whole. Passages of fewer than three words have no inner word; they are a
+    query set that is held against all texts. Null texts and passages match nothing.
+    """
+    split = F.split(F.col(passage), " ")
+    asked = passages.where(F.col(passage).isNotNull()).select(passage_id, passage, split.alias("_words"), F.least(F.size(split) - 2, F.lit(words)).alias("_n"))
+    keyed = asked.where("_n > 0").select(passage_id, passage, F.concat_ws(" ", F.slice("_words", F.lit(2), F.col("_n"))).alias("_key"), "_n")
+    given = texts.where(F.col(text).isNotNull()).select(text_id, text, F.split(F.col(text), " ").alias("_words"))
+    lengths = sorted(r["_n"] for r in keyed.select("_n").distinct().collect())  # at most ``words`` numbers
+
+    def runs(n):
+        starts = F.sequence(F.lit(1), F.greatest(F.size("_words") - n + 1, F.lit(1)))
+        return F.transform(starts, lambda i: F.concat_ws(" ", F.slice("_words", i, n)))
+
+    every = F.concat(F.array().cast("array<string>"), *map(runs, lengths))
+    met = given.select(text_id, F.explode(F.array_distinct(every)).alias("_key")).join(keyed.select(passage_id, "_key"), "_key").select(text_id, passage_id).distinct()
+    sure = met.join(texts.select(text_id, text), text_id).join(asked.select(passage_id, passage), passage_id).where(F.contains(text, F.col(passage)))
+    short = asked.where("_n <= 0").select(passage_id, passage)
+    held = texts.select(text_id, text).join(short, F.contains(F.col(text), F.col(passage)))
+    return sure.select(text_id, passage_id).unionByName(held.select(text_id, passage_id)).distinct()

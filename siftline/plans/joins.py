@@ -285,13 +285,7 @@ def j16(spark, d):
 
 @query("j17_containment", "SELECT item_id, count(doc_id) AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY 1")
 def j17(spark, d):
-    """Passages found in documents: candidates share the passage's first five words, then the whole passage is compared."""
-    head = lambda words: F.concat_ws(" ", F.slice(words, 1, 5))
-    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"), F.split("text", " ").alias("words"))
-    # A passage may begin inside a longer word, so its own first word is left out of the key.
-    items = items.select("item_id", "passage", head(F.slice("words", 2, 5)).alias("key"))
-    docs = table(spark, d, "documents").select("doc_id", "text", F.split("text", " ").alias("words"))
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("words") - 4, F.lit(1))), lambda i: F.concat_ws(" ", F.slice("words", i, 5))))
-    hits = docs.select("doc_id", F.explode(grams).alias("key")).join(items.select("item_id", "key"), "key").select("doc_id", "item_id").distinct()
-    sure = hits.join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "passage"), "item_id").where(F.contains("text", F.col("passage")))
+    """Passages found in documents, by words inside the passage, then as a whole."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("passage"))
+    sure = joins.containing(table(spark, d, "documents"), "doc_id", "text", items, "item_id", "passage")
     return items.select("item_id").join(sure.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs")), "item_id", "left").select("item_id", F.coalesce("docs", F.lit(0)).cast("long").alias("docs"))

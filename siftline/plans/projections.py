@@ -89,9 +89,8 @@ _VECTOR = """'CVSS:3.1/AV:' || CASE l_linenumber % 4 WHEN 0 THEN 'N' WHEN 1 THEN
 SELECT score, CASE WHEN score >= 9 THEN 'critical' WHEN score >= 7 THEN 'high' WHEN score >= 4 THEN 'medium' ELSE 'low' END AS level, count(*) AS n FROM f GROUP BY 1, 2""",
 )
 def p10(spark, d):
-    score = scores.cvss3_base(F.expr(_VECTOR))
-    scored = table(spark, d, "lineitem").select(score.alias("score")).withColumn("level", scores.level_of_score(F.col("score")))
-    return scored.groupBy("score", "level").agg(F.count(F.lit(1)).alias("n"))
+    scored = scores.cvss3_scores(table(spark, d, "lineitem").select(F.expr(_VECTOR).alias("vector")), "vector")
+    return scored.groupBy("score", "level").agg(F.sum("n").alias("n"))
 
 
 @query(
