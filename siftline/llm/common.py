@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only where the session names none and runs on one machine (as in tests) a temporary folder is set.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         set_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
         if set_dir.isEmpty():
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             base = tempfile.mkdtemp(prefix="spark-scratch-")
             spark.sparkContext.setCheckpointDir(base)
         else:
@@ -56,6 +62,21 @@ def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """Parts of Arrow batches of at most ``rows`` rows and ``most`` bytes in a text column; a longer text comes alone.
+
+    Spark bounds the bytes of a batch itself (``maxBytesPerBatch``); this keeps what tasks make of one small, too.
+    """
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        before, at = np.concatenate([[0], np.cumsum(sizes)]), 0
+        while at < batch.num_rows:
+            end = min(at + rows, int(np.searchsorted(before, before[at] + most, "right")) - 1)
+            end = max(at + 1, end)
+            yield batch.slice(at, end - at)
+            at = end
+
+
 def bounded_sample(df: DataFrame, keys: list[str], columns: list[str], most: int):
     """At most ``most`` rows as a local frame, the smallest by a hash of ``keys``.
 

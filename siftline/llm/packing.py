@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_rows, shared_dir, table, written
+from .common import shared_dir, table, written
 
 CAPACITY = 2048
 
@@ -101,15 +101,13 @@ def _sequence(bins: np.ndarray) -> np.ndarray:
 
 def _first_round(tokenizer: str, end_id: int, capacity: int):
     def pack(batches):
-        encode, end = tokens.encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         columns = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for batch in batches:
-            for key, ids in tokens.documents(batch, encode):
-                ids += end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    for name, value in zip(columns, (key, piece, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                        columns[name].append(value)
+        for key, ids, _ in tokens.documents(batches, tokens.encoder(tokenizer)):
+            ids = np.append(ids, np.uint32(end_id))
+            for piece, at in enumerate(range(0, len(ids), capacity)):
+                part = ids[at : at + capacity]
+                for name, value in zip(columns, (key, piece, at, len(part), zlib.crc32(part)), strict=True):
+                    columns[name].append(value)
         length = np.asarray(columns["length"], np.int64)
         bins, offset, fill = best_fit(length, capacity)
         arrays = [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["piece"], pa.int32())]
@@ -168,7 +166,6 @@ def pack(
     Other columns are not read.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     folder = shared_dir(spark)
     packed = written(rows.mapInArrow(_first_round(tokenizer, end_id, capacity), _PIECES), f"{folder}/0")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import arrow_rows, shared_dir, table, written
+from .common import shared_dir, table, written
 from .storage import opened, task_file
 
 MAGIC = b"SLPFOR01"
@@ -128,8 +128,7 @@ class Writer:
         self.waiting = self.ids = 0
         self.starts, self.documents, self.keys = [self.at], [0], []
 
-    def add(self, key: int | None, ids: bytes) -> None:
-        part = np.frombuffer(ids, "<u4")
+    def add(self, key: int | None, part: np.ndarray) -> None:
         self.keys.append(key)
         self.ids += len(part)
         self.documents.append(self.ids)
@@ -205,7 +204,6 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
     """
     spark = docs.sparkSession
     folder = shared_dir(spark)
-    arrow_rows(spark)
 
     def write(batches):
         from pyspark import TaskContext
@@ -213,11 +211,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, id_col: str
         target = task_file(folder, ".tok")
         fs, path = opened(target)
         fs.create_dir(path.rpartition("/")[0])
-        encode, end = tokens.encoder(tokenizer), np.asarray([end_id], "<u4").tobytes()
         writer = Writer(fs.open_output_stream(path))
-        for batch in batches:
-            for key, ids in tokens.documents(batch, encode):
-                writer.add(key, ids + end)
+        for key, ids, _ in tokens.documents(batches, tokens.encoder(tokenizer)):
+            writer.add(key, np.append(ids, np.uint32(end_id)))
         writer.close()
         size = fs.get_file_info(path).size
         yield pa.RecordBatch.from_pylist(

@@ -15,12 +15,18 @@ from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import slices
 
 #: Words of a generation that a worker keeps. A full one is kept as the old one until the next is full; words met
 #: again move on. Only speed depends on it.
 KEPT_WORDS = 700_000
 #: Words longer than this are not kept.
 LONGEST_KEPT = 64
+#: Bytes of text that are cut into words together.
+TOGETHER = 16 << 20
 
 # Letters, then punctuation that neither joins letters nor starts a contraction.
 _TAIL = re.compile(r"([\n\r]?[^\W\d_]+)([.,;:!?|$%&*#)]+)")
@@ -33,99 +39,190 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, block: int = 1 << 14) -> np.ndarray:
+    """The runs of ``count`` entries of ``flat`` from each ``start``, one behind the other; in blocks, so indices stay small."""
+    ends = np.cumsum(count)
+    out = np.empty(int(ends[-1]) if len(ends) else 0, flat.dtype)
+    for a in range(0, len(count), block):
+        n, end = count[a : a + block], ends[a : a + block]
+        low, high = int(end[0] - n[0]), int(end[-1])
+        np.take(flat, np.arange(low, high) + np.repeat(start[a : a + block] - end + n, n), out=out[low:high])
+    return out
+
+
+class WordMemory:
+    """Ids of whole texts from the ids of their words, each learned once.
+
+    A subclass says which texts may be cut at blanks (``simple``), how a text is written so that cutting it gives its
+    words' keys (``marked``), and the ids of new keys (``learn``) and of other texts (``whole``), as bytes of
+    little-endian unsigned 32-bit integers.
+    """
+
+    def __init__(self):
+        self.known: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def simple(self, texts: pa.Array) -> pa.Array:
+        raise NotImplementedError
+
+    def marked(self, texts: pa.Array) -> pa.Array:
+        raise NotImplementedError
+
+    def learn(self, keys: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        raise NotImplementedError
+
+    def _ids_of(self, keys: list[str]) -> list[bytes]:
+        new = [k for k in keys if k not in self.known]
+        if len(self.known) + len(new) > KEPT_WORDS:
+            self.known, self.old, new = {}, self.known, keys
+        known, old = self.known, self.old
+        again = [k for k in new if k in old]
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = [k for k in new if k not in known]
+        known.update(zip(new, self.learn(new), strict=True))
+        out = [known[k] for k in keys]
+        for k in (k for k in new if len(k) > LONGEST_KEPT):
+            del known[k]
+        return out
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one behind the other, and how many each text has. Null is empty."""
+        texts = texts.fill_null("")
+        simple = self.simple(texts)
+        rows = np.flatnonzero(simple.to_numpy(zero_copy_only=False))
+        cut = pc.split_pattern(self.marked(texts.filter(simple)), " ")
+        words = cut.flatten().dictionary_encode()
+        at = words.indices.to_numpy()
+        ids = self._ids_of(words.dictionary.to_pylist())
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        start = np.cumsum(size) - size
+        count = size[at]
+        found = gather(flat, start[at], count)
+        counts = np.zeros(len(texts), np.int64)
+        if len(rows):
+            ends = np.concatenate([[0], np.cumsum(count)])
+            counts[rows] = np.diff(ends[cut.offsets.to_numpy() - cut.offsets[0].as_py()])
+        if len(rows) == len(texts):
+            return found, counts
+        others = pc.invert(simple)
+        ids = self.whole(texts.filter(others).to_pylist())
+        counts[np.flatnonzero(others.to_numpy(zero_copy_only=False))] = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        # Both kinds lie one behind the other; each text takes its own.
+        flat = np.concatenate([found, np.frombuffer(b"".join(ids), "<u4")])
+        start, is_cut = np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
+        is_cut[rows] = True
+        start[is_cut] = np.cumsum(counts[is_cut]) - counts[is_cut]
+        start[~is_cut] = len(found) + np.cumsum(counts[~is_cut]) - counts[~is_cut]
+        return gather(flat, start, counts, 64), counts
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        ids, counts = self.encode(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in pairwise(np.concatenate([[0], np.cumsum(counts)]).tolist())]
+
+
 # Byte-level vocabularies write a byte as itself where it is printable Latin-1, else as U+0100 and on.
 _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
+# White space besides single blanks and line feeds between words.
+_ODD = r"^[ \n]|[ \n][ \n]|[ \n]\z|^\z|[\t\x0B-\r\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+
 
-class WordIds:
-    """Ids, as bytes of little-endian unsigned 32-bit integers, of whole texts.
+class WordIds(WordMemory):
+    """Ids of texts by a file of the ``tokenizers`` library.
 
     A key of the memory is a word; ``\\n`` before it stands for the line feed before the word, ``\\r`` for
     nothing before it (as at a text's start), and a bare word has a blank before it. Words of letters
     alone are one unit of these vocabularies and go straight to the library's model, others through all of it.
-    Strings of special tokens inside a text are ordinary text.
+
+    ``special`` says what a special token's string inside a text is: False is the library's own setting, the string
+    becomes the special token (its ids are those of ``Tokenizer.from_file(path).encode(text,
+    add_special_tokens=False)``, untouched); True makes it ordinary text, as a corpus that is
+    not trusted needs.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [] if special_as_text else added
+        if self.normalizer and self.normalizer.normalize_str("AZ") != "az":
+            raise ValueError("the normaliser of this file does not lower-case")
         # Whether a blank is part of the word behind it, or dropped.
-        plain, blank, self.line = self._library(["a", " a", "\n"])
+        plain, blank, self.line = self.whole(["a", " a", "\n"])
         self.lead = chr(_BYTES[32]) if plain != blank else ""
 
-    def _library(self, texts: list[str]) -> list[bytes]:
+    def simple(self, texts):
+        found = pc.invert(pc.match_substring_regex(texts, _ODD))
+        for name in self.special:
+            found = pc.and_(found, pc.invert(pc.match_substring(texts, name)))
+        return found
+
+    def marked(self, texts):
+        return pc.binary_join_element_wise("\r", pc.replace_substring(texts, "\n", " \n"), "")
+
+    def whole(self, texts):
         found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
         flat = np.fromiter(chain.from_iterable(found), "<u4").tobytes()
         ends = list(accumulate(map(len, found), initial=0))
         return [flat[4 * a : 4 * b] for a, b in pairwise(ends)]
 
-    def _learn(self, words: set[str]) -> None:
-        known, tokenize, normalizer = self.known, self.model.tokenize, self.normalizer
-        parts = {w: m.groups() for w in words if (m := _TAIL.fullmatch(w))}
-        plain = words.difference(parts).union(a for a, _ in parts.values()).union("\r" + b for _, b in parts.values())
+    def learn(self, keys):
+        border = {k: m.start(2) for k in keys if (m := _TAIL.fullmatch(k))}
+        bare = {k for k in keys if k not in border}.union(k[:n] for k, n in border.items()).union("\r" + k[n:] for k, n in border.items())
+        known, tokenize, normalizer, lead, line = self.known, self.model.tokenize, self.normalizer, self.lead, self.line
+        found: dict[str, bytes] = {k: known[k] for k in bare if k in known}
         rest = []
-        for key in plain.difference(known):
+        for key in bare:
+            if key in found:
+                continue
             mark = key[:1]
             word = key[1:] if mark in "\r\n" else key
             if normalizer and word.isalpha():
-                word = normalizer.normalize_str(word)
+                word = word.lower() if word.isascii() else normalizer.normalize_str(word)
             if not word.isalpha():
                 rest.append(key)
                 continue
             said = word if word.isascii() else word.encode().decode("latin-1").translate(_BYTES)
-            said = said if mark in "\r\n" else self.lead + said
+            said = said if mark in "\r\n" else lead + said
             ids = array("I", [t.id for t in tokenize(said)]).tobytes()
-            known[key] = self.line + ids if mark == "\n" else ids
+            found[key] = line + ids if mark == "\n" else ids
         said = [w[1:] if w[:1] == "\r" else w if w[:1] == "\n" else " " + w for w in rest]
-        known.update(zip(rest, self._library(said), strict=True))
-        known.update((w, known[a] + known["\r" + b]) for w, (a, b) in parts.items())
-
-    @staticmethod
-    def _cut(text: str) -> list[str] | None:
-        """The text's words as keys; None if its white space is not single blanks and line feeds between words."""
-        words = ("\r" + text).replace("\n", " \n").split(" ")
-        if not text or "" in words or "\n" in words or words[0] == "\r":
-            return None
-        # Other white space would be missing from what splitting at any white space leaves.
-        if sum(map(len, text.split())) != len(text) - text.count(" ") - text.count("\n"):
-            return None
-        return words
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [self._cut(t) for t in texts]
-        used = set().union(*(words for words in cut if words))
-        new = used.difference(self.known)
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.old, new = {}, self.known, used
-        again = self.old.keys() & new
-        self.known.update((w, self.old[w]) for w in again)
-        self._learn(new - again)
-        known = self.known
-        whole = iter(self._library([t for t, words in zip(texts, cut, strict=True) if words is None]))
-        out = [next(whole) if words is None else b"".join(map(known.__getitem__, words)) for words in cut]
-        for w in (w for w in new if len(w) > LONGEST_KEPT):
-            known.pop(w, None)
-        return out
-
-
-def documents(batch, encode, rows: int = 256, most: int = 4_000_000) -> Iterator[tuple[int | None, bytes]]:
-    """(id, ids as bytes) of an Arrow batch of ids and texts, in calls of at most ``rows`` texts and about ``most`` characters."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1)
-    at = 0
-    while at < len(ids):
-        part, size = [], 0
-        while at + len(part) < len(ids) and len(part) < rows and size < most:
-            part.append(texts[at + len(part)].as_py() or "")
-            size += len(part[-1])
-        yield from zip(ids[at : at + len(part)], encode(part), strict=True)
-        at += len(part)
+        found.update(zip(rest, self.whole(said), strict=True))
+        found.update((k, found[k[:n]] + found["\r" + k[n:]]) for k, n in border.items())
+        return list(map(found.__getitem__, keys))
+
+
+def documents(batches: Iterator[pa.RecordBatch], encoder: WordMemory, most: int = TOGETHER) -> Iterator[tuple[int | None, np.ndarray, pa.Scalar]]:
+    """(id, its text's ids, the text) of each row of Arrow batches of ids and texts, about ``most`` bytes of text at a time."""
+
+    def encoded(parts):
+        keys = [k for p in parts for k in p.column(0).to_pylist()]
+        texts = pa.chunked_array([p.column(1) for p in parts]).combine_chunks()
+        ids, counts = encoder.encode(texts)
+        ends = np.cumsum(counts).tolist()
+        for i, key in enumerate(keys):
+            yield key, ids[ends[i - 1] if i else 0 : ends[i]], texts[i]
+
+    waiting, size = [], 0
+    for part in slices(batches, 1, most):
+        more = pc.sum(pc.binary_length(part.column(1))).as_py() or 0
+        if waiting and size + more > most:
+            yield from encoded(waiting)
+            waiting, size = [], 0
+        waiting.append(part)
+        size += more
+    if waiting:
+        yield from encoded(waiting)
 
 
 _ENCODERS: dict[str, WordIds] = {}
