@@ -4,7 +4,7 @@
 2. A coarse and a product quantiser are fitted for each vector length on a bounded sample (``SAMPLE`` vectors, by hash
    order, dealt to the lengths by their shares); every vector is then put into its nearest list among its
    length's, with a residual code for each of eight subspaces. Lists are numbered through all lengths.
-3. Each vector visits its own list and every list whose border with its own is near enough (``REACH``). In a
+3. Each vector visits its own list and every list whose border with its own is near enough (half of ``REACH``). In a
    list, distances from visitors to members are sums of table look-ups by code; members whose sum is small
    enough go on to the exact cosine in double precision, which alone decides.
 4. Lists are cut into chunks of members and of visitors, one task for each pair of chunks, so no task holds
@@ -23,15 +23,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import connected_components
 from .common import bounded_sample, salt, shared_dir, table, written
-from .components import connected_components
 
 #: Vectors that the quantisers are fitted on, at most.
 SAMPLE = 20_000
 #: What each vector length gives to the sample at least, as far as it has so many.
 LEAST_SAMPLE = 64
 #: Vectors of a list on average, and the most lists.
-LIST_SIZE, MOST_LISTS = 2048, 2048
+LIST_SIZE, MOST_LISTS = 512, 2048
 SUBSPACES, CODES = 8, 256
 #: In units of a linked displacement's standard part along one direction.
 REACH = 4.0
@@ -69,10 +69,13 @@ class Index:
         self.half, self.gap = square / 2, np.sqrt(np.maximum(gap, 1e-18))
 
     def visits(self, x: np.ndarray, home: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists each unit vector visits: those whose border with its own list is within reach."""
+        """Which lists each unit vector visits: those whose border with its own list is within half the reach.
+
+        Of two linked vectors in two lists one is at most half their displacement away from the border, and visits the other's list.
+        """
         near = x @ self.centres.T - self.half
         to_border = (near[np.arange(len(x)), home][:, None] - near) / self.gap[home]
-        out = to_border <= REACH * radius / np.sqrt(x.shape[1])
+        out = to_border <= REACH / 2 * radius / np.sqrt(x.shape[1])
         out[np.arange(len(x)), home] = True
         return out
 
@@ -139,7 +142,9 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
     spark = vectors.sparkSession
     folder = shared_dir(spark)
     radius = float(np.sqrt(2 - 2 * cosine))
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    # Single precision stays as it is until a task computes with it.
+    kept = "array<float>" if dict(vectors.select(F.col(vector_col).alias("v")).dtypes)["v"] == "array<float>" else "array<double>"
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(kept).alias("v"))
     finite = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("v").isNotNull() & finite & F.exists("v", lambda x: x != 0)
     valid = rows.where(F.col("vec_id").isNotNull() & good).withColumn("salt", salt("vec_id", ways))
@@ -165,7 +170,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
                     {"rep": part["rep"], "weight": part["weight"], "home": (first + home).astype(np.int32), "v": part["v"], "visits": [(first + np.flatnonzero(r)).astype(np.int32) for r in visits]}
                 )
 
-    placed = written(classes.mapInPandas(place, "rep long, weight long, home int, v array<double>, visits array<int>"), f"{folder}/placed")
+    placed = written(classes.mapInPandas(place, f"rep long, weight long, home int, v {kept}, visits array<int>"), f"{folder}/placed")
     chunks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
     members = placed.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("n")).select("list", chunks("n", MEMBERS).alias("m_chunks"))
     visitors = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", chunks("n", VISITORS).alias("v_chunks"))
