@@ -7,6 +7,7 @@ Exact, without a pass over all pairs:
    dealt to k + 1 + s segments by hash, at least s + 1 segments of the two are the same. Each class sends
    one key per segment. A class of which fewer than s + 1 segments occur elsewhere cannot be linked and
    goes; that is what keeps texts apart that only share passages. The others form clusters by their common keys.
+   Tasks combine their own rows of a key before the shuffle, so a hot key meets in one place no more rows than there are runs.
 3. Trees. A cluster's sets go to one task, or, beyond ``CHUNK`` shingles, in chunks of which each pair goes
    to one task. A signature tree holds OR-combined bitmaps and size ranges of its sets; a dual traversal
    from the root drops node pairs whose largest possible overlap is too small, and those whose sets are
@@ -26,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, salt, shared_dir, table, written
-from .components import connected_components
+from ..operators.graph import connected_components
+from .common import salt, shared_dir, slices, table, written
 from .shingles import mixed, shingle_sets
 
 #: Shingle hashes of a cluster that one task takes at once (8 bytes each); larger clusters are chunked.
 CHUNK = 4_000_000
+#: Bytes of text whose sets are made together, and keys of a task that are combined before they are sent.
+CALL, RUN = 2_000_000, 1_000_000
 #: Ratio of the largest to the smallest size in a band.
 BAND = 1.35
 #: Classes in a leaf of a tree, and children of a node.
@@ -236,15 +239,20 @@ def _linked(tree: SignatureTree, rows_a: np.ndarray, rows_b: np.ndarray, keep: n
         yield int(rows_a[at_a[i]]), int(rows_b[at_b[j]])
 
 
-def _in_calls(batch, most: int = 2_000_000):
-    """Runs of (ids, texts) of a batch of about ``most`` characters."""
-    ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size > most or i == len(texts) - 1:
-            yield ids[begin : i + 1], [t or "" for t in texts[begin : i + 1]]
-            begin, size = i + 1, 0
+def _run(key: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    """The distinct (key, rep) of a run of rows with what the run knows: spread is 0 for a key's only row, -1 for the first of several.
+
+    The others have a number above 0: that their key is common is known, so they need not meet anywhere.
+    """
+    order = np.lexsort((rep, key))
+    key, rep = key[order], rep[order]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])[: len(key)]
+    keep = new_key | np.concatenate([[True], rep[1:] != rep[:-1]])[: len(key)]
+    key, rep, first = key[keep], rep[keep], new_key[keep]
+    several = np.concatenate([~first[1:], [False]])[: len(key)]
+    spread = (mixed(rep.view(np.uint64)) >> np.uint64(33)).astype(np.int32) | np.int32(1)
+    spread[first] = np.where(several[first], -1, 0)
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(rep), pa.array(spread)], names=["key", "rep", "spread"])
 
 
 def near_duplicates(
@@ -259,7 +267,6 @@ def near_duplicates(
     A threshold so low that sets two bands apart can be linked (below about 1 / ``BAND``) raises ValueError.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     folder = shared_dir(spark)
     bands = _bands(num, den)
     if any(high * den >= num * after for (_, high, *_), (after, *_) in zip(bands, bands[2:])):
@@ -269,21 +276,26 @@ def near_duplicates(
     scheme = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_id", pa.binary()), ("need_0", pa.int32()), ("need_1", pa.int32())])
 
     def sets(batches):
-        for batch in batches:
-            for ids, texts in _in_calls(batch):
-                found = shingle_sets(texts, words)
-                needs = [shared_needs(s, bands, lows, num, den) for s in found]
-                names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
-                arrays = [pa.array(ids, pa.int64()), pa.array([len(s) for s in found], pa.int64()), pa.array(names, pa.binary())]
-                arrays += [pa.array([n.get(band) for n in needs], pa.int32()) for band in (0, 1)]
-                yield pa.RecordBatch.from_arrays(arrays, schema=scheme)
+        for part in slices(batches, 1, CALL):
+            found = shingle_sets(part.column(1).fill_null("").to_pylist(), words)
+            needs = [shared_needs(s, bands, lows, num, den) for s in found]
+            names = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in found]
+            arrays = [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array(names, pa.binary())]
+            arrays += [pa.array([n.get(band) for n in needs], pa.int32()) for band in (0, 1)]
+            yield pa.RecordBatch.from_arrays(arrays, schema=scheme)
 
     def keys(batches):
-        for batch in batches:
-            for ids, texts in _in_calls(batch):
-                found = [block_keys(s, bands, lows, num, den) for s in shingle_sets(texts, words)]
-                reps = np.repeat(np.asarray(ids, np.int64), [len(k) for k in found])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(reps)], names=["key", "rep"])
+        waiting, size = [], 0
+        for part in slices(batches, 1, CALL):
+            found = [block_keys(s, bands, lows, num, den) for s in shingle_sets(part.column(1).fill_null("").to_pylist(), words)]
+            reps = np.repeat(part.column(0).to_numpy(zero_copy_only=False), [len(k) for k in found])
+            waiting.append((np.concatenate(found).view(np.int64), reps))
+            size += len(reps)
+            if size >= RUN:
+                yield _run(*map(np.concatenate, zip(*waiting)))
+                waiting, size = [], 0
+        if waiting:
+            yield _run(*map(np.concatenate, zip(*waiting)))
 
     seen = written(rows.mapInArrow(sets, "doc_id long, n_shingles long, set_id binary, need_0 int, need_1 int"), f"{folder}/sets")
 
@@ -298,16 +310,22 @@ def near_duplicates(
     classes = of_class.where(F.col("doc_id") == F.col("rep")).select("doc_id").distinct()
     keyed = seen.where("need_0 is not null or need_1 is not null").join(classes, "doc_id", "left_semi")
     # Both joins with texts shuffle at every size: no plan for small inputs that large ones could not follow.
-    sent = rows.join(keyed.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "key long, rep long")
-    by_key = Window.partitionBy("key").orderBy("rep")
+    sent = rows.join(keyed.select("doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(keys, "key long, rep long, spread int")
+    # Of a key's rows only the first of each run meets the others, however hot the key is.
+    by_key = Window.partitionBy("key", F.greatest("spread", F.lit(0))).orderBy("rep")
     near = F.coalesce(F.lag("rep").over(by_key) != F.col("rep"), F.lit(False)) | F.coalesce(F.lead("rep").over(by_key) != F.col("rep"), F.lit(False))
-    common = written(sent.withColumn("common", near).where("common").drop("common"), f"{folder}/keys")
+    common = written(sent.withColumn("common", (F.col("spread") != 0) | near).where("common").select("key", "rep"), f"{folder}/keys")
     band = F.col("key").bitwiseAND(F.lit(1)).alias("band")
     counts = common.groupBy("rep", band).agg(F.count(F.lit(1)).alias("n"))
     need = F.when(F.col("band") == 0, F.col("need_0")).otherwise(F.col("need_1"))
     enough = counts.join(keyed.select(F.col("doc_id").alias("rep"), "need_0", "need_1"), "rep").where(F.col("n") >= need).select("rep", "band").distinct()
-    first = F.first("rep").over(by_key)
-    ties = common.withColumn("band", band).join(enough, ["rep", "band"]).select("rep", first.alias("first")).where(F.col("rep") != F.col("first")).distinct()
+    held = common.withColumn("band", band).join(enough, ["rep", "band"]).select("key", "rep", salt("rep", ways).alias("salt"))
+    held = written(held, f"{folder}/held")
+    # A key ties its classes to the smallest, found by salted minima and led back by the same salts.
+    salted = held.groupBy("key", "salt").agg(F.min("rep").alias("least"))
+    firsts = salted.groupBy("key").agg(F.min("least").alias("first"))
+    back = salted.select("key", "salt").join(firsts, "key")
+    ties = held.join(back, ["key", "salt"]).where(F.col("rep") != F.col("first")).select("rep", "first").distinct()
     clusters = connected_components(ties.select(F.col("rep").alias("a"), F.col("first").alias("b")))
     clusters = written(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), f"{folder}/clusters")
 
