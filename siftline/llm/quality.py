@@ -1,7 +1,9 @@
 """Quality classifier: hierarchical empirical Bayes over a document classifier and its sites.
 
-1. Evidence. A logistic regression on byte-class shares, repetition and length is fitted on a bounded sample of
-   labelled rows (``SAMPLE``, by hash order). A document's evidence is its log odds less those of the sample.
+1. Evidence. On a bounded sample of labelled rows (about ``SAMPLE``, by hash order) words and four-byte sequences, hashed to
+   buckets, get log odds by class; a document's mean log odds of both kinds, with shares of byte classes, repetition and
+   length, go into a logistic regression. For the sample itself the log odds come from its other half, so that the
+   regression learns how far to trust them. A document's evidence is its log odds less those of the sample.
 2. Host posteriors. A host's share of good documents is the mean of its documents' posteriors, shrunk to the
    global share by a strength that the hosts themselves give (method of moments); path posteriors are
    shrunk to their host's in the same way. All of it is grouped sums over all documents.
@@ -17,35 +19,79 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, bounded_sample, salt, shared_dir, table, written
+from .common import salt, shared_dir, slices, table, written
+from .shingles import mixed, word_hashes
 
-#: Labelled rows that the document classifier is fitted on, at most.
+#: Labelled rows that the document classifier is fitted on, about.
 SAMPLE = 20_000
-FEATURES = 16
+#: Buckets of words, and as many of byte sequences.
+BUCKETS = 1 << 15
+#: Documents' shares are counted in units of one over this, so that sums are exact in any order.
+UNIT = 1 << 30
 #: Documents from which a share counts at all, where hosts or paths do not tell how far to shrink.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6
 
 _SYMBOLS = np.zeros(256, bool)
-_SYMBOLS[list(b"#$%&*@^~=+<>{}[]\\_")] = True
+_SYMBOLS[list(b"#$%&*@^~=+<>{}[]\\_|!")] = True
 
 
-def features(text: str) -> np.ndarray:
+def features(text: str) -> list[float]:
     """Length, shares of byte classes, sentence and line rates, repetition; finite for every text."""
     data = text.encode("utf-8", "surrogatepass")
     counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
     words, lines = text.split(), text.split("\n")
     n, w = max(1, len(data)), max(1, len(words))
-    symbols = counts[_SYMBOLS].sum()
-    pipes, shouts = counts[124], counts[33]
     distinct = len(set(words)) / w
-    return np.asarray(
-        [
-            np.log1p(n), symbols / n, pipes / n, shouts / n, counts[48:58].sum() / n, counts[65:91].sum() / n,
-            counts[46] / w, counts[44] / w, counts[10] / w, distinct, len(set(lines)) / len(lines), np.log1p(n / w),
-            symbols > 0.02 * w, pipes > 0.02 * w, shouts > 0.02 * w, distinct * np.log1p(w),
-        ],
-        np.float64,
-    )
+    return [
+        np.log1p(n), counts[_SYMBOLS].sum() / n, counts[48:58].sum() / n, counts[65:91].sum() / n, counts[128:].sum() / n,
+        counts[46] / w, counts[44] / w, counts[10] / w, distinct, len(set(lines)) / len(lines), np.log1p(n / w), distinct * np.log1p(w),
+    ]
+
+
+def grams(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For words and for four-byte sequences: the buckets of all texts one behind the other, and how many each text has."""
+    hashes, counts = word_hashes(texts)
+    data = np.frombuffer("\0\0\0".join([*texts, ""]).encode("utf-8", "surrogatepass"), np.uint8)
+    size = np.asarray([len(t.encode("utf-8", "surrogatepass")) for t in texts], np.int64)
+    four = data[:-3].astype(np.uint32)
+    for k in (1, 2, 3):
+        four |= data[k : len(data) - 3 + k].astype(np.uint32) << np.uint32(8 * k)
+    # Sequences that begin inside a text, its end padded by the zeros behind it.
+    keep = np.ones(len(data), bool)
+    ends = np.cumsum(size + 3)
+    for k in (1, 2, 3):
+        keep[ends - k] = False
+    bucket = lambda h, shift: (h >> shift).astype(np.int32)
+    bits = BUCKETS.bit_length() - 1
+    return [(bucket(hashes, np.uint64(64 - bits)), counts), (bucket(four[keep[: len(four)]] * np.uint32(0x9E3779B1), np.uint32(32 - bits)), size)]
+
+
+def _sums(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``counts`` values."""
+    total = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
+    ends = np.cumsum(counts)
+    return total[ends] - total[ends - counts]
+
+
+def all_features(texts: list[str], weights: np.ndarray) -> np.ndarray:
+    """A row of features for each text; ``weights`` are the log odds of the buckets, by kind."""
+    means = [_sums(w[buckets], counts) / np.maximum(1, counts) for (buckets, counts), w in zip(grams(texts), weights, strict=True)]
+    return np.concatenate([np.asarray([features(t) for t in texts]), np.stack(means, axis=1)], axis=1)
+
+
+#: How many features there are.
+FEATURES = len(features("")) + 2
+
+
+def log_odds(shares: np.ndarray, smooth: float = 1e-2) -> np.ndarray:
+    """Log odds of buckets from the shares that bad and good documents give them (last axis but one: class).
+
+    Zero where either class has no document.
+    """
+    total = shares.sum(axis=-1, keepdims=True)
+    spread = np.log(shares + smooth) - np.log(total + smooth * shares.shape[-1])
+    odds = spread[..., 1, :] - spread[..., 0, :]
+    return np.where((total[..., 0, :] > 0) & (total[..., 1, :] > 0), odds, 0.0)
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, float]:
@@ -70,17 +116,65 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarray, f
     return np.append(raw, w[-1] - raw @ mean), prior
 
 
-def _featured(rows: DataFrame) -> DataFrame:
-    """doc_id, host, path, check (a hash of the text) and the features; texts stay behind."""
+def _fitted(rows: DataFrame, marks: DataFrame, folder: str) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log odds of the buckets, weights of the regression, and the log odds of the sample."""
+    nothing = np.zeros((2, BUCKETS)), np.zeros(FEATURES + 1), 0.0
+    there = marks.count()
+    if not there:
+        return nothing
+    share = min(1.0, SAMPLE / there)
+    order = F.pmod(F.xxhash64("mark_id", F.lit(3)), F.lit(1 << 30))
+    chosen = marks.where(order < int(share * (1 << 30))).select("mark_id", "y", F.pmod(F.xxhash64("mark_id"), F.lit(2)).cast("int").alias("fold"))
+    # About SAMPLE rows at most: a broadcast at every size.
+    labelled = written(rows.join(F.broadcast(chosen), rows["doc_id"] == chosen["mark_id"]).select("fold", "y", "text"), f"{folder}/labelled")
+
+    def count(batches):
+        totals = np.zeros((2, 2, 2, BUCKETS), np.int64)
+        for part in slices(batches, 2, 4 << 20):
+            fold, y = (part.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+            for kind, (buckets, counts) in enumerate(grams(part.column(2).fill_null("").to_pylist())):
+                each = np.repeat(UNIT // np.maximum(1, counts), counts)
+                np.add.at(totals, (np.repeat(fold, counts), kind, np.repeat(y, counts), buckets), each)
+        at = np.nonzero(totals)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()) for x in at] + [pa.array(totals[at])], names=["fold", "kind", "y", "bucket", "n"])
+
+    # One row for each bucket, class, kind and half.
+    counted = labelled.mapInArrow(count, "fold int, kind int, y int, bucket int, n long").groupBy("fold", "kind", "y", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    if not len(counted):
+        return nothing
+    shares = np.zeros((2, 2, 2, BUCKETS))
+    shares[tuple(counted[c].to_numpy() for c in ("fold", "kind", "y", "bucket"))] = counted["n"].to_numpy() / UNIT
+    odds = log_odds(shares)
+
+    def look(batches):
+        for part in slices(batches, 2, 4 << 20):
+            fold, texts = part.column(0).to_numpy(), part.column(2).fill_null("").to_pylist()
+            x = np.zeros((len(texts), FEATURES))
+            for half in (0, 1):
+                rows_ = np.flatnonzero(fold == half)
+                if len(rows_):
+                    # Judged by what the other half says.
+                    x[rows_] = all_features([texts[i] for i in rows_], odds[1 - half])
+            ends = pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32())
+            yield pa.RecordBatch.from_arrays([part.column(1), pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1)))], names=["y", "x"])
+
+    sample = labelled.mapInArrow(look, "y int, x array<double>").toPandas()
+    weights, prior = fit(np.stack(sample["x"].to_list()), sample["y"].to_numpy().astype(np.float64))
+    return log_odds(shares.sum(axis=0)), weights, prior
+
+
+def _scored(rows: DataFrame, odds: np.ndarray, weights: np.ndarray) -> DataFrame:
+    """doc_id, host, path, check (a hash of the text) and the log odds of each row; texts stay behind."""
+    shared = rows.sparkSession.sparkContext.broadcast((odds, weights))
 
     def run(batches):
-        for batch in batches:
-            texts = batch.column(4).to_pylist()
-            x = np.concatenate([features(t or "") for t in texts]) if texts else np.zeros(0)
-            ends = pa.array(np.arange(len(texts) + 1) * FEATURES, pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.ListArray.from_arrays(ends, pa.array(x))], names=["doc_id", "host", "path", "check", "x"])
+        odds, weights = shared.value
+        for part in slices(batches, 4, 4 << 20):
+            x = all_features(part.column(4).fill_null("").to_pylist(), odds)
+            logit = np.clip(x @ weights[:-1] + weights[-1], -30, 30)
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(logit)], names=["doc_id", "host", "path", "check", "logit"])
 
-    return rows.mapInArrow(run, "doc_id long, host string, path string, check long, x array<double>")
+    return rows.select("doc_id", "host", "path", "check", "text").mapInArrow(run, "doc_id long, host string, path string, check long, logit double")
 
 
 def _shrunk(sites: DataFrame, parent: str) -> DataFrame:
@@ -110,10 +204,10 @@ def quality_scores(
 
     Labels with null ids or null quality are left out; of an id's labels every one counts. Without any label all
     evidence is zero and everything is good. Null text is empty. A null host or path is a site of its own.
-    Rows without an id are scored like others. An empty table gives no rows.
+    Rows without an id are scored like others, repeated rows each; texts are read whole whatever their length. An
+    empty table gives no rows. Other columns of either table are not read.
     """
     spark = docs.sparkSession
-    arrow_rows(spark)
     folder = shared_dir(spark)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
@@ -122,18 +216,10 @@ def quality_scores(
         F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("check"),
         F.col(text_col).alias("text"),
     )
-    seen = written(_featured(rows), f"{folder}/features")
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("double").alias("y")).where("doc_id is not null and y is not null")
-    sample = bounded_sample(seen.join(marks, "doc_id"), ["doc_id", "check", "y"], ["x", "y"], SAMPLE)
-    if len(sample):
-        weights, prior = fit(np.stack(sample["x"].to_list()), sample["y"].to_numpy())
-    else:
-        weights, prior = np.zeros(FEATURES + 1), 0.0
-    line = F.lit(float(weights[-1]))
-    for i in range(FEATURES):
-        line = line + F.col("x")[i] * float(weights[i])
-    logit = F.least(F.greatest(line, F.lit(-30.0)), F.lit(30.0))
-    scored = seen.select("doc_id", "host", "path", "check", logit.alias("logit"), salt("check", ways).alias("salt"))
+    marks = labels.select(F.col("doc_id").cast("long").alias("mark_id"), (F.col("quality") > 0).cast("int").alias("y")).where("mark_id is not null and y is not null")
+    odds, weights, prior = _fitted(rows, marks, folder)
+    seen = written(_scored(rows, odds, weights), f"{folder}/scored")
+    scored = seen.select("doc_id", "host", "path", "check", "logit", salt("check", ways).alias("salt"))
     scored = scored.withColumn("p", 1 / (1 + F.exp(-F.col("logit"))))
 
     # All sums over hosts and paths; the salted level also leads the shares back to the documents.

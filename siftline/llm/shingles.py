@@ -41,8 +41,8 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> n
     return mixed(np.add.reduceat(value, starts) + lengths.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)
 
 
-def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; a text of fewer words has one, a text without words none."""
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of all texts one behind the other, and how many each text has."""
     data = np.frombuffer("\n".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     gap = (data == 32) | ((data >= 9) & (data <= 13))
@@ -54,7 +54,14 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     # How many words stand before the end of each text.
     sizes = np.asarray([len(t.encode("utf-8", "surrogatepass")) + 1 for t in texts], np.int64)
     ends = np.searchsorted(first, np.cumsum(sizes))
-    begins = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
+    return hashes, np.diff(np.concatenate([[0], ends])).astype(np.int64)
+
+
+def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; a text of fewer words has one, a text without words none."""
+    hashes, counts = word_hashes(texts)
+    ends = np.cumsum(counts)
+    begins = ends - counts
     count = max(0, len(hashes) - words + 1)
     rolled = np.zeros(count, np.uint64)
     for k in range(words):
