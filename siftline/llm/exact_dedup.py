@@ -8,7 +8,8 @@ that share a digest are never taken for one:
 3. per (digest, text): at most ``ways`` rows of each text arrive.
 
 The rows come back by joins whose keys are bounded too: a text has at most ``ways`` salt groups,
-and a salt group holds about 1/``ways`` of a text's rows. No list of a group's ids is ever built.
+and a salt group holds about 1/``ways`` of a text's rows with different ids. On this way back SHA-256 and 64 more hash bits stand
+for the text, which need not be shuffled again. No list of a group's ids is ever built.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACES, salt, table
+from .common import SPACES, table
 
 #: Reducers over which the copies of one text are spread.
 WAYS = 64
@@ -32,7 +33,7 @@ def _normalised(text):
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ways: int = WAYS) -> DataFrame:
-    """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256.
+    """One row per row of ``docs``: its id, keep_id, group_size, kept, text_sha256, check (xxhash64 of the original text).
 
     Texts are equal when identical after deleting blanks, tabs and line ends (U+0020, U+0009 to U+000D).
     Of equal texts the one with the most code points stays, then the smallest id.
@@ -46,11 +47,14 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col(id_col).cast("long").alias("id"),
         _normalised(F.col(text_col)).alias("norm"),
         F.length(F.coalesce(F.col(text_col), F.lit(""))).cast("long").alias("n"),
+        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("raw"),
     ).select(
         "id",
+        "raw",
         "norm",
         F.sha2("norm", 256).alias("digest"),
-        salt("id", ways).alias("salt"),
+        # Rows without an id, or with one that many share, are spread by their own text's hash, too.
+        F.pmod(F.xxhash64("id", "raw"), F.lit(ways)).cast("int").alias("salt"),
         F.expr(
             f"cast(n as decimal(10,0)) * cast({RADIX} as decimal(21,0))"
             f" + coalesce(cast({TOP} as decimal(20,0)) - cast(id as decimal(20,0)), cast(0 as decimal(20,0)))"
@@ -61,7 +65,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # Which of the texts of one digest: always 0, unless SHA-256 collides.
     best = best.select("digest", "rank", "size", F.xxhash64("norm").alias("check"))
     # The way back needs no texts: which salts a text has comes from its members' keys alone.
-    members = rows.select("id", "salt", "digest", F.xxhash64("norm").alias("check"))
+    members = rows.select("id", "raw", "salt", "digest", F.xxhash64("norm").alias("check"))
     groups = members.select("salt", "digest", "check").distinct().join(best, ["digest", "check"])
     offset = F.expr(f"rank % cast({RADIX} as decimal(21,0))")
     joined = members.join(groups, ["salt", "digest", "check"]).withColumn(
@@ -74,11 +78,12 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("size").cast("long").alias("group_size"),
         F.col("id").eqNullSafe(F.col("keep")).alias("kept"),
         F.col("digest").alias("text_sha256"),
+        F.col("raw").alias("check"),
     )
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_groups(table(spark, sf_dir, "documents"))
+    return exact_groups(table(spark, sf_dir, "documents")).drop("check")
 
 
 ORACLE = r"""
