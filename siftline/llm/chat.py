@@ -19,10 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, table, written
+from .common import slices, table, written
 
 END = b"</turn>\n"
 TRAINED_ROLE = "assistant"
+#: What a string column of Arrow can hold.
+MOST_BYTES = (1 << 31) - 1
 _NAME = re.compile(r"([\\#:/])")
 _ESCAPED = re.compile(r"\\(.)", re.S)
 
@@ -95,11 +97,11 @@ def _format(batches):
     from pyspark import TaskContext
 
     part = TaskContext.get().partitionId() << 32
-    for batch in batches:
-        if not batch.num_rows:
-            continue
+    for batch in slices(batches, 3):
         keys, roles = batch.column(0).to_pylist(), batch.column(2).to_pylist()
         data, turn_end, low, high = assemble(roles, batch.column(3))
+        if len(data) > MOST_BYTES:
+            raise ValueError("one turn makes more bytes than a string column holds")
         new = [i for i in range(len(keys)) if not i or keys[i] != keys[i - 1]]
         first = np.asarray(new, np.int64)
         last = np.append(first[1:], len(keys))
@@ -130,10 +132,9 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     ``spans`` are the code points of assistants' texts in ``formatted``, the loss mask. Turns come by turn,
     null turns first, ties by role and text, so repeated rows give repeated turns. A null conv_id is a
     conversation of its own, a null role is empty, null text is empty; an empty table gives no rows. Other
-    columns are not read. Rows are dealt by ranges of conversation and turn, so a hot conversation is spread.
+    columns are not read. Turns are assembled a few megabytes at a time; a longer one comes alone, and one that would not
+    fit a string column (2 GiB) once escaped raises ValueError. Rows are dealt by ranges of conversation and turn, so a hot conversation is spread.
     """
-    spark = conversations.sparkSession
-    arrow_rows(spark)
     order = ["conv_id", "turn", "role", "text"]
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").alias("role"), F.col("text").alias("text")

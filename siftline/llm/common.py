@@ -55,13 +55,6 @@ def salt(column: str, ways: int):
     return F.pmod(F.xxhash64(F.col(column)), F.lit(ways)).cast("int")
 
 
-def arrow_rows(spark: SparkSession, rows: int = 512) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of very long texts still fits a Python worker."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
-
-
 def slices(batches: Iterator[pa.RecordBatch], column: int, most: int = 8 << 20, rows: int = 1024) -> Iterator[pa.RecordBatch]:
     """Parts of Arrow batches of at most ``rows`` rows and ``most`` bytes in a text column; a longer text comes alone.
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_rows, salt, shared_dir, table, written
+from .common import slices, salt, shared_dir, table, written
 from .storage import opened, task_file
 
 #: Payloads from this size on are stored once.
@@ -75,7 +75,6 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     folder = shared_dir(spark)
-    arrow_rows(spark)
 
     def write(batches):
         target = task_file(folder, ".warc.gz")
@@ -83,7 +82,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
         fs.create_dir(path.rpartition("/")[0])
         at = 0
         with fs.open_output_stream(path, compression=None) as out:
-            for batch in batches:
+            for batch in slices(batches, 2):
                 index = []
                 for page_id, url, html, digest, size, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     member = zlib.compressobj(1, wbits=31)
