@@ -9,8 +9,10 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
-from siftline.llm import chat, components, embedding_join, exact_dedup, html_extract, ngram_join, packing, pieces, quality, shingles, token_file, tokens, warc
+from siftline.llm import chat, embedding_join, exact_dedup, html_extract, ngram_join, packing, pieces, quality, shingles, token_file, tokens, warc
+from siftline.operators.graph import connected_components
 
 WORD = tokens.tokenizer_path("word_bpe_49k.json")
 BYTE = tokens.tokenizer_path("byte_bpe_50k.json")
@@ -37,6 +39,11 @@ def docs(spark):
     return table(spark, rows, "doc_id long, text string").withColumns({"source": F.lit("s"), "lang": F.lit(None).cast("string")})
 
 
+def library_ids(path, text, end):
+    """The ids of a whole text by the library as it is, and the end id."""
+    return np.asarray([*Tokenizer.from_file(path).encode(text or "", add_special_tokens=False).ids, end], "<u4").tobytes()
+
+
 def rows_of(df):
     return [tuple(r) for r in df.collect()]
 
@@ -144,7 +151,7 @@ def test_components(spark):
             if b is not None and a != b:
                 a, b = find(a), find(b)
                 root[max(a, b)] = min(a, b)
-        got = dict(rows_of(components.connected_components(spark.createDataFrame(edges, "a long, b long"))))
+        got = dict(rows_of(connected_components(spark.createDataFrame(edges, "a long, b long"))))
         assert got == {x: find(x) for x in list(root)}
 
 
@@ -156,7 +163,7 @@ def test_thresholds_that_would_lose_links_are_refused(spark):
 
 def test_packing(spark, docs):
     got = packing.pack(docs, WORD, end_id=0).collect()
-    ids = {i: x + b"\0\0\0\0" for i, x in zip(*zip(*[(r.doc_id, tokens.encoder(WORD)([r.text or ""])[0]) for r in docs.select("doc_id", "text").collect()]), strict=True)}
+    ids = {r.doc_id: library_ids(WORD, r.text, 0) for r in docs.select("doc_id", "text").collect()}
     assert {r.doc_id for r in got} == set(ids)
     places = {}
     for r in got:
@@ -218,10 +225,12 @@ def test_residual_fit_is_best_fit(seed):
 def test_words_give_the_library_ids():
     r = random.Random(4)
     letters = "ab .,\n!'́é1½²Σ\t|$%"
-    texts = ["", "  a", "a\n\nb", "don't stop", "x² y½.", "<|endoftext|> hi", "It's. we're!"] + ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000)]
+    texts = ["", "  a", "a\n\nb", "don't stop", "x² y½.", "<|endoftext|> hi", "hi <|endoftext|> yo", "a <|startoftext|>", "Σας ΣΑΣ İx ǅ", "a\u2009b c\x1cd", "x" * 9000, "It's. we're!"] + ["".join(r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(2000)]
     for path in (BYTE, WORD):
-        encode = tokens.WordIds(path)
-        assert encode(texts) == encode._library(texts)
+        library = Tokenizer.from_file(path)
+        assert tokens.WordIds(path)(texts) == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        library.encode_special_tokens = True
+        assert tokens.WordIds(path, special_as_text=True)(texts) == [np.asarray(library.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
 
 
 def test_token_files(docs):
@@ -229,7 +238,7 @@ def test_token_files(docs):
     data = sorted(((-(2**63) if r.doc_id is None else r.doc_id), r.text or "") for r in docs.select("doc_id", "text").collect())
     at, want = 0, []
     for i, t in data:
-        ids = tokens.encoder(BYTE)([t])[0] + b"\2\0\0\0"
+        ids = library_ids(BYTE, t, 2)
         want.append((i, at, len(ids) // 4, zlib.crc32(ids)))
         at += len(ids) // 4
     assert got == want
@@ -272,11 +281,86 @@ def test_html(pages):
         ("<div class='cookie-notice'>no</div><main><h2>t</h2><ul><li>1<li>2</ul>x&nbsp;y</main>", "t\n1\n2\nx y"),
         ("<article>cut off <b>here", "cut off here"),
         ("<article><p>&lt;i&gt; &#233;&eacute;</p><!-- no --></article>", "<i> éé"),
+        # A named region inside an article is one only as a container, and not where it is most of the article.
+        ("<article><p id='share'>stays</p><h2 class='notice'>too</h2></article>", "stays\ntoo"),
+        ("<article><div class='related'><p>all of the text stands in here</p></div><p>x</p></article>", "all of the text stands in here\nx"),
+        # A teaser is not the article.
+        ("<article class='card'>teaser</article><div><p>the real text of the page</p><p>goes on</p></div>", "teaser\nthe real text of the page\ngoes on"),
         ("", ""),
     ],
 )
 def test_html_cases(html, text):
-    assert html_extract.main_text(html_extract.blocks(html), None) == text
+    assert html_extract.main_text(html_extract.lines_of(html), None) == text
+
+
+def _alignment(a, b):
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a)):
+        for j in range(len(b)):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    return best[-1][-1]
+
+
+def test_many_equal_lines_align_soon():
+    r = random.Random(2)
+    a, b = ([r.choice("ab") for _ in range(1500)] for _ in range(2))
+    found = sorted(html_extract.common_lines(a, b))
+    assert len(found) == _alignment(a, b)
+    # What is found is a subsequence of the other page, too.
+    rest = iter(b)
+    assert all(a[i] in rest for i in found)
+
+
+def test_hostile_pages_end_soon():
+    assert html_extract.lines_of("<b>" * 60_000 + "</i>" * 60_000 + "x")
+    assert html_extract.lines_of("<div>" + "<b>" * 60_000 + "<div></div>" * 60_000 + "x")
+
+
+def _brute_pages(rows):
+    """Texts by pairing every page with its neighbours in the sorted list of all pages."""
+    import re
+
+    def key(row):
+        i, url, html = row
+        host, path = re.match(r"(?:[A-Za-z][\w+.-]*:)?//([^/?#]*)([^?#]*)", url).groups()
+        return host.lower(), path, i
+
+    rows = sorted(rows, key=key)
+    pages = [html_extract.lines_of(h) for *_, h in rows]
+    out = {}
+    for at, row in enumerate(rows):
+        near = []
+        for side in (-1, 1):
+            if 0 <= at + side < len(rows) and key(rows[at + side])[0] == key(row)[0]:
+                a, b = key(row)[1], key(rows[at + side])[1]
+                same = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+                near.append((same, -side, pages[at + side]))
+        other = max(near, key=lambda x: x[:2])[2] if near else []
+        lines = pages[at]
+        gone = set()
+        if other != lines:
+            a, b = [t for t, *_ in lines], [t for t, *_ in other]
+            gone = {i for i in range(len(a)) if _alignment(a[:i] + a[i + 1 :], b) < _alignment(a, b)}
+        out[row[0]] = "\n".join(t for i, (t, _, mark) in enumerate(lines) if not mark and i not in gone)
+    return out
+
+
+@pytest.mark.parametrize("partitions", ["1", "8", "40"])
+def test_differencing_is_the_same_on_any_partitions(spark, partitions):
+    r = random.Random(9)
+    rows = []
+    for i in range(60):
+        host = r.choice(["a.b", "A.b", "c.d"])
+        lines = [f"top of {host.lower()}", f"own {i}", *([f"block {i % 3}"] if i % 2 else []), f"more {i}", "imprint"]
+        rows.append((i, f"http://{host}/{r.choice('xyz')}/{r.randint(0, 99)}?q={i}", "".join(f"<div>{t}</div>" for t in lines)))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {x.page_id: x.text for x in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == _brute_pages(rows)
+    assert not any("top of" in t or "imprint" in t for t in got.values())
 
 
 def test_common_lines():
@@ -334,6 +418,26 @@ def test_pieces_are_the_library_s():
     assert [encode.vocabulary.decode(np.asarray(x)) for x in got] == model.decode(got)
 
 
+def test_long_words_and_blank_runs_end_soon():
+    import sentencepiece
+
+    model, encode = sentencepiece.SentencePieceProcessor(model_file=PIECE), pieces.encoder(PIECE)
+    r = random.Random(6)
+    texts = [" " * 100_000, "word" * 25_000, "é🙂" * 20_000, "".join(r.choice("etaoin srhldcu") for _ in range(100_000)), "".join(r.choice("etaoinsrhldcu") for _ in range(100_000))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == model.encode(texts)
+
+
+def test_words_alone_and_together_are_alike():
+    names = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab", "bca"]
+    r = random.Random(4)
+    for bpe in (False, True):
+        vocabulary = pieces.Vocabulary(names, [-0.3 - 0.7 * k / 2 for k in range(len(names))], [True] * len(names), [], 0, bpe=bpe)
+        words = ["".join(r.choice("abcx") for _ in range(12)) for _ in range(300)]
+        assert vocabulary.viterbi(words) == [vocabulary.advance_one(w, block=5) for w in words]
+        if bpe:
+            assert vocabulary.viterbi(words) == [[vocabulary.by_text.get(p, len(names)) for p in vocabulary.merged(w)] for w in words]
+
+
 def test_unigram_viterbi_matches_all_segmentations():
     r = random.Random(2)
     names = ["a", "b", "c", "ab", "bc", "abc", "ca", "cab"]
@@ -427,6 +531,63 @@ def test_quality(spark, docs):
     assert quality.quality_scores(docs, labels.limit(0)).where("good").count() == docs.count()
 
 
+def test_quality_sites_match_plain_sums(spark):
+    """Host and path posteriors, their shrinking and the decision, from the same evidence by plain loops."""
+    r = random.Random(11)
+    words = ["river", "stone", "walks", "under", "bright", "window"]
+    rows = []
+    for i in range(240):
+        bad = r.random() < (0.6 if i % 4 == 0 else 0.1)
+        text = " ".join("buy*** now$$$" for _ in range(r.randint(3, 30))) if bad else " ".join(r.choice(words) for _ in range(r.randint(5, 60)))
+        rows.append((i, text, f"host{i % 4}", r.choice(["en", "de", None]), not bad))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, is_good boolean")
+    marks = [(i, int(g)) for i, _, _, _, g in rows if i % 2]
+    labels = spark.createDataFrame(marks, "doc_id long, quality int").withColumns({c: F.lit("clash") for c in ("host", "path", "y", "fold", "salt")})
+    got = {x.doc_id: x for x in quality.quality_scores(df, labels).collect()}
+    ones = sum(y for _, y in marks)
+    prior = np.log((ones + 1) / (len(marks) - ones + 1))
+    p = {i: 1 / (1 + np.exp(-(got[i].evidence + prior))) for i in got}
+    site = {i: (h, f or "") for i, _, h, f, _ in rows}
+    groups = {}
+    for i, key in site.items():
+        groups.setdefault(key, []).append(p[i])
+    hosts = {}
+    for (h, _), ps in groups.items():
+        hosts.setdefault(h, []).extend(ps)
+
+    def strength(sites):
+        """Of (values, parent share) pairs, by moments."""
+        n = sum(len(v) for v, _ in sites)
+        spread = sum(len(v) * (np.mean(v) - m) ** 2 for v, m in sites)
+        between = (spread - sum(m * (1 - m) for _, m in sites)) / n
+        within = sum(len(v) * m * (1 - m) for v, m in sites) / n
+        return float(np.clip(within / between - 1 if between > 0 else quality.MOST_STRENGTH, quality.LEAST_STRENGTH, quality.MOST_STRENGTH))
+
+    whole = np.mean(list(p.values()))
+    k = strength([(v, whole) for v in hosts.values()])
+    host_share = {h: (sum(v) + k * whole) / (len(v) + k) for h, v in hosts.items()}
+    k = strength([(v, host_share[h]) for (h, _), v in groups.items()])
+    for i, (h, f) in site.items():
+        v = groups[h, f]
+        share = (sum(v) - p[i] + k * host_share[h]) / (len(v) - 1 + k)
+        odds = got[i].evidence + np.log(share / (1 - share))
+        assert got[i].path_share == pytest.approx(share, abs=1e-9) and got[i].score == pytest.approx(1 / (1 + np.exp(-odds)), abs=1e-9)
+        assert got[i].good == (odds >= 0)
+
+
+def test_grams_are_those_of_each_text():
+    r = random.Random(5)
+    texts = ["", "a", "abc", "abcd", "é日本 x", " \n", "one two  three", "".join(r.choice("ab é\n") for _ in range(500))]
+    together = quality.grams(texts)
+    for kind in (0, 1):
+        buckets, counts = together[kind]
+        parts = np.split(buckets, np.cumsum(counts)[:-1])
+        for t, part in zip(texts, parts, strict=True):
+            alone = quality.grams([t])[kind]
+            assert part.tolist() == alone[0].tolist() and alone[1].tolist() == [len(part)]
+        assert counts.tolist() == ([len(t.split()) for t in texts] if kind == 0 else [len(t.encode()) for t in texts])
+
+
 def test_sparse_sites_shrink_to_the_global_share(spark):
     rows = [(i, "some plain words here", "big", "en") for i in range(50)] + [(100, "some plain words here", "tiny", "en")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
@@ -474,3 +635,41 @@ def test_pipeline_stages_keep_clean_documents(spark, docs, tmp_path):
     # Near copies: 12 of 11; 9, 10 and 15 differ in case alone.
     assert sizes[2] == [-5, 1, 7, 8, 9, 11, 13, 14]
     assert {r.doc_id for r in out.collect()} - {None} == set(sizes[2])
+
+
+def _run_pipeline(spark, folder, rows, labels=((10**6, 1, 0),)):
+    import corpus_pipeline
+
+    extra = {c: F.lit("clash") for c in ("id", "_id", "_check", "check", "hash", "row_id", "n", "dropped")}
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns(extra)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    now, kept = spark.read.parquet(f"{folder}/documents.parquet"), []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, now, str(folder))
+        out.write.parquet(f"{folder}/out{k}")
+        now = spark.read.parquet(f"{folder}/out{k}")
+        kept.append(now)
+    return kept
+
+
+def test_pipeline_tells_rows_apart_by_id_and_text(spark, tmp_path):
+    long = " ".join(f"w{k}" for k in range(60))
+    near = long.replace("w5 ", "v5 ")
+    rows = [
+        (1, "same text"), (2, "same text"), (2, "another text altogether"), (None, "same text"), (None, "a text of no id"), (None, None), (7, ""),
+        (3, long), (4, near), (4, "a third text that stands alone"), (None, near + " x"),
+    ]
+    kept = _run_pipeline(spark, tmp_path, [(i, t, "en", "s") for i, t in rows])
+    by_stage = [sorted((r.doc_id is None, r.doc_id or 0, r.text or "") for r in df.select("doc_id", "text").collect()) for df in kept[:3]]
+    stays = lambda *pairs: sorted((i is None, i or 0, t or "") for i, t in pairs)
+    assert by_stage[0] == stays(*rows)
+    unique = [(1, "same text"), (2, "another text altogether"), (None, "a text of no id"), (7, ""), (3, long), (4, near), (4, "a third text that stands alone"), (None, near + " x")]
+    assert by_stage[1] == stays(*unique)
+    assert by_stage[2] == stays((1, "same text"), (2, "another text altogether"), (None, "a text of no id"), (7, ""), (3, long), (4, "a third text that stands alone"))
+    assert kept[3].count() == 6
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    kept = _run_pipeline(spark, tmp_path, [])
+    assert [df.count() for df in kept] == [0, 0, 0, 0]
