@@ -1,7 +1,10 @@
 """The corpus pipeline: quality classifier, exact dedup, near dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a frame, which is written and read again as the next
-one's ``docs``. All but the last return the columns of ``documents``.
+one's ``docs``. All but the last return the columns of ``documents``, whatever else they are named.
+
+Documents are told apart by id *and* text: rows that share an id are judged each by its own text, and so are rows
+without an id. A null text counts as the empty one: a document like any other, whose copies go. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,28 +16,50 @@ from siftline.llm import exact_dedup, ngram_join, packing, quality, tokens
 from siftline.llm.common import shared_dir, table, written
 
 
-def _check():
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose id and text hash are in ``dropped`` (doc_id, check)."""
+    dropped = dropped.select(F.col("doc_id").alias("id"), F.col("check").alias("hash")).distinct()
+    text_hash = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.join(dropped, docs["doc_id"].cast("long").eqNullSafe(dropped["id"]) & (text_hash == dropped["hash"]), "left_anti")
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
     scores = quality.quality_scores(docs, table(spark, sf_dir, "labels"))
-    rejected = scores.where(~F.col("good")).select(F.col("doc_id").alias("_id"), F.col("check").alias("_check")).distinct()
-    return docs.join(rejected, F.col("doc_id").eqNullSafe(F.col("_id")) & (_check() == F.col("_check")), "left_anti")
+    return _without(docs, scores.where(~F.col("good")))
 
 
 def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text; a row without an id stays, as nothing can name it among copies."""
-    dropped = exact_dedup.exact_groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_id"))
-    return docs.join(dropped.where(F.col("_id").isNotNull()), F.col("doc_id") == F.col("_id"), "left_anti")
+    """One document of each text: the one with most code points, then the smallest id.
+
+    Rows alike in id and text cannot be told apart and stay together.
+    """
+    return _without(docs, exact_dedup.exact_groups(docs).where(~F.col("kept")))
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group that five-word shingles link at a Jaccard similarity of 0.8 or more."""
-    groups = ngram_join.near_duplicates(docs, words=5, num=80, den=100)
-    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_id"))
-    return docs.join(dropped, F.col("doc_id") == F.col("_id"), "left_anti")
+    """The first document of each group that five-word shingles link at a Jaccard similarity of 0.8 or more.
+
+    The join takes rows of one id as one document. So where an id is missing or comes more than once, its rows go
+    by a hash of id and text instead.
+    """
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select("id")
+    name = "row_id"
+    while name in docs.columns:
+        name += "_"
+    own = docs["doc_id"].cast("long")
+    if repeated.isEmpty():
+        named = docs.withColumn(name, own)
+    else:
+        # Above all ids in use, so that a document with an id of its own stays rather than one without.
+        top = docs.agg(F.max(own)).first()[0] or 0
+        hashed = F.lit(top) + F.pmod(F.xxhash64("doc_id", "text"), F.lit((1 << 63) - 1 - max(top, 0)))
+        named = docs.join(repeated, own.eqNullSafe(repeated["id"]), "left")
+        is_repeated = repeated["id"].isNotNull() | docs["doc_id"].isNull()
+        named = named.select(*(docs[c] for c in docs.columns), F.when(is_repeated, hashed).otherwise(own).alias(name))
+    groups = ngram_join.near_duplicates(named, words=5, num=80, den=100, id_col=name)
+    dropped = groups.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("dropped"))
+    return named.join(dropped, named[name] == dropped["dropped"], "left_anti").drop(name)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
