@@ -1,0 +1,251 @@
+"""Evidence operators over the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..operators import aggregates as agg
+from ..operators import evidence, joins
+from .registry import query, table
+
+
+@query(
+    "p26_numbered_window",
+    r"""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l, CASE WHEN n_chars % 3 > 0 THEN doc_id % 7 + 1 END AS hit FROM documents)
+    SELECT doc_id, CASE WHEN hit IS NOT NULL THEN array_to_string(list_transform(range(greatest(1, hit - 2), least(hit + 3, len(l)) + 1), lambda i: i || ' | ' || l[i]), chr(10)) END AS code FROM l""",
+)
+def p26_window(spark, d):
+    """Two lines before to three lines after a hit that differs by document."""
+    hit = F.when(F.col("n_chars") % 3 > 0, (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", evidence.code_window(F.col("text"), hit, F.lit(None).cast("int"), 2, 3).alias("code"))
+
+
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^a-z]+'), lambda w: length(w) > 3)"
+
+
+@query(
+    "p15_diff_symbols",
+    f"""WITH w AS (SELECT doc_id, {_WORDS}[1:30] AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) AS i FROM w)
+    SELECT DISTINCT doc_id, name FROM e WHERE i % 3 <> 1""",
+)
+def p15(spark, d):
+    """Diffs whose first, fourth, ... line is added, and whose others are removed or kept."""
+    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3), 1, 30)
+    line = lambda w, i: F.concat(F.when(i % 3 == 0, F.lit("+def ")).when(i % 3 == 1, F.lit("-function ")).otherwise(F.lit(" const ")), w, F.when(i % 3 == 2, F.lit(" = (a, b) =>")).otherwise(F.lit("(x)")))
+    diffs = table(spark, d, "documents").select("doc_id", F.concat(F.lit("--- a/f\n+++ b/f\n@@ -1 +1 @@ def g(\n"), F.array_join(F.transform(words, line), "\n")).alias("diff"))
+    return evidence.diff_symbols(diffs, "doc_id", "diff")
+
+
+@query(
+    "j31_declaration_state",
+    f"""WITH w AS (SELECT lang AS package, {_WORDS} AS w FROM documents WHERE lang <> 'fr' AND doc_id % 10 < 5), e AS (SELECT package, unnest(w) AS name, generate_subscripts(w, 1) % 5 AS i FROM w),
+    f AS (SELECT package, name, bool_or(i = 1) AS declares FROM e WHERE i IN (1, 2) GROUP BY 1, 2), k AS (SELECT DISTINCT package FROM w),
+    n AS (SELECT DISTINCT lang AS package, unnest(['with', 'avec', 'para', 'nicht', 'that', 'nothing']) AS name FROM documents)
+    SELECT package, name, CASE WHEN declares THEN true WHEN NOT declares OR package NOT IN (FROM k) THEN NULL ELSE false END AS declared FROM n LEFT JOIN f USING (package, name)""",
+)
+def j31(spark, d):
+    """Sources that declare the first word of five, only mention the second as a string, and call the others; one language has no source."""
+    docs = table(spark, d, "documents")
+    words = F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3)
+    code = F.array_join(F.transform(words, lambda w, i: F.when(i % 5 == 0, F.concat(F.lit("def "), w, F.lit("(a):"))).when(i % 5 == 1, F.concat(F.lit("x['"), w, F.lit("'] += 1"))).otherwise(F.concat(w, F.lit(";")))), "\n")
+    files = docs.where("lang <> 'fr' and doc_id % 10 < 5").select(F.col("lang").alias("package"), code.alias("text"))
+    names = docs.select(F.col("lang").alias("package"), F.explode(F.array(*map(F.lit, ("with", "avec", "para", "nicht", "that", "nothing")))).alias("name")).distinct()
+    return evidence.declaration_states(names, files)
+
+
+@query(
+    "j32_callback_registration",
+    f"""WITH w AS (SELECT doc_id, {_WORDS}[1:20] AS w FROM documents), e AS (SELECT doc_id, unnest(w) AS name, generate_subscripts(w, 1) % 5 AS i FROM w)
+    SELECT DISTINCT doc_id, name FROM e WHERE i <> 0""",
+)
+def j32(spark, d):
+    words = F.slice(F.filter(F.split(F.lower("text"), "[^a-z]+"), lambda w: F.length(w) > 3), 1, 20)
+    forms = ("[$this, '{}']", "'on' => '{}'", "'App\\\\Kernel::{}'", 'getattr(self, "{}")', "{}()")
+
+    def line(w, i):
+        out = None
+        for k, form in enumerate(forms):
+            left, right = form.split("{}")
+            said = F.concat(F.lit(left), w, F.lit(right))
+            out = F.when(i % 5 == k, said) if out is None else out.when(i % 5 == k, said)
+        return out
+
+    files = table(spark, d, "documents").select("doc_id", F.array_join(F.transform(words, line), "\n").alias("text"))
+    return evidence.callback_registrations(files, "doc_id", "text")
+
+
+@query(
+    "f17_request_readers",
+    r"""SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '(^|[^A-Za-z0-9_$])(get|input)\('))) AS readers
+        FROM (SELECT doc_id, replace(replace(text, ' the ', ' get('), ' de ', ' input(') AS text FROM documents)""",
+)
+def f17(spark, d):
+    text = F.replace(F.replace("text", F.lit(" the "), F.lit(" get(")), F.lit(" de "), F.lit(" input("))
+    lines = table(spark, d, "documents").select("doc_id", F.filter(F.split(text, "\n"), lambda line: evidence.reads_request(line, ["get", "input"])).alias("hits"))
+    return lines.select("doc_id", F.size("hits").cast("long").alias("readers"))
+
+
+@query(
+    "f22_quote_admissibility",
+    """WITH h AS (SELECT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)), p AS (SELECT item_id, count(*) AS n, bool_and(doc_id % 2 = 0) AS vendored FROM h GROUP BY 1)
+    SELECT item_id, CASE WHEN item_id % 7 = 0 THEN 'comment' WHEN vendored THEN 'vendored' END AS rejection FROM benchmark LEFT JOIN p USING (item_id)""",
+)
+def f22(spark, d):
+    """Passages quoted from the documents that hold them; those with even numbers are third-party code."""
+    docs, items = table(spark, d, "documents"), table(spark, d, "benchmark")
+    met = joins.containing(docs, "doc_id", "text", items.select("item_id", "text").withColumnRenamed("text", "passage"), "item_id", "passage")
+    path = F.when(F.col("doc_id") % 2 == 0, F.lit("vendor\\lib.php: ")).otherwise("src/app.php: ")
+    lines = met.join(items.withColumnRenamed("text", "passage"), "item_id").groupBy("item_id").agg(F.collect_list(F.concat(path, F.col("passage"))).alias("lines"))
+    rows = items.join(lines, "item_id", "left")
+    quote = F.when(F.col("item_id") % 7 == 0, F.concat(F.lit(" + // "), "text")).otherwise(F.col("text"))
+    return rows.select("item_id", evidence.quote_rejection(quote, F.coalesce("lines", F.array().cast("array<string>"))).alias("rejection"))
+
+
+@query(
+    "p30_answer_repair",
+    """SELECT event_id, CASE event_id % 6 WHEN 5 THEN NULL ELSE CAST(json_extract_string(props, '$.k') AS BIGINT) END AS k, CASE event_id % 6 WHEN 3 THEN 'a\\d' WHEN 5 THEN NULL ELSE 'ok' END AS note FROM events""",
+)
+def p30(spark, d):
+    """Answers as they are, fenced, prefaced, with bad escapes, both, and broken."""
+    k = F.get_json_object("props", "$.k")
+    whole = F.concat(F.lit('{"k": '), k, F.lit(', "note": "ok"}'))
+    bad = F.concat(F.lit('{"k": '), k, F.lit(', "note": "a\\d"}'))
+    m = F.col("event_id") % 6
+    text = (
+        F.when(m == 0, whole).when(m == 1, F.concat(F.lit("Sure:\n```json\n"), whole, F.lit("\n```\nDone."))).when(m == 2, F.concat(F.lit("The answer is "), whole, F.lit(" I think.")))
+        .when(m == 3, F.concat(F.lit("```\n"), bad, F.lit("\n```"))).when(m == 4, F.concat(whole, F.lit("  "))).otherwise(F.concat(F.lit("I can't say. {"), k))
+    )
+    rows = table(spark, d, "events").select("event_id", evidence.repaired_answer(text).alias("v"))
+    return rows.select("event_id", F.try_variant_get("v", "$.k", "bigint").alias("k"), F.try_variant_get("v", "$.note", "string").alias("note"))
+
+
+@query(
+    "p36_report_place",
+    """SELECT o_orderkey, CASE WHEN o_custkey % 3 > 0 THEN 'src/' || o_custkey || '.js' WHEN o_custkey % 2 = 0 THEN 'lib@1.0' WHEN o_orderkey % 2 = 0 THEN 'project dependency' ELSE 'no file given' END AS location,
+       CASE WHEN o_orderkey % 4 = 0 THEN 'a:1, b:2, c:3' WHEN o_custkey % 3 > 0 THEN 'src/' || o_custkey || '.js' || CASE WHEN o_custkey % 5 > 0 THEN ':' || (o_custkey % 5) ELSE '' END ELSE '-' END AS place,
+       CASE WHEN o_orderkey % 2 = 0 THEN 'dependency' WHEN o_custkey % 2 = 0 THEN 'dependency' ELSE 'weakness' END AS kind FROM orders""",
+)
+def p36(spark, d):
+    c, o = F.col("o_custkey"), F.col("o_orderkey")
+    path = F.when(c % 3 > 0, F.concat(F.lit("src/"), c.cast("string"), F.lit(".js"))).otherwise("<unknown>")
+    sites = F.when(o % 4 == 0, F.array(*map(F.lit, ("a:1", "b:2", "c:3", "d:4"))))
+    place = evidence.report_place(path, c % 5, F.when(c % 2 == 0, "lib"), F.lit("1.0"), sites, F.when(o % 2 == 0, "dependency").otherwise(""))
+    return table(spark, d, "orders").withColumn("p", place).select("o_orderkey", "p.location", "p.place", "p.kind")
+
+
+@query(
+    "p40_image_facts",
+    """SELECT s_suppkey, CASE s_suppkey % 7 WHEN 0 THEN 'production' WHEN 1 THEN 'full' WHEN 2 THEN 'production' WHEN 3 THEN 'full' WHEN 4 THEN 'unknown' WHEN 5 THEN 'none' ELSE 'unknown' END AS tree,
+       CASE WHEN s_suppkey % 7 < 6 THEN 'CMD run ' || s_suppkey ELSE '' END AS start FROM supplier""",
+)
+def p40(spark, d):
+    """Images that install, with and without development packages, that copy a stage's tree, the whole context, or nothing."""
+    m = F.col("s_suppkey") % 7
+    body = (
+        F.when(m == 0, "FROM node AS build\nRUN npm ci\nFROM node:20\nENV NODE_ENV=production\nRUN npm \\\n  ci\n").when(m == 1, "# built\nFROM node\nRUN yarn install\n")
+        .when(m == 2, "FROM node AS Deps\nRUN npm ci --omit=dev\nFROM slim\nCOPY --from=deps /app/node_modules ./node_modules\n").when(m == 3, "FROM node\nRUN npm ci\nFROM slim\nCOPY --from=other /x/vendor vendor\n")
+        .when(m == 4, "FROM slim\nCOPY . /app\n").when(m == 5, "FROM a AS x\nRUN npm ci\nFROM slim\nCOPY --from=x /dist /dist\n").otherwise("# nothing\n")
+    )
+    end = F.when(m < 6, F.concat(F.lit("CMD run "), F.col("s_suppkey").cast("string"))).otherwise("")
+    return evidence.image_facts(table(spark, d, "supplier").select("s_suppkey", F.concat(body, end).alias("text")), "s_suppkey", "text")
+
+
+@query(
+    "p46_declared_release",
+    """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'go1.' || s_nationkey || '.3' WHEN 1 THEN 'go1.' || s_nationkey || '.0' WHEN 2 THEN 'go1.22.1' WHEN 3 THEN 'go1.' || s_nationkey || '.0' ELSE '' END AS release FROM supplier""",
+)
+def p46(spark, d):
+    m, n = F.col("s_suppkey") % 5, F.col("s_nationkey").cast("string")
+    build = F.when(m == 0, F.concat(F.lit("FROM docker.io/golang:1."), n, F.lit(".3-alpine\n"))).when(m == 1, F.concat(F.lit("ARG GO_VERSION=1."), n, F.lit("\nFROM golang:${GO_VERSION}-bookworm AS b\n"))).otherwise("FROM scratch\n")
+    module = F.when(m == 4, "module x\n").when(m == 2, F.concat(F.lit("module x\n\ngo 1."), n, F.lit("\ntoolchain go1.22.1\n"))).otherwise(F.concat(F.lit("module x\n\ngo 1."), n, F.lit("\n")))
+    return table(spark, d, "supplier").select("s_suppkey", evidence.declared_release(build, module).alias("release"))
+
+
+@query(
+    "o6_character_budget",
+    """WITH e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents), s AS (SELECT doc_id, i, sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY i) AS total FROM e)
+    SELECT doc_id, count(*) AS lines, max(total)::BIGINT AS chars FROM s WHERE total <= 2000 GROUP BY 1""",
+)
+def o6(spark, d):
+    lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+    size = F.length("line") + 1
+    kept = evidence.within_budget(lines, ["doc_id"], ["i"], size, 2000)
+    return kept.groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.sum(size).alias("chars"))
+
+
+_PLAN = """WITH s AS (SELECT l_partkey, l_linenumber AS installed, count(DISTINCT l_suppkey) AS advisories, count(DISTINCT CASE WHEN l_returnflag = 'R' THEN l_suppkey END) AS confirmed FROM lineitem GROUP BY 1, 2)"""
+
+
+@query("o3_upgrade_order", f"{_PLAN} SELECT installed, l_partkey, row_number() OVER (PARTITION BY installed ORDER BY confirmed DESC, advisories DESC, l_partkey) AS place FROM s")
+def o3(spark, d):
+    """Upgrade steps of each installed version: most confirmed first, then most advisories, then by name."""
+    confirmed = F.count_distinct(F.when(F.col("l_returnflag") == "R", F.col("l_suppkey")))
+    steps = table(spark, d, "lineitem").groupBy("l_partkey", F.col("l_linenumber").alias("installed")).agg(F.count_distinct("l_suppkey").alias("advisories"), confirmed.alias("confirmed"))
+    order = Window.partitionBy("installed").orderBy(F.col("confirmed").desc(), F.col("advisories").desc(), "l_partkey")
+    return steps.select("installed", "l_partkey", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query("o7_symbol_first", "SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_returnflag <> 'R', l_linenumber) AS place FROM lineitem")
+def o7(spark, d):
+    """Advisories of a package with those that name symbols first, otherwise as they came."""
+    order = Window.partitionBy("l_orderkey").orderBy(F.col("l_returnflag") != "R", "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(
+    "f24_languages_of_findings",
+    """WITH f AS (SELECT CASE doc_id % 4 WHEN 0 THEN ' Packagist' WHEN 1 THEN 'golang' END AS eco, CASE doc_id % 5 WHEN 0 THEN 'tsx' WHEN 1 THEN 'PY' WHEN 2 THEN 'txt' ELSE 'go' END AS suffix FROM documents)
+    SELECT DISTINCT CASE WHEN eco = ' Packagist' THEN 'php' WHEN suffix = 'tsx' THEN 'typescript' WHEN suffix = 'PY' THEN 'python' WHEN suffix = 'go' THEN 'go' END AS language FROM f WHERE eco IS DISTINCT FROM 'golang' AND (eco IS NOT NULL OR suffix <> 'txt')""",
+)
+def f24(spark, d):
+    i = F.col("doc_id")
+    path = F.concat(F.lit("a/b."), F.when(i % 5 == 0, "tsx").when(i % 5 == 1, "PY").when(i % 5 == 2, "txt").otherwise("go"))
+    found = table(spark, d, "documents").select(F.when(i % 4 == 0, " Packagist").when(i % 4 == 1, "golang").alias("eco"), path.alias("path"))
+    return evidence.languages_present(found, "eco", "path", ["composer", "npm", "pypi"])
+
+
+@query(
+    "f20_ecosystem_files",
+    """SELECT page_id, CASE page_id % 3 WHEN 0 THEN page_id % 5 IN (0, 1) WHEN 1 THEN page_id % 5 = 2 ELSE page_id % 5 < 3 END OR page_id % 5 = 3 AS own FROM pages""",
+)
+def f20(spark, d):
+    """Files of three ecosystems, one of them unknown, by suffix; configuration counts everywhere."""
+    i = F.col("page_id")
+    path = F.concat(F.lit("x."), F.when(i % 5 == 0, "js").when(i % 5 == 1, "Vue").when(i % 5 == 2, "go").when(i % 5 == 3, "yaml").otherwise("md"))
+    eco = F.when(i % 3 == 0, "nodejs").when(i % 3 == 1, "Go")
+    return table(spark, d, "pages").select("page_id", evidence.of_ecosystem(path, eco, configs=True).alias("own"))
+
+
+@query(
+    "f25_unaffected_functions",
+    """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'The load' || p_partkey || ' function is not affected.' WHEN 1 THEN 'It matters, but load' || p_partkey || ' is unaffected!' END AS said FROM part""",
+)
+def f25(spark, d):
+    """Advisories that clear a function, that clear its callers only, and that clear another one."""
+    name = F.concat(F.lit("load"), F.col("p_partkey").cast("string"))
+    m = F.col("p_partkey") % 4
+    middle = (
+        F.when(m == 0, F.concat(F.lit("The "), name, F.lit(" function is not affected."))).when(m == 1, F.concat(F.lit("It matters, but "), name, F.lit(" is unaffected!")))
+        .when(m == 2, F.concat(F.lit("Callers of "), name, F.lit(" are not affected."))).otherwise(F.concat(name, F.lit(" is affected; dump is not affected.")))
+    )
+    return table(spark, d, "part").select("p_partkey", evidence.declared_unaffected(F.concat(F.lit("A flaw in parsing.\n"), middle, F.lit(" Upgrade now.")), name).alias("said"))
+
+
+@query("a18_image_only_packages", "SELECT DISTINCT lower(p_brand) AS package, p_size % 5 || '.0' AS version FROM part WHERE p_partkey % 3 = 0")
+def a18(spark, d):
+    shipped = F.when(F.col("p_partkey") % 3 == 0, "image_only").when(F.col("p_partkey") % 3 == 1, "runtime")
+    rows = table(spark, d, "part").select("p_brand", F.concat((F.col("p_size") % 5).cast("string"), F.lit(".0")).alias("version"), shipped.alias("shipped"))
+    return evidence.image_only_packages(rows, "p_brand", "version", "shipped")
+
+
+@query(
+    "s10_lock_of_project",
+    """SELECT project, min(CASE WHEN kind = 'pnpm' THEN 2 WHEN kind = 'yarn' THEN 1 ELSE 0 END) AS rank FROM (SELECT o_custkey AS project, CASE o_orderkey % 3 WHEN 0 THEN 'npm' WHEN 1 THEN 'yarn' ELSE 'pnpm' END AS kind FROM orders) GROUP BY 1""",
+)
+def s10(spark, d):
+    """Of the lock files of a project the one that comes first in the order of precedence."""
+    kind = F.when(F.col("o_orderkey") % 3 == 0, "npm").when(F.col("o_orderkey") % 3 == 1, "yarn").otherwise("pnpm")
+    rank = F.array_position(F.array(*map(F.lit, ("npm", "yarn", "pnpm"))), kind).cast("int") - 1
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("project"), rank.alias("rank"), kind.alias("kind"))
+    return agg.best_by(rows, ["project"], [F.col("rank")], ["rank"])

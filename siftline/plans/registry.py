@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import aggregates, decisions, dependency, facts, filters, graphs, joins, projections, readers, windows  # noqa: E402, F401
+from . import aggregates, decisions, dependency, evidence, facts, filters, graphs, joins, projections, readers, sources, windows  # noqa: E402, F401

@@ -39,6 +39,36 @@ def test_passages_are_looked_up_whole(spark, tmp_path):
     assert counts == {"alpha": 2, "beta": 1, "gamma": 1, "delta": 1, "zeta": 1}
 
 
+def test_short_passages_are_found(spark):
+    from siftline.operators import joins
+
+    texts = spark.createDataFrame([(1, "it is so, unalterably fixed"), (2, "so be it"), (3, None), (4, "xone two three four five six sevenx")], "doc_id long, text string")
+    asked = ["is so", "so", "alter", "one two three", "one two three four five six seven", "two  three", "fixed", None, "be it so", "so be it"]
+    passages = spark.createDataFrame(list(enumerate(asked)), "item_id long, passage string")
+    got = {tuple(r) for r in joins.containing(texts, "doc_id", "text", passages, "item_id", "passage").collect()}
+    want = {(r.doc_id, i) for r in texts.collect() for i, p in enumerate(asked) if p is not None and r.text is not None and p in r.text}
+    assert got == want
+
+
+def test_review_queue_against_a_plain_loop(spark):
+    """The queue and its summary: within a run clusters go by score and path, and the budget defers what does not fit."""
+    items = {}
+    for r in QUERIES["a19_review_queue"](spark, str(DATA)).collect():
+        items.setdefault(r.run, []).append(r)
+    summary = {r.run: r for r in QUERIES["a20_queue_summary"](spark, str(DATA)).collect()}
+    assert set(summary) == set(items)
+    for run, rows in items.items():
+        rows.sort(key=lambda r: (-r.score, r.path))
+        total = sum(r.cluster_size for r in rows)
+        allowed, spent = max(1, round(total * 30.0 / 100)), 0
+        for r in rows:
+            deferred = not r.exempt and (r.score < 25 or spent + r.cluster_size > allowed)
+            assert r.deferred == deferred
+            spent += 0 if deferred else r.cluster_size
+        s = summary[run]
+        assert (s["items"], s.findings, s.deferred, s.collapsed) == (len(rows), total, sum(r.deferred for r in rows), total - len(rows))
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 

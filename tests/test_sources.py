@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 
-from siftline.sources import dependencies, reports
+import pytest
+from pyspark.sql import functions as F
+
+from siftline.sources import dependencies, reports, runs, traces
 
 
 def test_sarif(spark, tmp_path):
@@ -86,3 +89,48 @@ def test_source_files(spark, tmp_path):
     (tmp_path / "src" / "big.js").write_text("z" * 50)
     got = dependencies.source_files(spark, str(tmp_path), [".js"], most_bytes=10).collect()
     assert [r.text for r in got] == ["x"]
+
+
+def test_nesting_has_no_limit(spark, tmp_path):
+    doc = {"components": []}
+    inner = doc["components"]
+    for k in range(15):
+        inner.append({"bom-ref": f"r{k}", "purl": f"pkg:npm/p{k}@1.{k}", "components": []})
+        inner = inner[0]["components"]
+    (tmp_path / "deep.cdx.json").write_text(json.dumps(doc))
+    components, _ = dependencies.cyclonedx(spark, str(tmp_path))
+    assert {r.name for r in components.collect()} == {f"p{k}" for k in range(15)}
+
+
+def test_folder_of_mixed_reports(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps({"runs": [{"tool": {"driver": {"name": "t"}}, "results": [{"ruleId": "r", "message": {"text": "m"}}]}]}))
+    (tmp_path / "b.json").write_text(json.dumps({"findings": [{"id": "n1", "path": "x.py"}, {"id": "n2"}]}))
+    (tmp_path / "c.jsonl").write_text('{"id": "n3", "path": "y.py"}\nbroken\n')
+    (tmp_path / "d.sarif").write_text("{broken")
+    (tmp_path / "scan-manifest.json").write_text(json.dumps({"scans": [{"scanner": "s", "ok": False}]}))
+    (tmp_path / ".hidden").mkdir()
+    (tmp_path / ".hidden" / "e.json").write_text(json.dumps([{"id": "n9", "path": "z.py"}]))
+    found, aside = runs.read_findings(spark, str(tmp_path))
+    assert {r.finding_id for r in found.collect()} == {"t:0:0:r", "n1", "n3"}
+    assert sorted(r.reason for r in aside.collect()) == ["no JSON", "no JSON in a line", "no file path"]
+    (tmp_path / "empty").mkdir()
+    (tmp_path / "empty" / "a.json").write_text("[]")
+    with pytest.raises(ValueError, match="no findings"):
+        runs.read_findings(spark, str(tmp_path / "empty"))
+
+
+def test_manifest_and_tables_come_back(spark, tmp_path):
+    scans = spark.createDataFrame([("a", True, None, 3, 1.5), ("b", False, "", 0, 0.1)], "scanner string, ok boolean, error string, findings long, duration_s double")
+    runs.write_manifest(scans, f"{tmp_path}/m")
+    row = runs.scan_coverage(spark.read.text(f"{tmp_path}/m").withColumn("report", F.lit("r"))).first()
+    assert (row.ran, [tuple(f) for f in row.failed], row.complete) == (["a"], [("b", "no reason recorded")], False)
+    broken = spark.createDataFrame([("x", "{"), ("y", None)], "report string, value string")
+    assert [r.complete for r in runs.scan_coverage(broken).collect()] == [False, False]
+    runs.write_tables({"queue": scans.select("scanner"), "plan": scans.select("findings")}, str(tmp_path / "out"))
+    assert spark.read.json(f"{tmp_path}/out/queue").count() == spark.read.json(f"{tmp_path}/out/plan").count() == 2
+
+
+def test_streams_of_objects(spark):
+    texts = [('{"a":"} {"}{"b":1}\n\n {"c":[{}]}',), ("",), (None,), ('{"a":1}{broken',)]
+    got = spark.createDataFrame(texts, "t string").select(traces.stream_objects(F.col("t")).alias("o")).collect()
+    assert [r.o for r in got] == [['{"a":"} {"}', '{"b":1}', '{"c":[{}]}'], [], [], ['{"a":1}']]
