@@ -74,3 +74,21 @@ def test_entry_point(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).limit(1).count() == 1
+
+
+def test_passages_are_grounded_as_by_hand(spark):
+    from siftline.functions.fuzzy import similarity
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text}
+    passages = {r.item_id: r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()}
+    rows = QUERIES["j34_passage_grounding"](spark, str(DATA)).collect()
+    assert {(r.item_id, r.doc_id) for r in rows} == {(i, k) for i, p in passages.items() for k, t in texts.items() if p in t}
+    plain = lambda t: " ".join(t.split()).lower()
+    for r in rows:
+        words = passages[r.item_id].split(" ")
+        if r.item_id % 4 == 0:
+            words[len(words) // 2] = "zzzz"
+        quote = plain(" ".join(words) if r.item_id % 4 < 3 else passages[r.item_id][::-1])
+        text = plain(texts[r.doc_id])
+        assert r.grounded == (quote in text or similarity(quote, text) >= 0.85)
+    assert {r.grounded for r in rows} == {True, False}
