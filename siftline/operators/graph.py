@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _durable(df: DataFrame) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """A checkpoint in the folder the session names; only on one machine that names none, in a folder of that machine."""
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
@@ -32,10 +32,10 @@ def reach(edges: DataFrame, starts: DataFrame, src: str, dst: str, within: int |
     limit that the question itself sets (nodes of at most so many hops).
     """
     marks = starts.columns[1:]
-    levels = [_durable(starts.withColumnRenamed(starts.columns[0], "node").distinct().withColumn("hops", F.lit(0)))]
+    levels = [durable(starts.withColumnRenamed(starts.columns[0], "node").distinct().withColumn("hops", F.lit(0)))]
     while within is None or len(levels) <= within:
         step = levels[-1].join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("node"), *marks).distinct()
-        new = _durable(step.join(_union(levels).select("node", *marks), ["node", *marks], "left_anti").withColumn("hops", F.lit(len(levels))))
+        new = durable(step.join(_union(levels).select("node", *marks), ["node", *marks], "left_anti").withColumn("hops", F.lit(len(levels))))
         if new.isEmpty():
             break
         levels.append(new)
@@ -71,10 +71,10 @@ def connected_components(links: DataFrame, ways: int = 16) -> DataFrame:
     grow with the logarithm of the longest path, and end when a round changes nothing.
     """
     some = links.where(F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != F.col("b")))
-    edges = _durable(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    edges = durable(some.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     mark = None
     while True:
-        edges = _durable(_star(_star(edges, True, ways), False, ways))
+        edges = durable(_star(_star(edges, True, ways), False, ways))
         row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if row == mark:
             break
@@ -106,11 +106,11 @@ def shortest_paths(edges: DataFrame, starts: DataFrame, src: str, dst: str, leve
 
     ``levels`` is a limit that the question itself sets (paths of so many steps at most); without one all are found.
     """
-    found = [_durable(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("path", F.array("node")))]
+    found = [durable(starts.select(F.col(starts.columns[0]).alias("node")).distinct().withColumn("path", F.array("node")))]
     while levels is None or len(found) <= levels:
         step = found[-1].join(edges, F.col("node") == F.col(src)).select(F.col(dst).alias("to"), F.concat("path", F.array(dst)).alias("path"))
         step = step.groupBy("to").agg(F.min("path").alias("path")).withColumnRenamed("to", "node")
-        new = _durable(step.join(_union(found).select("node"), "node", "left_anti"))
+        new = durable(step.join(_union(found).select("node"), "node", "left_anti"))
         if new.isEmpty():
             break
         found.append(new)

@@ -57,7 +57,7 @@ def g4(spark, d):
     parents = table(spark, d, "customer").where("c_custkey > 1").select(F.col("c_custkey").alias("root"), F.floor(F.col("c_custkey") / 2).cast("long").alias("up"))
     done, open_ = at.where("root <= 8"), at.where("root > 8")
     while not open_.isEmpty():
-        open_ = graph._durable(open_.join(parents, "root").select("node", F.col("up").alias("root")))
+        open_ = graph.durable(open_.join(parents, "root").select("node", F.col("up").alias("root")))
         done, open_ = done.unionByName(open_.where("root <= 8")), open_.where("root > 8")
     return done
 

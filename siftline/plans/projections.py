@@ -150,7 +150,7 @@ def p21(spark, d):
 def p22(spark, d):
     lines = table(spark, d, "documents").select(F.explode(F.split("text", "\n")).alias("line"))
     shaped = lines.select(text.variant_shape(F.col("line")).alias("shape"))
-    return shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n"), F.first(text.distinctive(F.col("shape"))).alias("distinctive"))
+    return shaped.groupBy("shape").agg(F.count(F.lit(1)).alias("n")).withColumn("distinctive", text.distinctive(F.col("shape")))
 
 
 @query(

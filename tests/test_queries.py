@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.plans.registry import ORACLES, QUERIES
 
@@ -69,6 +70,49 @@ def test_review_queue_against_a_plain_loop(spark):
         assert (s["items"], s.findings, s.deferred, s.collapsed) == (len(rows), total, sum(r.deferred for r in rows), total - len(rows))
 
 
+def test_shapes_and_redaction_against_plain_python(spark):
+    import hashlib
+    import re
+    from collections import Counter
+
+    from siftline.functions.fuzzy import redact
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").collect()
+
+    def replaced(text, steps):
+        for pattern, to in steps:
+            text = re.sub(pattern, to, text)
+        return text
+
+    cluster = ((r"""(["'])(?:\\.|(?!\1).)*\1""", "S"), (r"\b\d+\b", "N"), (r"\$\w+", "V"), (r"\b[A-Za-z_]\w*\b", "I"), (r"\s+", ""))
+    want = Counter((r.source, replaced(r.text or "", cluster)[:120]) for r in docs)
+    assert {(r.source, r["shape"]): r.n for r in QUERIES["p21_cluster_shape"](spark, str(DATA)).collect()} == want
+    variant = ((r"""(["'])(?:\.|(?!\1).)*\1""", '""'), (r"\b\d+\b", "0"), (r"\$\w+", "$V"), (r"(->|\.)\w+(?![\w(])", r"\1M"), (r"\s+", " "))
+    want = Counter(replaced(line.strip(" "), variant).strip(" ") for r in docs if r.text is not None for line in r.text.split("\n"))
+    assert {r["shape"]: r.n for r in QUERIES["p22_variant_shape"](spark, str(DATA)).collect()} == want
+    hidden = {r.doc_id: (r.hidden, r.text_md5) for r in QUERIES["p24_secret_redaction"](spark, str(DATA)).collect()}
+    for r in docs:
+        text, n = redact(r.text) if r.text is not None else (None, 0)
+        assert hidden[r.doc_id] == (n, None if text is None else hashlib.md5(text.encode()).hexdigest())
+
+
+def test_percentiles_are_picked_by_index_on_any_ranges(spark):
+    import random
+
+    from siftline.operators.aggregates import index_percentiles
+
+    r = random.Random(3)
+    rows = [("hot" if r.random() < 0.8 else r.choice(["a", "b", None]), None if r.random() < 0.05 else float(r.randint(0, 300))) for _ in range(4000)]
+    df = spark.createDataFrame(rows, "k string, v double").withColumn("n", F.lit("clash"))
+    for keys in (["k"], []):
+        got = {tuple(x[k] for k in keys): (x.p50, x.p95, x["max"], x.n) for x in index_percentiles(df, keys, "v").collect()}
+        groups = {}
+        for k, v in rows:
+            if v is not None:
+                groups.setdefault((k,) if keys else (), []).append(v)
+        assert got == {k: (sorted(v)[len(v) // 2], sorted(v)[int(len(v) * 0.95)], max(v), len(v)) for k, v in groups.items()}
+
+
 def test_entry_point(spark):
     import __spark_entry__ as entry
 
