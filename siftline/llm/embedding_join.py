@@ -4,16 +4,13 @@
 2. A coarse and a product quantiser are fitted for each vector length on a bounded sample (``SAMPLE`` vectors, by hash
    order, dealt to the lengths by their shares); every vector is then put into its nearest list among its
    length's, with a residual code for each of eight subspaces. Lists are numbered through all lengths.
-3. Each vector visits its own list and every list whose border with its own is near enough (half of ``REACH``). In a
-   list, distances from visitors to members are sums of table look-ups by code; members whose sum is small
-   enough go on to the exact cosine in double precision, which alone decides.
+3. Each vector visits its own list and every list whose border with its own is at most half a linked displacement away:
+   of two linked vectors in two lists one is that near, as their distances to the border add up to no more than their
+   displacement. In a list, distances from visitors to members are sums of table look-ups by code; by the triangle inequality a
+   linked member is at most the displacement and what its code leaves out away. Those within that
+   bound go on to the exact cosine in double precision, which alone decides. So no link is lost, whatever the data are like.
 4. Lists are cut into chunks of members and of visitors, one task for each pair of chunks, so no task holds
    a hot list. Tasks return the links' number for each vector and a spanning set of them, never all pairs.
-
-A displacement of length r between two linked vectors has a part along any fixed direction of about
-r / sqrt(dimension); REACH such parts decide both how far a vector visits and which look-up sums go on. On
-isotropic noise the share of links lost is below one in a thousand (measured in the tests); the
-rule is not a proof for noise along few directions.
 """
 
 from __future__ import annotations
@@ -31,10 +28,10 @@ SAMPLE = 20_000
 #: What each vector length gives to the sample at least, as far as it has so many.
 LEAST_SAMPLE = 64
 #: Vectors of a list on average, and the most lists.
-LIST_SIZE, MOST_LISTS = 512, 2048
+LIST_SIZE, MOST_LISTS = 1024, 2048
+#: What rounding may add to a distance or a squared distance.
+ROUNDING = 1e-4
 SUBSPACES, CODES = 8, 256
-#: In units of a linked displacement's standard part along one direction.
-REACH = 4.0
 #: Members and visitors that one task takes.
 MEMBERS, VISITORS = 2048, 4096
 
@@ -69,13 +66,10 @@ class Index:
         self.half, self.gap = square / 2, np.sqrt(np.maximum(gap, 1e-18))
 
     def visits(self, x: np.ndarray, home: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists each unit vector visits: those whose border with its own list is within half the reach.
-
-        Of two linked vectors in two lists one is at most half their displacement away from the border, and visits the other's list.
-        """
+        """Which lists each unit vector visits: those whose border with its own list is within half of ``radius``."""
         near = x @ self.centres.T - self.half
         to_border = (near[np.arange(len(x)), home][:, None] - near) / self.gap[home]
-        out = to_border <= REACH / 2 * radius / np.sqrt(x.shape[1])
+        out = to_border <= radius / 2 + ROUNDING
         out[np.arange(len(x)), home] = True
         return out
 
@@ -197,8 +191,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
         back = index.visits(x_m, np.full(len(x_m), at), radius)
         id_m, id_v = members["rep"].to_numpy(), visitors["rep"].to_numpy()
         home_v = visitors["home"].to_numpy() - first
-        part = REACH / np.sqrt(x_m.shape[1])
-        limit = radius**2 + left**2 + 2 * radius * left * min(1.0, part) + 1e-4
+        limit = (radius + left) ** 2 + ROUNDING
         found_v, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for i in range(0, len(raw_v), 512):
             block = slice(i, i + 512)

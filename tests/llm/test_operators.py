@@ -516,6 +516,28 @@ def test_embeddings(spark, monkeypatch):
     assert len(got) == len(rows) and all(r.kept == (r.vec_id == r.component_id) for r in got if r.vec_id is not None)
 
 
+@pytest.mark.parametrize("rank", [3, 32])
+def test_no_link_near_the_threshold_is_lost(rank):
+    """Displacements along few directions, too: a pair is seen from one side at least, and the look-up bound lets it through."""
+    r = np.random.default_rng(rank)
+    n, d = 3000, 32
+    x = r.normal(size=(n, d))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = r.normal(size=(n, rank)) @ r.normal(size=(rank, d))
+    z -= (z * x).sum(axis=1, keepdims=True) * x
+    y = 0.9001 * x + np.sqrt(1 - 0.9001**2) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    index, radius = embedding_join.Index(np.concatenate([x, y]), 40), np.sqrt(0.2)
+    home = embedding_join._nearest(x, index.centres), embedding_join._nearest(y, index.centres)
+    rows = np.arange(n)
+    seen = index.visits(x, home[0], radius)[rows, home[1]] | index.visits(y, home[1], radius)[rows, home[0]]
+    assert seen.all()
+    for at in range(40):
+        mine = np.flatnonzero(home[1] == at)
+        codes, left = index.encode(y[mine], home[1][mine])
+        near = index.distances(x[mine], at, codes)[np.arange(len(mine)), np.arange(len(mine))]
+        assert (near <= (radius + left) ** 2 + embedding_join.ROUNDING).all()
+
+
 def test_quality(spark, docs):
     r = random.Random(7)
     good = lambda: " ".join(r.choice(["river", "stone", "walks", "under", "bright", "window", "slow"]) + str(r.randint(0, 999)) for _ in range(80))
