@@ -180,9 +180,26 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     return dealt.mapInArrow(read, RECORD)
 
 
+def resolved(records: DataFrame, ways: int = 16) -> DataFrame:
+    """``records`` (of ``read_records``, without payloads) with each revisit's size and digest from the response that it refers to.
+
+    They are null where no such response was read or its payload is not the one that the revisit names. A response that many
+    pages revisit meets them by salts.
+    """
+    names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
+    whole, again = records.where("record_type = 'response'").select(names), records.where("record_type = 'revisit'").withColumn("salt", salt("page_id", ways))
+    asked = again.select("refers_to", "payload_digest", "salt").distinct()
+    found = whole.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    found = asked.join(found, ["refers_to", "payload_digest"]).withColumns({"digest": F.col("payload_digest"), "bytes": F.col("payload_bytes")})
+    back = again.drop("payload_bytes").join(found.drop("payload_bytes"), ["refers_to", "payload_digest", "salt"], "left")
+    return whole.unionByName(back.select("page_id", "url", "record_type", "refers_to", F.col("digest").alias("payload_digest"), F.col("bytes").alias("payload_bytes")))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = write_archives(table(spark, sf_dir, "pages"))
-    return read_records(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    # Read once: both sides of the lookup need the records.
+    records = written(read_records(index, payloads=False).drop("payload"))
+    return resolved(records).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """

@@ -385,6 +385,12 @@ def test_warc(pages):
         assert (r.record_type == "revisit") == (r.refers_to is not None) == (r.page_id == 2)
         assert r.payload == (None if r.refers_to else text)
     assert {r.refers_to for r in rows} == {None, 1}
+    whole = {(r.page_id, r.url): (r.payload_bytes, r.payload_digest) for r in rows}
+    found = warc.resolved(warc.read_records(index, payloads=False).drop("payload")).collect()
+    assert len(found) == 9 and all((r.payload_bytes, r.payload_digest) == whole[r.page_id, r.url] for r in found)
+    # A revisit whose response isn't there has no payload to tell of.
+    alone = warc.resolved(warc.read_records(index.where("page_id = 2"), payloads=False).drop("payload")).first()
+    assert (alone.record_type, alone.refers_to, alone.payload_bytes, alone.payload_digest) == ("revisit", 1, None, None)
     # Single records are found by the index.
     assert warc.read_records(index.where("page_id = 3")).first().url == "http://a.b/x/3"
 
