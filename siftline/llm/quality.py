@@ -28,6 +28,8 @@ SAMPLE = 20_000
 BUCKETS = 1 << 15
 #: Documents' shares are counted in units of one over this, so that sums are exact in any order.
 UNIT = 1 << 30
+#: Bytes of text whose features are made together; what that takes is some forty times as much.
+TOGETHER = 1 << 20
 #: Documents from which a share counts at all, where hosts or paths do not tell how far to shrink.
 LEAST_STRENGTH, MOST_STRENGTH = 2.0, 1e6
 
@@ -130,7 +132,7 @@ def _fitted(rows: DataFrame, marks: DataFrame, folder: str) -> tuple[np.ndarray,
 
     def count(batches):
         totals = np.zeros((2, 2, 2, BUCKETS), np.int64)
-        for part in slices(batches, 2, 4 << 20):
+        for part in slices(batches, 2, TOGETHER):
             fold, y = (part.column(k).to_numpy().astype(np.int64) for k in (0, 1))
             for kind, (buckets, counts) in enumerate(grams(part.column(2).fill_null("").to_pylist())):
                 each = np.repeat(UNIT // np.maximum(1, counts), counts)
@@ -147,7 +149,7 @@ def _fitted(rows: DataFrame, marks: DataFrame, folder: str) -> tuple[np.ndarray,
     odds = log_odds(shares)
 
     def look(batches):
-        for part in slices(batches, 2, 4 << 20):
+        for part in slices(batches, 2, TOGETHER):
             fold, texts = part.column(0).to_numpy(), part.column(2).fill_null("").to_pylist()
             x = np.zeros((len(texts), FEATURES))
             for half in (0, 1):
@@ -169,7 +171,7 @@ def _scored(rows: DataFrame, odds: np.ndarray, weights: np.ndarray) -> DataFrame
 
     def run(batches):
         odds, weights = shared.value
-        for part in slices(batches, 4, 4 << 20):
+        for part in slices(batches, 4, TOGETHER):
             x = all_features(part.column(4).fill_null("").to_pylist(), odds)
             logit = np.clip(x @ weights[:-1] + weights[-1], -30, 30)
             yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(logit)], names=["doc_id", "host", "path", "check", "logit"])

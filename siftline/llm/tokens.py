@@ -22,11 +22,11 @@ from .common import slices
 
 #: Words of a generation that a worker keeps. A full one is kept as the old one until the next is full; words met
 #: again move on. Only speed depends on it.
-KEPT_WORDS = 700_000
+KEPT_WORDS = 300_000
 #: Words longer than this are not kept.
 LONGEST_KEPT = 64
-#: Bytes of text that are cut into words together.
-TOGETHER = 16 << 20
+#: Bytes of text that are cut into words together. With the words kept it is what a worker's memory depends on.
+TOGETHER = 4 << 20
 
 # Letters, then punctuation that neither joins letters nor starts a contraction.
 _TAIL = re.compile(r"([\n\r]?[^\W\d_]+)([.,;:!?|$%&*#)]+)")
