@@ -9,8 +9,9 @@
    displacement. In a list, distances from visitors to members are sums of table look-ups by code; by the triangle inequality a
    linked member is at most the displacement and what its code leaves out away. Those within that
    bound go on to the exact cosine in double precision, which alone decides. So no link is lost, whatever the data are like.
-4. Lists are cut into chunks of members and of visitors, one task for each pair of chunks, so no task holds
-   a hot list. Tasks return the links' number for each vector and a spanning set of them, never all pairs.
+4. Neighbouring lists form blocks, to which a vector is sent once however many of their lists it visits. Blocks are cut into chunks of
+   members and of visitors, one task for each pair of chunks, so no task holds a hot list. Tasks return
+   the links' number for each vector and a spanning set of them, never all pairs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ LIST_SIZE, MOST_LISTS = 1024, 2048
 #: What rounding may add to a distance or a squared distance.
 ROUNDING = 1e-4
 SUBSPACES, CODES = 8, 256
+#: Neighbouring lists that are one block: a vector is sent once to each block that it visits.
+BLOCK = 16
 #: Members and visitors that one task takes.
-MEMBERS, VISITORS = 2048, 4096
+MEMBERS, VISITORS = 8192, 8192
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -57,7 +60,10 @@ class Index:
 
     def __init__(self, sample: np.ndarray, lists: int):
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-        self.centres = _kmeans(x, min(lists, len(x)))
+        centres = _kmeans(x, min(lists, len(x)))
+        # In the order along their main axis, so that lists of near numbers lie near each other.
+        spread = centres - centres.mean(axis=0)
+        self.centres = centres[np.argsort(spread @ np.linalg.svd(spread, full_matrices=False)[2][0], kind="stable")]
         self.cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         rest = x - self.centres[_nearest(x, self.centres)]
         self.codes = [_kmeans(rest[:, a:b], min(CODES, len(x))) for a, b in zip(self.cuts, self.cuts[1:])]
@@ -106,7 +112,7 @@ def _spanning(a: np.ndarray, b: np.ndarray, count: int) -> np.ndarray:
 
 
 def _indexes(classes: DataFrame) -> dict[int, tuple[int, Index]]:
-    """For each vector length the number of its first list and its quantisers.
+    """For each vector length the number of its first block and its quantisers.
 
     A length gets its share of the sample and of the lists, but ``LEAST_SAMPLE`` vectors and one list at least.
     """
@@ -117,7 +123,7 @@ def _indexes(classes: DataFrame) -> dict[int, tuple[int, Index]]:
         sample = bounded_sample(classes.where(F.size("v") == size), ["rep"], ["v"], most)["v"].to_list()
         index = Index(np.asarray(sample, np.float64), int(max(1, min(MOST_LISTS * n // total, n // LIST_SIZE))))
         indexes[size] = first, index
-        first += len(index.centres)
+        first += -(-len(index.centres) // BLOCK)
     return indexes
 
 
@@ -159,51 +165,50 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
                 x = _stack(part["v"])
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 home = _nearest(x, index.centres)
-                visits = index.visits(x, home, radius)
-                yield pd.DataFrame(
-                    {"rep": part["rep"], "weight": part["weight"], "home": (first + home).astype(np.int32), "v": part["v"], "visits": [(first + np.flatnonzero(r)).astype(np.int32) for r in visits]}
-                )
+                visits = [first + np.unique(np.flatnonzero(row) // BLOCK) for row in index.visits(x, home, radius)]
+                yield pd.DataFrame({"rep": part["rep"], "weight": part["weight"], "list": home.astype(np.int32), "home": (first + home // BLOCK).astype(np.int32), "v": part["v"], "visits": [v.astype(np.int32) for v in visits]})
 
-    placed = written(classes.mapInPandas(place, f"rep long, weight long, home int, v {kept}, visits array<int>"), f"{folder}/placed")
+    placed = written(classes.mapInPandas(place, f"rep long, weight long, list int, home int, v {kept}, visits array<int>"), f"{folder}/placed")
     chunks = lambda n, most: F.ceil(F.col(n) / most).cast("int")
-    members = placed.groupBy(F.col("home").alias("list")).agg(F.count(F.lit(1)).alias("n")).select("list", chunks("n", MEMBERS).alias("m_chunks"))
-    visitors = placed.select(F.explode("visits").alias("list")).groupBy("list").agg(F.count(F.lit(1)).alias("n")).select("list", chunks("n", VISITORS).alias("v_chunks"))
-    plan = F.broadcast(members.join(visitors, "list"))  # at most MOST_LISTS rows, and one for each vector length
+    members = placed.groupBy(F.col("home").alias("block")).agg(F.count(F.lit(1)).alias("n")).select("block", chunks("n", MEMBERS).alias("m_chunks"))
+    visitors = placed.select(F.explode("visits").alias("block")).groupBy("block").agg(F.count(F.lit(1)).alias("n")).select("block", chunks("n", VISITORS).alias("v_chunks"))
+    plan = F.broadcast(members.join(visitors, "block"))  # fewer rows than there are lists: at most MOST_LISTS, and one for each vector length
     spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
-    as_member = placed.select("rep", "weight", "home", "v", F.col("home").alias("list")).join(plan, "list").select(
-        "list", own("m_chunks").alias("m"), spread("v_chunks").alias("n"), F.lit(True).alias("member"), "rep", "weight", "home", "v"
+    as_member = placed.select("rep", "weight", "list", "v", F.col("home").alias("block")).join(plan, "block").select(
+        "block", own("m_chunks").alias("m"), spread("v_chunks").alias("n"), F.lit(True).alias("member"), "rep", "weight", "list", "v"
     )
-    as_visitor = placed.select("rep", "weight", "home", "v", F.explode("visits").alias("list")).join(plan, "list").select(
-        "list", own("v_chunks").alias("n"), spread("m_chunks").alias("m"), F.lit(False).alias("member"), "rep", "weight", "home", "v"
+    as_visitor = placed.select("rep", "weight", "list", "v", F.explode("visits").alias("block")).join(plan, "block").select(
+        "block", own("v_chunks").alias("n"), spread("m_chunks").alias("m"), F.lit(False).alias("member"), "rep", "weight", "list", "v"
     )
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        at, members, visitors = int(frame["list"].iloc[0]), frame[frame["member"]], frame[~frame["member"]]
+        members, visitors = frame[frame["member"]], frame[~frame["member"]]
         if not len(members) or not len(visitors):
             return pd.DataFrame({"rep": [], "n": [], "other": []}).astype("int64")
         raw_m, raw_v = _stack(members["v"]), _stack(visitors["v"])
-        first, index = shared.value[raw_m.shape[1]]
-        at -= first
+        index = shared.value[raw_m.shape[1]][1]
         norm_m, norm_v = np.linalg.norm(raw_m, axis=1), np.linalg.norm(raw_v, axis=1)
-        x_m = raw_m / norm_m[:, None]
-        codes, left = index.encode(x_m, np.full(len(x_m), at))
-        back = index.visits(x_m, np.full(len(x_m), at), radius)
+        x_m, x_v = raw_m / norm_m[:, None], raw_v / norm_v[:, None]
         id_m, id_v = members["rep"].to_numpy(), visitors["rep"].to_numpy()
-        home_v = visitors["home"].to_numpy() - first
+        home_m, home_v = members["list"].to_numpy(), visitors["list"].to_numpy()
+        codes, left = index.encode(x_m, home_m)
         limit = (radius + left) ** 2 + ROUNDING
+        there, back = index.visits(x_v, home_v, radius), index.visits(x_m, home_m, radius)
         found_v, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in range(0, len(raw_v), 512):
-            block = slice(i, i + 512)
-            near = index.distances(raw_v[block] / norm_v[block, None], at, codes) <= limit[None]
-            # Each pair once: of two lists that see it the smaller counts, inside a list the smaller id does.
-            seen = np.where((home_v[block] == at)[:, None], id_v[block, None] < id_m[None], ~back[:, home_v[block]].T | (at < home_v[block])[:, None])
-            v, m = np.nonzero(near & seen)
-            for j in range(0, len(v), 200_000):
-                a, b = v[j : j + 200_000] + i, m[j : j + 200_000]
-                exact = np.einsum("ij,ij->i", raw_v[a], raw_m[b]) / (norm_v[a] * norm_m[b]) >= cosine
-                found_v.append(a[exact])
-                found_m.append(b[exact])
+        for at in np.unique(home_m).tolist():
+            mine, guests = np.flatnonzero(home_m == at), np.flatnonzero(there[:, at])
+            for i in range(0, len(guests), 512):
+                block = guests[i : i + 512]
+                near = index.distances(x_v[block], at, codes[mine]) <= limit[mine][None]
+                # Each pair once: of two lists that see it the smaller counts, inside a list the smaller id does.
+                seen = np.where((home_v[block] == at)[:, None], id_v[block, None] < id_m[mine][None], ~back[mine][:, home_v[block]].T | (at < home_v[block])[:, None])
+                v, m = np.nonzero(near & seen)
+                for j in range(0, len(v), 200_000):
+                    a, b = block[v[j : j + 200_000]], mine[m[j : j + 200_000]]
+                    exact = np.einsum("ij,ij->i", raw_v[a], raw_m[b]) / (norm_v[a] * norm_m[b]) >= cosine
+                    found_v.append(a[exact])
+                    found_m.append(b[exact])
         a, b = np.concatenate(found_v), np.concatenate(found_m)
         ids, position = np.unique(np.concatenate([id_v, id_m]), return_inverse=True)
         p_v, p_m = position[: len(id_v)][a], position[len(id_v) :][b]
@@ -213,7 +218,7 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
         some = np.flatnonzero(n)
         return pd.DataFrame({"rep": ids[some], "n": n[some], "other": ids[_spanning(p_v, p_m, len(ids))][some]})
 
-    tasks = as_member.unionByName(as_visitor).groupBy("list", "m", "n")
+    tasks = as_member.unionByName(as_visitor).groupBy("block", "m", "n")
     found = written(tasks.applyInPandas(compare, "rep long, n long, other long"), f"{folder}/found")
     component = connected_components(found.select(F.col("rep").alias("a"), F.col("other").alias("b")))
     by_class = (

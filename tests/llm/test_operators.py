@@ -497,6 +497,7 @@ def test_embeddings_of_two_lengths(spark, monkeypatch):
     order = r.permutation(len(rows))
     df = spark.createDataFrame([rows[i] for i in order], "vec_id long, embedding array<double>")
     monkeypatch.setattr(embedding_join, "LIST_SIZE", 40)
+    monkeypatch.setattr(embedding_join, "BLOCK", 2)
     monkeypatch.setattr(embedding_join, "MEMBERS", 16)
     monkeypatch.setattr(embedding_join, "VISITORS", 32)
     got = {x.vec_id: (x.n_links, x.component_id) for x in embedding_join.embedding_groups(df).collect()}
@@ -512,6 +513,7 @@ def test_embeddings(spark, monkeypatch):
     rows += [(1000, None), (1001, []), (1002, [0.0] * 16), (1003, [float("nan")] * 16), (1004, [None] + [1.0] * 15), (1005, [1.0] * 3), (1006, [2 * x for x in rows[0][1]]), (None, rows[0][1])]
     df = table(spark, rows, "vec_id long, embedding array<double>")
     monkeypatch.setattr(embedding_join, "LIST_SIZE", 40)
+    monkeypatch.setattr(embedding_join, "BLOCK", 2)
     monkeypatch.setattr(embedding_join, "MEMBERS", 16)
     monkeypatch.setattr(embedding_join, "VISITORS", 32)
     got = embedding_join.embedding_groups(df).collect()
