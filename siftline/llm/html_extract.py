@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -234,9 +235,12 @@ def _ordered(found: DataFrame) -> DataFrame:
     spark = found.sparkSession
     many = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     keys = found.select(*KEY)
-    order = lambda row: (row[0], row[1], row[2] is not None, row[2] or 0, row[3])
-    sample = sorted(map(order, bounded_sample(keys, KEY, KEY, SAMPLE).astype(object).where(lambda x: x.notna(), None).itertuples(index=False)))
-    splits = sorted({sample[len(sample) * k // many] for k in range(1, many)}) if sample else []
+    sized = found.select(*KEY, F.coalesce(F.octet_length("html"), F.lit(0)).alias("size"))
+    sample = bounded_sample(sized, KEY, [*KEY, "size"], SAMPLE).astype(object).where(lambda x: x.notna(), None)
+    rows = sorted(((x.host, x.path, x.page_id is not None, x.page_id or 0, x.check), x.size + 1) for x in sample.itertuples(index=False))
+    # Ranges of about as many bytes, not as many pages.
+    total, ends = sum(size for _, size in rows), list(accumulate(size for _, size in rows))
+    splits = sorted({rows[bisect_left(ends, total * k / many)][0] for k in range(1, many)}) if rows else []
 
     @F.pandas_udf("int")
     def range_of(host: pd.Series, path: pd.Series, page_id: pd.Series, has_id: pd.Series, check: pd.Series) -> pd.Series:
@@ -301,7 +305,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             if done:
                 yield batch_of(done)
 
-    dealt = _ordered(rows).repartition("range").sortWithinPartitions("range", *KEY)
+    dealt = _ordered(rows).repartitionByRange("range").sortWithinPartitions("range", *KEY)
     return dealt.select("host", "path", "range", "own", "page_id", "url", "html").mapInArrow(run, SCHEMA)
 
 
