@@ -39,6 +39,17 @@ FACTS = {
 }
 
 
+# Outcomes that rest on a fact and close a finding.
+CLOSING = (
+    "not_applicable", "not_shipped", "unused", "condition_absent", "infrastructure", "wrong_receiver", "not_reached", "test_only_import", "only_in_tests", "not_called", "version_unaffected",
+)
+
+
+def closes(outcome: Column) -> Column:
+    """Whether an outcome closes a finding by a fact, not by failing to find something; null does not."""
+    return F.coalesce(outcome.isin(*CLOSING), F.lit(False))
+
+
 def facts_of(**known: Column) -> dict[str, Column]:
     """All facts, those not given as typed nulls."""
     strange = set(known) - set(FACTS)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import aggregates as agg
 from ..operators import windows
+from ..operators.dependency import closes
 from ..sources.dependencies import ranked_references
 from .decisions import _SEVERITY, scored
 from .filters import _ORDER_VERDICT, verdicts
@@ -92,8 +93,7 @@ def f5(spark, d):
 @query("f13_closing_outcome", "SELECT o_orderkey, o_orderpriority[1] IN ('1', '3') AS closes FROM orders")
 def f13(spark, d):
     names = {"1": "not_called", "2": "actual", "3": "unused", "4": "undecided", "5": "mentioned_only"}
-    closing = ("version_unaffected", "not_applicable", "wrong_receiver", "not_reached", "condition_absent", "not_shipped", "test_only_import", "unused", "not_called", "no_input_path", "test_only")
-    return table(spark, d, "orders").select("o_orderkey", text.lookup(names, F.substring("o_orderpriority", 1, 1)).isin(*closing).alias("closes"))
+    return table(spark, d, "orders").select("o_orderkey", closes(text.lookup(names, F.substring("o_orderpriority", 1, 1))).alias("closes"))
 
 
 @query("f16_project_call_site", "SELECT page_id, page_id % 2 = 0 AND page_id % 3 <> 0 AS project FROM pages")
