@@ -22,20 +22,20 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _odd_numbers(count: int, seed: int) -> np.ndarray:
+def odd_numbers(count: int, seed: int) -> np.ndarray:
     """``count`` pseudo-random odd 64-bit numbers, the same everywhere."""
     return mixed(np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed)) | np.uint64(1)
 
 
-_PLACES = _odd_numbers(4096, 11)
-_ORDER = _odd_numbers(64, 23)
+_PLACES = odd_numbers(4096, 11)
+_ORDER = odd_numbers(64, 23)
 
 
 def _word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Hashes of words that lie one behind the other in ``data``, without anything between."""
     global _PLACES
     if len(lengths) and lengths.max() > len(_PLACES):
-        _PLACES = _odd_numbers(int(lengths.max()), 11)
+        _PLACES = odd_numbers(int(lengths.max()), 11)
     place = np.arange(len(data)) - np.repeat(starts, lengths)
     value = _PLACES[place] * (data.astype(np.uint64) + np.uint64(1))
     return mixed(np.add.reduceat(value, starts) + lengths.astype(np.uint64)) if len(starts) else np.zeros(0, np.uint64)

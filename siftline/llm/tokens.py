@@ -19,13 +19,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 from .common import slices
+from .shingles import mixed, odd_numbers
 
-#: Words of a generation that a worker keeps. A full one is kept as the old one until the next is full; words met
-#: again move on. Only speed depends on it.
-KEPT_WORDS = 300_000
-#: Words longer than this are not kept.
-LONGEST_KEPT = 64
-#: Bytes of text that are cut into words together. With the words kept it is what a worker's memory depends on.
+#: Words that a worker keeps (some 40 bytes each); beyond it only those just used stay. Only speed depends on it.
+KEPT_WORDS = 1_500_000
+#: Words of more bytes than this are not kept.
+LONGEST_KEPT = 128
+#: Bytes of text that are cut into words together; what that takes is some thirty times as much.
 TOGETHER = 4 << 20
 
 # Letters, then punctuation that neither joins letters nor starts a contraction.
@@ -50,17 +50,39 @@ def gather(flat: np.ndarray, start: np.ndarray, count: np.ndarray, block: int =
     return out
 
 
+_PLACES = [odd_numbers(512, seed) for seed in (31, 47)]
+
+
+def _hashes(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word two hashes, of 64 and of 32 bits, and its bytes: sums of bytes times odd numbers by place."""
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]].astype(np.uint64) + np.uint64(1)
+    ends -= ends[0]
+    sizes = np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(ends[:-1], sizes)
+    out = []
+    for k, seed in enumerate((31, 47)):
+        if len(sizes) and sizes.max() > len(_PLACES[k]):
+            _PLACES[k] = odd_numbers(int(sizes.max()), seed)
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_PLACES[k][place] * data, dtype=np.uint64)])
+        out.append(mixed(total[ends[1:]] - total[ends[:-1]] + sizes.astype(np.uint64)))
+    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32), sizes
+
+
 class WordMemory:
     """Ids of whole texts from the ids of their words, each learned once.
 
     A subclass says which texts may be cut at blanks (``simple``), how a text is written so that cutting it gives its
     words' keys (``marked``), and the ids of new keys (``learn``) and of other texts (``whole``), as bytes of
-    little-endian unsigned 32-bit integers.
+    little-endian unsigned 32-bit integers. Words are known by 96 hash bits, in arrays: a dictionary of them would take five times the memory.
     """
 
     def __init__(self):
-        self.known: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.hash, self.check = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
+        self.start, self.size, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
     def simple(self, texts: pa.Array) -> pa.Array:
         raise NotImplementedError
@@ -74,19 +96,38 @@ class WordMemory:
     def whole(self, texts: list[str]) -> list[bytes]:
         raise NotImplementedError
 
-    def _ids_of(self, keys: list[str]) -> list[bytes]:
-        new = [k for k in keys if k not in self.known]
-        if len(self.known) + len(new) > KEPT_WORDS:
-            self.known, self.old, new = {}, self.known, keys
-        known, old = self.known, self.old
-        again = [k for k in new if k in old]
-        known.update(zip(again, map(old.__getitem__, again), strict=True))
-        new = [k for k in new if k not in known]
-        known.update(zip(new, self.learn(new), strict=True))
-        out = [known[k] for k in keys]
-        for k in (k for k in new if len(k) > LONGEST_KEPT):
-            del known[k]
-        return out
+    def _find(self, hashes: np.ndarray, checks: np.ndarray) -> np.ndarray:
+        """Where each word is remembered, -1 if it is not."""
+        if not len(self.hash):
+            return np.full(len(hashes), -1, np.int64)
+        at = np.minimum(np.searchsorted(self.hash, hashes), len(self.hash) - 1)
+        return np.where((self.hash[at] == hashes) & (self.check[at] == checks), at, -1)
+
+    def recall(self, keys: list[str]) -> list[bytes | None]:
+        """The ids of those keys that are remembered."""
+        at = self._find(*_hashes(pa.array(keys, pa.string()))[:2]).tolist() if keys else []
+        return [None if k < 0 else self.pool[self.start[k] : self.start[k] + self.size[k]].tobytes() for k in at]
+
+    def _ids_of(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids in which each of the distinct words has a run, and where that begins and how long it is."""
+        hashes, checks, lengths = _hashes(words)
+        at = self._find(hashes, checks)
+        new = np.flatnonzero(at < 0)
+        ids = self.learn(words.take(pa.array(new)).to_pylist())
+        fresh = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.concatenate([self.pool, np.frombuffer(b"".join(ids), "<u4")])
+        start, size = (np.where(at >= 0, x[at], 0) if len(x) else np.zeros(len(words), np.int64) for x in (self.start, self.size))
+        start[new], size[new] = len(self.pool) + np.cumsum(fresh) - fresh, fresh
+        if len(self.hash) + len(new) > KEPT_WORDS:
+            self._forget()
+            new = np.arange(len(words))
+        keep = new[lengths[new] <= LONGEST_KEPT]
+        begin = len(self.pool) + np.cumsum(size[keep]) - size[keep]
+        self.pool = np.concatenate([self.pool, gather(flat, start[keep], size[keep])])
+        columns = [np.concatenate(x) for x in ((self.hash, hashes[keep]), (self.check, checks[keep]), (self.start, begin), (self.size, size[keep]))]
+        order = np.argsort(columns[0], kind="stable")
+        self.hash, self.check, self.start, self.size = (x[order] for x in columns)
+        return flat, start, size
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one behind the other, and how many each text has. Null is empty."""
@@ -96,10 +137,7 @@ class WordMemory:
         cut = pc.split_pattern(self.marked(texts.filter(simple)), " ")
         words = cut.flatten().dictionary_encode()
         at = words.indices.to_numpy()
-        ids = self._ids_of(words.dictionary.to_pylist())
-        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        start = np.cumsum(size) - size
+        flat, start, size = self._ids_of(words.dictionary)
         count = size[at]
         found = gather(flat, start[at], count)
         counts = np.zeros(len(texts), np.int64)
@@ -179,8 +217,10 @@ class WordIds(WordMemory):
     def learn(self, keys):
         border = {k: m.start(2) for k in keys if (m := _TAIL.fullmatch(k))}
         bare = {k for k in keys if k not in border}.union(k[:n] for k, n in border.items()).union("\r" + k[n:] for k, n in border.items())
-        known, tokenize, normalizer, lead, line = self.known, self.model.tokenize, self.normalizer, self.lead, self.line
-        found: dict[str, bytes] = {k: known[k] for k in bare if k in known}
+        tokenize, normalizer, lead, line = self.model.tokenize, self.normalizer, self.lead, self.line
+        # What stands before or behind punctuation may be known already.
+        parts = list(bare.difference(keys))
+        found: dict[str, bytes] = {k: ids for k, ids in zip(parts, self.recall(parts), strict=True) if ids is not None}
         rest = []
         for key in bare:
             if key in found:
