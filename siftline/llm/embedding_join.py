@@ -29,12 +29,12 @@ SAMPLE = 20_000
 #: What each vector length gives to the sample at least, as far as it has so many.
 LEAST_SAMPLE = 64
 #: Vectors of a list on average, and the most lists.
-LIST_SIZE, MOST_LISTS = 1024, 2048
+LIST_SIZE, MOST_LISTS = 256, 2048
 #: What rounding may add to a distance or a squared distance.
 ROUNDING = 1e-4
 SUBSPACES, CODES = 8, 256
 #: Neighbouring lists that are one block: a vector is sent once to each block that it visits.
-BLOCK = 16
+BLOCK = 64
 #: Members and visitors that one task takes.
 MEMBERS, VISITORS = 8192, 8192
 
