@@ -19,10 +19,10 @@ import itertools
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table, written
+from .common import CRC_TABLE, crc_sql, numbered, shared_dir, table, written
 
 #: Consecutive nodes that become one.
 RUN = 3
@@ -103,22 +103,6 @@ def _batches(rows: Iterator[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_pylist(part, schema)
 
 
-def numbered(df: DataFrame, order: list[str], folder: str) -> DataFrame:
-    """``df`` with pos (from 0, by ``order`` inside ``key``) and n (rows of the key), however many rows a key has.
-
-    Rows are sorted in ranges; a row's place is its place in its range and the rows of its key in earlier ranges.
-    Rows alike in all of ``order`` take places in any order; where they lie in the input spreads them over ranges.
-    """
-    spread = df.withColumn("_lies", F.monotonically_increasing_id())
-    rows = written(spread.repartitionByRange("key", *order, "_lies").sortWithinPartitions("key", *order, "_lies").withColumn("_at", F.monotonically_increasing_id()), folder)
-    rows = rows.withColumn("_range", F.shiftright("_at", 33)).drop("_lies")
-    of = Window.partitionBy("key")
-    ranges = rows.groupBy("key", "_range").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = F.coalesce(F.sum("_rows").over(of.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select("key", "_range", (before - F.col("_first")).alias("_shift"), F.sum("_rows").over(of).alias("n"))
-    return rows.join(ranges, ["key", "_range"]).withColumn("pos", F.col("_at") + F.col("_shift")).drop("_at", "_range", "_shift")
-
-
 def _by_block(nodes: DataFrame) -> DataFrame:
     return nodes.repartition("key", "block").sortWithinPartitions("key", "block", "pos")
 
@@ -238,19 +222,6 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
 
 
-#: crc32 as SQL: ``crc_table`` has the remainders of all bytes; a string's is folded over its bytes.
-CRC_TABLE = """crc_table AS (
-  SELECT list(c ORDER BY b) AS t FROM (
-    SELECT b, list_reduce(list_concat([b::BIGINT], range(8)), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
-    FROM range(256) r(b)))"""
-
-
-def crc_sql(text: str) -> str:
-    """SQL for the unsigned crc32 of an ASCII string; needs ``crc_table`` in the FROM clause."""
-    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
-    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {codes}), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
-
-
 def _field_sql(column: str) -> str:
     return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
 
