@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, conversation_repair, embedding_join, exact_dedup, html_extract, merkle, ngram_join, packing, pieces, quality, token_file, warc
+from . import chat, conversation_repair, embedding_join, exact_dedup, html_extract, merkle, ngram_join, packing, pieces, quality, token_file, toxicity, warc
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_token_file": token_file.op8_token_file,
     "op9_quality": quality.op9_quality,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
+    "op11_toxicity": toxicity.op11_toxicity,
     "op12_conversation_repair": conversation_repair.op12_conversation_repair,
     "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
