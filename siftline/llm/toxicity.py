@@ -34,7 +34,7 @@ RIDGE, COUNTERFACTUAL = 0.3, 4.0
 #: Other names that a name is swapped for.
 SWAPS = 3
 #: Bytes of text whose features are made together.
-TOGETHER = 1 << 20
+TOGETHER = 1 << 17
 
 #: Names of groups of people, by kind and language; a name is swapped for others of its line.
 GROUPS = (
