@@ -1,14 +1,14 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
-1. Each task tokenises its documents, cuts long ones and packs its own pieces best-fit, the longest first.
-   At most one bin of a task is at most half full then, as two such bins always merge.
-2. Bins above half full cannot merge with each other, so only those few bins of at most half can still move. The
-   driver packs them best-fit into each other and into the rest, of which it knows how many have each number of
-   free places: one row for each first-round task and one for each free size, however many pieces there are.
-3. For each bin that takes others one with as many free places is picked: which task gives how many follows from counts
-   by task and free size, and inside a task the first ones by number go. All other bins stay as they are.
-
-The first round is written to the shared folder, so a bin is decided once even if tasks run again.
+1. Documents are tokenised where they lie, long ones are cut, and the pieces are written with a number that deals them: every packing task gets
+   about ``TASK`` pieces, a mixture of the whole table in whatever order and clusters it lies. Each packs its own best-fit, the longest first.
+2. A task's nearly full bins are done. Of the others those above half full cannot merge with each other, and at most one bin of a task is at
+   most half full, as two such always merge. In rounds the bins of ``FAN`` tasks meet as items of another best-fit: their few bins of at most half and, of
+   each number of free places, as many of the fuller ones as could be asked to take one. Each round leaves one bin of at most half for ``FAN``
+   tasks, so rounds grow with the logarithm of the tasks, and no task or driver holds more than a bound.
+3. What moved in which round is put together from the last round back, and joined to the pieces.
+
+Pieces and bins are written to the shared folder, so each is decided once even if tasks run again.
 """
 
 from __future__ import annotations
@@ -24,8 +24,12 @@ from . import tokens
 from .common import shared_dir, table, written
 
 CAPACITY = 2048
+#: Pieces that a task packs, about, and tasks whose bins meet in a round.
+TASK, FAN = 1 << 16, 16
 
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, free int"
+_CUT = "doc_id long, piece int, start long, length long, ids_crc32 long, deal long"
+_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
+_MOVES = "sequence_id long, into long, at long, fill long"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -57,98 +61,98 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
     return bins, offsets, np.asarray(fill, np.int64)
 
 
-def residual_fit(small: np.ndarray, free: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
-    """Bin and offset of each small item, and of which kind each of these bins is.
+def _pieces(tokenizer: str, end_id: int, capacity: int):
+    def cut(batches):
+        from pyspark import TaskContext
 
-    ``free`` counts the bins above half full by their free places. A bin's kind is (free places, how many such bins
-    were taken before it), or (-1, item) for an item that no bin fits. The longest items go first, each into the fullest bin.
-    """
-    stacks: list[list[int]] = [[] for _ in range(capacity + 1)]
-    whole, taken, kinds, left = dict(free), dict.fromkeys(free, 0), [], []
-    bins, offsets = np.zeros(len(small), np.int64), np.zeros(len(small), np.int64)
-    used = sum(1 << n for n, count in free.items() if n and count)
-    for i in np.argsort(-small, kind="stable").tolist():
-        size = int(small[i])
-        fitting = used >> size
-        if fitting:
-            at = size + (fitting & -fitting).bit_length() - 1
-            if stacks[at]:
-                b = stacks[at].pop()
-            else:
-                b = len(kinds)
-                kinds.append((at, taken[at]))
-                left.append(at)
-                taken[at], whole[at] = taken[at] + 1, whole[at] - 1
-            if not stacks[at] and not whole.get(at):
-                used ^= 1 << at
-        else:
-            b = len(kinds)
-            kinds.append((-1, i))
-            left.append(capacity)
-        bins[i], offsets[i] = b, capacity - left[b]
-        left[b] -= size
-        if left[b]:
-            used |= 1 << left[b]
-            stacks[left[b]].append(b)
-    return bins, offsets, kinds
+        columns: dict[str, list] = {x.split()[0]: [] for x in _CUT.split(", ")}
+        at, task = 0, TaskContext.get().partitionId() << 40
 
+        def batch():
+            types = {"piece": pa.int32()}
+            out = pa.RecordBatch.from_arrays([pa.array(v, types.get(n, pa.int64())) for n, v in columns.items()], names=list(columns))
+            for values in columns.values():
+                values.clear()
+            return out
 
-def _sequence(bins: np.ndarray) -> np.ndarray:
-    from pyspark import TaskContext
+        for key, ids, _ in tokens.documents(batches, tokens.encoder(tokenizer)):
+            ids = np.append(ids, np.uint32(end_id))
+            for piece, start in enumerate(range(0, len(ids), capacity)):
+                part = ids[start : start + capacity]
+                for values, value in zip(columns.values(), (key, piece, start, len(part), zlib.crc32(part), task + at), strict=True):
+                    values.append(value)
+                at += 1
+            if len(columns["deal"]) >= 8192:
+                yield batch()
+        yield batch()
 
-    return (TaskContext.get().partitionId() << 32) + bins
+    return cut
 
 
-def _first_round(tokenizer: str, end_id: int, capacity: int):
+def _first_round(capacity: int):
     def pack(batches):
-        columns = {name: [] for name in ("doc_id", "piece", "start", "length", "ids_crc32")}
-        for key, ids, _ in tokens.documents(batches, tokens.encoder(tokenizer)):
-            ids = np.append(ids, np.uint32(end_id))
-            for piece, at in enumerate(range(0, len(ids), capacity)):
-                part = ids[at : at + capacity]
-                for name, value in zip(columns, (key, piece, at, len(part), zlib.crc32(part)), strict=True):
-                    columns[name].append(value)
-        length = np.asarray(columns["length"], np.int64)
-        bins, offset, fill = best_fit(length, capacity)
-        arrays = [pa.array(columns["doc_id"], pa.int64()), pa.array(columns["piece"], pa.int32())]
-        arrays += [pa.array(columns[n], pa.int64()) for n in ("start", "length", "ids_crc32")]
-        free = (capacity - fill)[bins].astype(np.int32) if len(bins) else np.zeros(0, np.int32)
-        arrays += [pa.array(_sequence(bins)), pa.array(offset), pa.array(free)]
-        whole = pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PIECES.split(", ")])
-        for at in range(0, whole.num_rows, 8192):
-            yield whole.slice(at, 8192)
+        from pyspark import TaskContext
+
+        whole = [b for b in batches if b.num_rows]
+        if not whole:
+            return
+        table_ = pa.Table.from_batches(whole)
+        bins, offset, fill = best_fit(table_.column("length").to_numpy(), capacity)
+        sequence = (TaskContext.get().partitionId() << 32) + bins
+        packed = table_.drop_columns("deal").append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset)).append_column("fill", pa.array(fill[bins]))
+        yield from packed.combine_chunks().to_batches(max_chunksize=8192)
+
+    return pack
+
+
+def _meet(capacity: int):
+    """Best-fit of the bins of one group as items; a row for each that moved."""
+
+    def pack(group):
+        import pandas as pd
+
+        group = group.sort_values(["fill", "sequence_id"], ascending=[False, True])
+        own, sizes = group["sequence_id"].to_numpy(), group["fill"].to_numpy()
+        bins, offsets, fill = best_fit(sizes, capacity)
+        # The item at a bin's start is the bin that the others move into.
+        host = np.zeros(len(fill), np.int64)
+        host[bins[offsets == 0]] = own[offsets == 0]
+        moved = offsets > 0
+        return pd.DataFrame({"sequence_id": own[moved], "into": host[bins[moved]], "at": offsets[moved], "fill": fill[bins[moved]]})
 
     return pack
 
 
-def _moves(packed: DataFrame, capacity: int) -> list[tuple[int, int, int]]:
-    """Bins of at most half that go into another: sequence_id, the other's, and where it begins there."""
-    bins = packed.where("offset = 0").select("sequence_id", "free", F.shiftright("sequence_id", 32).alias("task"))
-    is_small = F.col("free") * 2 >= capacity
-    small = bins.where(is_small).orderBy("sequence_id").collect()  # at most one of each first-round task
-    if not small:
-        return []
-    large = bins.where(~is_small & (F.col("free") > 0))
-    counts = {r["free"]: r["n"] for r in large.groupBy("free").agg(F.count(F.lit(1)).alias("n")).collect()}
-    ids, sizes = [r["sequence_id"] for r in small], np.asarray([capacity - r["free"] for r in small], np.int64)
-    fitted, offsets, kinds = residual_fit(sizes, counts, capacity)
-    need: dict[int, int] = {}
-    for free, _ in kinds:
-        need[free] = need.get(free, 0) + (free >= 0)
-    need.pop(-1, None)
-    picked: dict[tuple[int, int], int] = {}
-    if need:
-        spark = packed.sparkSession
-        wanted = F.broadcast(spark.createDataFrame(list(need.items()), "free int, need long"))  # at most one row for each free size
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("free").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        by_task = large.join(wanted, "free").groupBy("free", "task", "need").agg(F.count(F.lit(1)).alias("n")).withColumn("before", before)
-        given = by_task.where("before < need").select("free", "task", "before", F.least("n", F.col("need") - F.col("before")).alias("give"))
-        rank = F.row_number().over(Window.partitionBy("free", "task").orderBy("sequence_id"))
-        chosen = large.join(given, ["free", "task"]).withColumn("rank", rank).where("rank <= give")
-        picked = {(r["free"], r["place"]): r["sequence_id"] for r in chosen.select("free", (F.col("before") + F.col("rank") - 1).alias("place"), "sequence_id").collect()}
-    into = [ids[place] if free < 0 else picked[free, place] for free, place in kinds]
-    moved = zip(ids, (into[b] for b in fitted.tolist()), offsets.tolist(), strict=True)
-    return [(own, other, at) for own, other, at in moved if own != other]
+def _rounds(bins: DataFrame, capacity: int, fan: int, folder: str) -> DataFrame | None:
+    """sequence_id, into, at of the bins (sequence_id, fill) that move into others, over all rounds; None if there is one task only."""
+    tasks = (bins.agg(F.max(F.shiftright("sequence_id", 32))).first()[0] or 0) + 1
+    rounds: list[DataFrame] = []
+    width = 1
+    while width < tasks:
+        width *= fan
+        meeting = bins.where(F.col("fill") < capacity).withColumn("group", F.floor(F.shiftright("sequence_id", 32) / width).cast("long"))
+        low = F.col("fill") * 2 <= capacity
+        # A bin above half is asked by at most one bin of at most half of each task, so more of one size than tasks are never asked.
+        rank = F.row_number().over(Window.partitionBy("group", "fill").orderBy("sequence_id"))
+        hosts = meeting.where(~low).withColumn("rank", rank).where(F.col("rank") <= fan).drop("rank")
+        asking = meeting.where(low)
+        items = hosts.join(asking.select("group").distinct(), "group", "left_semi").select("group", "sequence_id", "fill").unionByName(asking.select("group", "sequence_id", "fill"))
+        moved = written(items.groupBy("group").applyInPandas(_meet(capacity), _MOVES), f"{folder}/moves-{width}")
+        rounds.append(moved)
+        after = moved.groupBy("into").agg(F.max("fill").alias("now"))
+        gone = moved.select("sequence_id")
+        left = bins.join(gone, "sequence_id", "left_anti").join(after.withColumnRenamed("into", "sequence_id"), "sequence_id", "left")
+        bins = written(left.select("sequence_id", F.coalesce("now", "fill").alias("fill")), f"{folder}/bins-{width}")
+    whole = None
+    for moved in reversed(rounds):
+        moved = moved.select("sequence_id", "into", "at")
+        if whole is not None:
+            later = whole.select(F.col("sequence_id").alias("into"), F.col("into").alias("_into"), F.col("at").alias("_at"))
+            followed = moved.join(later, "into", "left").select("sequence_id", F.coalesce("_into", "into").alias("into"), (F.col("at") + F.coalesce("_at", F.lit(0))).alias("at"))
+            whole = followed.unionByName(whole)
+        else:
+            whole = moved
+    return whole
 
 
 def pack(
@@ -158,6 +162,8 @@ def pack(
     capacity: int = CAPACITY,
     id_col: str = "doc_id",
     text_col: str = "text",
+    task: int = TASK,
+    fan: int = FAN,
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -165,14 +171,14 @@ def pack(
     are packed each. Documents of more than ``capacity`` ids are cut, others never. An empty table gives no rows.
     Other columns are not read.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    folder = shared_dir(spark)
-    packed = written(rows.mapInArrow(_first_round(tokenizer, end_id, capacity), _PIECES), f"{folder}/0")
-    moves = _moves(packed, capacity)
-    if moves:
-        moved = spark.createDataFrame(moves, "sequence_id long, into long, at long")
-        packed = packed.join(F.broadcast(moved), "sequence_id", "left").withColumn("offset", F.col("offset") + F.coalesce("at", F.lit(0)))
+    folder = shared_dir(docs.sparkSession)
+    pieces = written(rows.mapInArrow(_pieces(tokenizer, end_id, capacity), _CUT), f"{folder}/pieces")
+    tasks = max(1, -(-pieces.count() // task))
+    packed = written(pieces.repartition(tasks, F.xxhash64("deal")).mapInArrow(_first_round(capacity), _PIECES), f"{folder}/packed")
+    moves = _rounds(packed.where("offset = 0").select("sequence_id", "fill"), capacity, fan, folder)
+    if moves is not None:
+        packed = packed.join(moves.select("sequence_id", "into", "at"), "sequence_id", "left").withColumn("offset", F.col("offset") + F.coalesce("at", F.lit(0)))
         packed = packed.withColumn("sequence_id", F.coalesce("into", "sequence_id"))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
