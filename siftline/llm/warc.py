@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, salt, shared_dir, table, written
+from .common import shared_dir, slices, table, written
 from .storage import opened, task_file
 
 #: Payloads from this size on are stored once.
@@ -43,7 +43,7 @@ def plan_records(pages: DataFrame, ways: int = 64) -> DataFrame:
         F.col("url").cast("string").alias("url"),
         F.coalesce(F.col("html"), F.lit("")).alias("html"),
     ).select(
-        "page_id", "url", "html", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"), salt("page_id", ways).alias("salt")
+        "page_id", "url", "html", F.sha2("html", 256).alias("digest"), F.octet_length("html").cast("long").alias("bytes"), F.pmod(F.xxhash64("page_id", "url"), F.lit(ways)).cast("int").alias("salt")
     )
     large = rows.where(F.col("bytes") >= SMALLEST_SHARED)
     salted = large.groupBy("salt", "digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("size"))
@@ -51,7 +51,7 @@ def plan_records(pages: DataFrame, ways: int = 64) -> DataFrame:
     # Only pages that have a copy are joined; the others keep null.
     firsts = salted.select("salt", "digest").join(best.where(F.col("size") > 1).select("digest", "first"), "digest")
     return rows.join(firsts, ["salt", "digest"], "left").select(
-        "page_id", "url", "html", "digest", "bytes", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to")
+        "page_id", "url", "html", "digest", "bytes", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to")
     )
 
 
@@ -70,7 +70,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     """Writes a record for every page and returns the index (written, too).
 
     A null url leaves the target out, null html is the empty payload, a null page_id is stored as such and
-    never is what others refer to, pages that share an id and a payload are all whole. An empty table gives
+    never is what others refer to: it revisits the page of its payload with an id, if there is one. Pages that share an id and a payload are all whole. An empty table gives
     an empty index. Other columns are not read.
     """
     spark = pages.sparkSession
@@ -187,7 +187,7 @@ def resolved(records: DataFrame, ways: int = 16) -> DataFrame:
     pages revisit meets them by salts.
     """
     names = ["page_id", "url", "record_type", "refers_to", "payload_digest", "payload_bytes"]
-    whole, again = records.where("record_type = 'response'").select(names), records.where("record_type = 'revisit'").withColumn("salt", salt("page_id", ways))
+    whole, again = records.where("record_type = 'response'").select(names), records.where("record_type = 'revisit'").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(ways)).cast("int"))
     asked = again.select("refers_to", "payload_digest", "salt").distinct()
     found = whole.select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
     found = asked.join(found, ["refers_to", "payload_digest"]).withColumns({"digest": F.col("payload_digest"), "bytes": F.col("payload_bytes")})
@@ -209,7 +209,7 @@ WITH p AS (
   SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first_id FROM p
 )
 SELECT page_id, payload_bytes, payload_digest,
-       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
-       CASE WHEN page_id <> first_id THEN first_id END AS refers_to
+       CASE WHEN page_id IS NOT DISTINCT FROM first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first_id THEN first_id END AS refers_to
 FROM f
 """
