@@ -59,6 +59,7 @@ class Index:
     """The quantisers: list centres and, by subspace, the codes' centres; all for unit vectors."""
 
     def __init__(self, sample: np.ndarray, lists: int):
+        sample = _scaled(sample)
         x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
         centres = _kmeans(x, min(lists, len(x)))
         # In the order along their main axis, so that lists of near numbers lie near each other.
@@ -127,8 +128,13 @@ def _indexes(classes: DataFrame) -> dict[int, tuple[int, Index]]:
     return indexes
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Vectors with their largest part between a half and one, so that no norm is out of range; powers of two change no cosine."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1))[1][:, None])
+
+
 def _stack(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_list()).astype(np.float64)
+    return _scaled(np.stack(column.to_list()).astype(np.float64))
 
 
 def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", ways: int = 64) -> DataFrame:
