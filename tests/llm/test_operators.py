@@ -708,6 +708,24 @@ def test_pipeline_of_nothing(spark, tmp_path):
     assert [df.count() for df in kept] == [0, 0, 0, 0]
 
 
+def test_pipeline_leaves_one_of_alike_rows(spark, tmp_path):
+    """Rows alike in id and text, copies without ids, forms of one text under one id, and the largest id that there is."""
+    top = (1 << 63) - 1
+    long = " ".join(f"w{k}" for k in range(60)) + "."
+    other = " ".join(f"v{k}" for k in range(60)) + "."
+    rows = [(7, long), (7, long), (7, long), (top, long), (top, other), (top, other), (None, "n n n"), (None, "n n n"), (None, "n  n n"), (None, None), (3, "a b"), (3, "a  b"), (3, "a  b"), (3, "c")]
+    kept = _run_pipeline(spark, tmp_path, [(i, t, "en", "s") for i, t in rows])
+    want = [(7, long), (top, other), (None, "n  n n"), (None, ""), (3, "a  b"), (3, "c")]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    for k in (1, 2):
+        assert sorted(((r.doc_id, r.text or "") for r in kept[k].collect()), key=key) == sorted(want, key=key)
+    import corpus_pipeline
+
+    alone = spark.createDataFrame([(i, t, "en", "s") for i, t in rows if t != "a b"], "doc_id long, text string, lang string, source string")
+    near = corpus_pipeline.keep_one_near_copy(spark, alone, str(tmp_path)).collect()
+    assert sum(r.text == long for r in near) == 1 and sum(r.text == other for r in near) == 1 and sum(r.doc_id is None and r.text in ("n n n", "n  n n") for r in near) == 1
+
+
 def test_pages_without_an_id_revisit(spark):
     """The query and its SQL agree on pages without an id, whichever payload they have."""
     import duckdb
