@@ -125,14 +125,15 @@ def j11(spark, d):
 
 @query(
     "j12_keyword_join",
-    """WITH k AS (SELECT DISTINCT lower(r_name) AS keyword FROM region UNION SELECT DISTINCT lower(string_split(text, ' ')[1]) FROM benchmark),
-       w AS (SELECT DISTINCT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s.,]+')) AS keyword FROM documents)
+    """WITH k AS (SELECT DISTINCT lower(r_name) AS keyword FROM region UNION SELECT DISTINCT unnest(string_split(lower(text), ' ')) FROM benchmark),
+       w AS (SELECT DISTINCT doc_id, unnest(string_split(lower(text), ' ')) AS keyword FROM documents)
        SELECT keyword, count(*) AS docs FROM w JOIN k USING (keyword) WHERE keyword <> '' GROUP BY 1""",
 )
 def j12(spark, d):
-    names = table(spark, d, "region").select(F.lower("r_name").alias("keyword")).union(table(spark, d, "benchmark").select(F.lower(F.split("text", " ")[0])))
-    words = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,]+"))).alias("keyword"))
-    return words.where("keyword <> ''").join(names.distinct(), "keyword").groupBy("keyword").agg(F.count(F.lit(1)).alias("docs"))
+    """Keywords as they stand between blanks, with their punctuation."""
+    words = lambda name: table(spark, d, name).select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("keyword")).where("keyword <> ''")
+    names = table(spark, d, "region").select(F.lower("r_name").alias("keyword")).union(words("benchmark")).distinct()
+    return words("documents").groupBy("keyword").agg(F.count(F.lit(1)).alias("docs")).join(names, "keyword")
 
 
 @query(
@@ -142,7 +143,7 @@ def j12(spark, d):
        SELECT keyword, count(*) AS docs FROM w JOIN k USING (keyword) WHERE keyword <> '' GROUP BY 1""",
 )
 def j12_every(spark, d):
-    """As j12, whose SQL takes each passage's first word alone, with all of its words."""
+    """Keywords without their punctuation."""
     words = lambda name: table(spark, d, name).select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[\s.,]+"))).alias("keyword")).where("keyword <> ''")
     names = table(spark, d, "region").select(F.lower("r_name").alias("keyword")).union(words("benchmark")).distinct()
     # Counted before the join, so that a common word is one row there.
@@ -193,15 +194,14 @@ def j23(spark, d):
 
 @query(
     "j24_condition_groups",
-    """WITH g AS (SELECT item_id, unnest(list_sort(list_distinct(string_split(lower(text), ' ')))[1:3]) AS part FROM benchmark),
-       w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS part FROM documents WHERE lang = 'en')
+    """WITH g AS (SELECT DISTINCT item_id, unnest(string_split(lower(text), ' ')) AS part FROM benchmark),
+       w AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS part FROM documents)
        SELECT item_id, count(*) AS parts, count(w.part) AS found, CASE WHEN count(w.part) = count(*) THEN 'holds' ELSE 'absent' END AS state FROM g LEFT JOIN w USING (part) GROUP BY 1""",
 )
 def j24(spark, d):
-    hits = table(spark, d, "documents").where("lang = 'en'").select(F.explode(F.split(F.lower("text"), " ")).alias("part"))
-    words = F.array_distinct(F.split(F.lower("text"), " "))
-    # DuckDB's list_distinct has no order, so both sides take the three smallest words.
-    parts = table(spark, d, "benchmark").select("item_id", F.explode(F.slice(F.array_sort(words), 1, 3)).alias("part"))
+    """Every word of a passage, as it stands between blanks, in any document."""
+    hits = table(spark, d, "documents").select(F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("part"))
+    parts = table(spark, d, "benchmark").select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("part"))
     return joins.every_part(parts, hits, "item_id", "part")
 
 
@@ -214,7 +214,7 @@ def j24(spark, d):
        FROM (SELECT DISTINCT item_id FROM benchmark) LEFT JOIN p USING (item_id) GROUP BY 1""",
 )
 def j24_every(spark, d):
-    """As j24, whose SQL takes each passage's three smallest words and English documents alone, with all words and documents."""
+    """Every word of a passage without its punctuation; a passage without words is external."""
     words = F.filter(F.array_distinct(F.split(F.lower("text"), r"[\s.,]+")), lambda w: w != "")
     hits = table(spark, d, "documents").select(F.explode(words).alias("part"))
     parts = table(spark, d, "benchmark").select("item_id", F.explode_outer(words).alias("part"))
