@@ -153,3 +153,66 @@ def j20(spark, d):
 def j20_first(spark, d):
     """The first twenty-five places of each symbol that is called, as the report shows them."""
     return _sites(spark, d)[1].drop("project")
+
+
+# Twelve lines of each language, over and over, as many as a document has words; %s is the line's number from 0.
+_FORMS = {
+    "js": ["{e}class C%s {", "  m%s(a) {", "    call('}');", "  }", "  #p%s() { return 1; }", "  static _q%s(a, b) {", "    if (x) { y(); } // {", "  }", "}", "export function f%s(x) {", "}", "const g%s = (x) => x;"],
+    "php": ["abstract class C%s {", "  public function m%s(A $a) {", "    call('}');", "  }", "  abstract protected function p%s();", "  private static function q%s()", "  { if ($x) { y(); }", "  }", "}", "function f%s($x) {", "}", "// function g%s() {"],
+    "py": ["class C%s:", "    def m%s(self):", "        call('}')", "", "    def _p%s(self): return 1", "    async def q%s(self):", "        if x:", "            y()", "x = 1", "def __f%s(x):", "    pass", "# def g%s():"],
+}
+
+
+@query(
+    "p38_declarations",
+    r"""WITH w AS (SELECT doc_id, len(regexp_split_to_array(text, '[ \n]+')) AS lines FROM documents WHERE text IS NOT NULL), k AS (SELECT doc_id, lines, unnest(range(lines)) AS k FROM w),
+    d AS (SELECT *, k % 12 AS r, doc_id % 3 AS l FROM k WHERE k % 12 IN (1, 4, 5, 9) OR k % 12 = 11 AND doc_id % 3 = 0)
+    SELECT doc_id, CASE r WHEN 1 THEN 'm' WHEN 4 THEN CASE l WHEN 2 THEN '_p' ELSE 'p' END WHEN 5 THEN CASE l WHEN 0 THEN '_q' ELSE 'q' END WHEN 9 THEN CASE l WHEN 2 THEN '__f' ELSE 'f' END ELSE 'g' END || k AS name, CASE WHEN r < 8 THEN 'C' || (k - r) ELSE '' END AS owner,
+      CASE WHEN l = 0 THEN CASE r WHEN 1 THEN CASE WHEN doc_id % 2 = 0 THEN 'public' ELSE 'private' END WHEN 9 THEN 'public' ELSE 'private' END WHEN l = 1 THEN CASE r WHEN 4 THEN 'protected' WHEN 5 THEN 'private' ELSE 'public' END
+        ELSE CASE WHEN r IN (4, 9) THEN 'private' ELSE 'public' END END AS visibility,
+      k + 1 AS first, least(lines, k + 1 + CASE r WHEN 1 THEN CASE l WHEN 2 THEN 1 ELSE 2 END WHEN 5 THEN CASE WHEN l = 1 AND k + 1 = lines THEN 0 ELSE 2 END WHEN 9 THEN 1 ELSE 0 END) AS last FROM d""",
+)
+def p38(spark, d):
+    """A file for each document, in one of three languages, with classes, nested braces, braces in strings and comments, and functions that the end of the file cuts."""
+    from ..operators import declarations
+
+    docs = table(spark, d, "documents").where("text is not null")
+    lang = F.element_at(F.array(F.lit("js"), F.lit("php"), F.lit("py")), (F.col("doc_id") % 3 + 1).cast("int"))
+
+    def line(k, suffix):
+        out = F.lit("")
+        for r, form in enumerate(_FORMS[suffix]):
+            head, _, tail = form.partition("%s")
+            said = F.lit(head) if "%s" not in form else F.concat(F.lit(head), k.cast("string"), F.lit(tail))
+            if head.startswith("{e}"):
+                said = F.concat(F.when(F.col("doc_id") % 2 == 0, "export ").otherwise(""), F.lit(head[3:]), k.cast("string"), F.lit(tail))
+            out = F.when(k % 12 == r, said).otherwise(out)
+        return out
+
+    every = lambda suffix: F.array_join(F.transform(F.split("text", r"[ \n]+"), lambda w, k: line(k, suffix)), "\n")
+    text = F.when(lang == "js", every("js")).when(lang == "php", every("php")).otherwise(every("py"))
+    files = docs.select(F.lit("all").alias("project"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("."), lang).alias("path"), text.alias("text"))
+    found = declarations.declarations(durable(files))
+    return found.select(F.regexp_extract("path", r"^m(\d+)", 1).cast("long").alias("doc_id"), "name", "owner", "visibility", "first", "last")
+
+
+@query(
+    "s28_public_surface",
+    """WITH RECURSIVE p AS (SELECT c_custkey AS class, c_custkey // 3 AS parent, c_nationkey % 2 AS package FROM customer), par AS (SELECT DISTINCT a.package, a.class, a.parent FROM p a WHERE a.parent > 0 UNION SELECT DISTINCT a.package, a.class, a.parent + 1 FROM p a WHERE a.class % 5 = 0),
+    m AS (SELECT DISTINCT c_nationkey % 2 AS package, c_custkey AS class, 'op' || o_orderkey % 23 AS member, CASE WHEN min(o_orderkey) OVER (PARTITION BY c_custkey, o_orderkey % 23) % 4 = 0 THEN 'private' ELSE 'public' END AS visibility FROM orders JOIN customer ON c_custkey = o_custkey),
+    n AS (SELECT package, class FROM m UNION SELECT package, class FROM par UNION SELECT package, parent FROM par),
+    r AS (SELECT package, class, class AS node, 0 AS hops FROM n UNION SELECT r.package, r.class, par.parent, r.hops + 1 FROM r JOIN par ON par.package = r.package AND par.class = r.node),
+    h AS (SELECT r.package, r.class, m.member, min({'d': r.hops, 'c': r.node, 'v': m.visibility}) AS b FROM r JOIN m ON m.package = r.package AND m.class = r.node GROUP BY 1, 2, 3)
+    SELECT package, class, member, b.c AS declared_in, b.d AS distance FROM h WHERE b.v = 'public'""",
+)
+def s28(spark, d):
+    """Customers as classes of one of two packages that inherit from others; orders as members, some of which hide what classes above offer."""
+    from ..operators import declarations
+
+    customers = table(spark, d, "customer").select((F.col("c_nationkey") % 2).alias("package"), F.col("c_custkey").alias("class"), F.floor(F.col("c_custkey") / 3).cast("long").alias("parent"))
+    more = customers.where("class % 5 = 0").withColumn("parent", F.col("parent") + 1)
+    parents = customers.where("parent > 0").unionByName(more).distinct()
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("class"), F.concat(F.lit("op"), (F.col("o_orderkey") % 23).cast("string")).alias("member"), "o_orderkey")
+    least = orders.groupBy("class", "member").agg(F.min("o_orderkey").alias("least"))
+    members = least.join(customers.select("package", "class"), "class").select("package", "class", "member", F.when(F.col("least") % 4 == 0, "private").otherwise("public").alias("visibility"))
+    return declarations.public_surface(members, parents)
