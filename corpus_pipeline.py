@@ -54,18 +54,19 @@ def keep_one_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     Where several rows of the id that stays hold the text, or no row has an id, the one with most code points stays, then the one of the least hash.
     """
-    groups = exact_dedup.exact_groups(docs)
+    # Read again by each of the steps below.
+    groups = written(exact_dedup.exact_groups(docs).select("doc_id", "text_sha256", "kept", "check"))
     kept = _without(docs, groups.where(~F.col("kept")))
-    same = groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count_distinct("check").alias("n")).where("n > 1")
-    if not same.isEmpty():
-        forms = kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(F.coalesce("text", F.lit(""))).alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("check")).distinct()
-        texts = groups.where("kept").select("doc_id", "text_sha256", "check").distinct().alias("g")
-        several = same.alias("s")
-        texts = texts.join(several, F.expr("g.doc_id <=> s.doc_id and g.text_sha256 = s.text_sha256"), "left_semi")
-        sized = texts.join(forms.alias("f"), F.expr("g.doc_id <=> f.doc_id and g.check = f.check")).select("g.doc_id", "g.text_sha256", "g.check", "f.size")
-        rank = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("size"), "check"))
-        kept = _without(kept, sized.withColumn("rank", rank).where("rank > 1"))
-    return _one_of_alike(kept)
+    same = written(groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("check").alias("forms")).where("rows > 1"))
+    if same.isEmpty():
+        return kept
+    several = same.where("forms > 1").alias("s")
+    texts = groups.where("kept").select("doc_id", "text_sha256", "check").distinct().alias("g").join(several, F.expr("g.doc_id <=> s.doc_id and g.text_sha256 = s.text_sha256"), "left_semi")
+    text = F.coalesce("text", F.lit(""))
+    forms = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.length(text).alias("size"), F.xxhash64(text).alias("check")).distinct().alias("f")
+    sized = texts.join(forms, F.expr("g.doc_id <=> f.doc_id and g.check = f.check")).select("g.doc_id", "g.text_sha256", "g.check", "f.size")
+    rank = F.row_number().over(Window.partitionBy("doc_id", "text_sha256").orderBy(F.desc("size"), "check"))
+    return _one_of_alike(_without(kept, sized.withColumn("rank", rank).where("rank > 1")))
 
 
 def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,13 +76,13 @@ def keep_one_near_copy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     by a hash of id and text instead, above all ids in use, so that a document with an id of its own stays rather than one without. Where ids
     leave no room for that (the largest is beyond half of the range), all rows go by their hash.
     """
-    docs = _one_of_alike(docs)
-    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select("id")
     name = _free(docs, "row_id")
-    own = docs["doc_id"].cast("long")
+    repeated = docs.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 or id is null").select("id")
     if repeated.isEmpty():
-        named = docs.withColumn(name, own)
+        named = docs.withColumn(name, F.col("doc_id").cast("long"))
     else:
+        docs = _one_of_alike(docs)
+        own = docs["doc_id"].cast("long")
         top = docs.agg(F.max(own)).first()[0] or 0
         hashed = F.xxhash64(own, F.coalesce(docs["text"], F.lit("")))
         if top >= 1 << 62:
