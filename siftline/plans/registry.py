@@ -27,4 +27,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from . import aggregates, code, decisions, dependency, evidence, facts, filters, graphs, joins, projections, readers, records, routes, sources, windows  # noqa: E402, F401
+from . import aggregates, code, decisions, dependency, evidence, facts, filters, graphs, joins, package, projections, readers, records, routes, sources, windows  # noqa: E402, F401
