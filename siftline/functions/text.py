@@ -171,9 +171,15 @@ def repository_path(uri: Column, root: Column) -> Column:
 
 
 def flaw_paragraph(summary: Column, details: Column, most: int = 420) -> Column:
-    """The summary and the details without a repeated summary, cut behind the last sentence that fits."""
-    rest = F.when(F.startswith(details, summary), F.trim(F.substr(details, F.length(summary) + 1))).otherwise(details)
-    whole = F.trim(F.concat_ws(" ", summary, rest))
+    """The summary and the details without a repeated summary, cut behind the last sentence that fits; details that only begin with the same letters repeat nothing."""
+    behind = F.substr(details, F.length(summary) + 1)
+    rest = F.when(F.startswith(details, summary) & ~behind.rlike(r"^[\p{L}\p{N}_]"), F.trim(behind)).otherwise(details)
+    return cut_behind_sentence(F.concat_ws(" ", summary, rest), most)
+
+
+def cut_behind_sentence(paragraph: Column, most: int = 420) -> Column:
+    """At most so many characters of a paragraph, up to the last full stop in them if there is one."""
+    whole = F.trim(paragraph)
     head = F.substring(whole, 1, most)
     end = F.length(head) - F.locate(".", F.reverse(head)) + 1
     return F.when(F.length(whole) <= most, whole).when(F.contains(head, F.lit(".")), F.substr(head, F.lit(1), end)).otherwise(head)

@@ -185,3 +185,17 @@ def test_grounding(spark):
     assert one(spark, grounded(F.lit("return os.systen(cmd)"), code, 0.8))
     assert not one(spark, grounded(F.lit("eval(request.args)"), code, 0.8))
     assert not one(spark, grounded(F.lit(""), code, 0.8))
+
+
+def test_a_summary_is_repeated_only_as_a_whole(spark):
+    flaw = lambda a, b: one(spark, text.flaw_paragraph(F.lit(a), F.lit(b)))
+    assert flaw("en", "enough said.") == "en enough said." and flaw("It fails", "It fails. Badly.") == "It fails . Badly." and flaw("It fails", "It fails now") == "It fails now"
+    assert one(spark, text.cut_behind_sentence(F.lit("ab. cd. ef"), 8)) == "ab. cd." and one(spark, text.cut_behind_sentence(F.lit("abcdefghij"), 8)) == "abcdefgh"
+
+
+def test_paragraphs_keep_texts_that_begin_like_their_language(spark, tmp_path):
+    from siftline.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "enanst", "en"), (2, "x", None), (3, None, "fr")], "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.flaw for r in QUERIES["p45_flaw_paragraph"](spark, str(tmp_path)).collect()}
+    assert got == {1: "en enanst", 2: "x", 3: "fr"}
