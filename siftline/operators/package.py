@@ -28,10 +28,11 @@ def evidence_package(findings: DataFrame, key: str, sources: dict[str, tuple[Dat
     rows = []
     for name, (df, order, shown, most) in sources.items():
         place = F.struct(*(F.col(c).alias(f"o{k}") for k, c in enumerate(order)))
-        ranked = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), place.alias("_order"), F.col(shown).cast("string").alias("_shown"))
-        rank = F.row_number().over(Window.partitionBy("_key").orderBy("_order", "_shown"))
+        ranked = df.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), place.alias("_order"), F.col(shown).alias("_value"))
+        # Of equal places the least value comes first, as a value of its own kind: 22 before 116.
+        rank = F.row_number().over(Window.partitionBy("_key").orderBy("_order", "_value"))
         kept = ranked.withColumn("_rank", rank).where(F.col("_rank") <= most)
-        rows.append(kept.select("_key", F.lit(name).alias("_source"), "_rank", "_shown"))
+        rows.append(kept.select("_key", F.lit(name).alias("_source"), "_rank", F.col("_value").cast("string").alias("_shown")))
     item = F.struct(F.col("_rank").alias("rank"), F.col("_shown").alias("shown"))
     lists = [F.transform(F.array_sort(F.collect_list(F.when(F.col("_source") == n, item))), lambda i: i["shown"]).alias(n) for n in sources]
     merged = reduce(DataFrame.unionByName, rows).groupBy("_key").agg(*lists)

@@ -32,7 +32,9 @@ def p29(spark, d):
     }
     # What a component's earlier findings were is found once for the component and goes to its findings as one value.
     rank = package.first_rows(orders.select("o_custkey", "o_orderkey"), "o_custkey", ["o_orderkey"], "o_orderkey", 3)
-    component = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("component"), (F.col("c_nationkey") % 3 == 0).alias("exposed")).join(rank.withColumnRenamed("items", "earlier"), "o_custkey", "left")
+    customers = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), F.col("c_name").alias("component"), (F.col("c_nationkey") % 3 == 0).alias("exposed"))
+    # Of a component that is not listed the earlier findings are known all the same.
+    component = rank.withColumnRenamed("items", "earlier").join(customers, "o_custkey", "left")
     facts = {"about": orders.select("o_orderkey", "o_custkey").join(component, "o_custkey").select("o_orderkey", "component", "exposed", "earlier")}
     found = package.evidence_package(orders.select("o_orderkey"), "o_orderkey", sources, facts)
     return found.select("o_orderkey", "code", "trace", "symbols", "about.component", "about.exposed", "about.earlier")

@@ -20,6 +20,20 @@ def test_one_row_a_finding(spark):
     assert rows["c"].code == [] and tuple(rows["c"].about) == (None, 5) and rows["d"].code == [] and rows["d"].about is None and all(r.none is None for r in rows.values())
 
 
+def test_ties_go_by_the_value_and_unlisted_components_keep_their_history(spark, tmp_path):
+    from siftline.plans.registry import QUERIES
+
+    save = lambda name, rows, schema: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save("orders", [(1, 10), (2, 99), (3, 99), (4, None)], "o_orderkey long, o_custkey long")
+    save("customer", [(10, "c", 3)], "c_custkey long, c_name string, c_nationkey int")
+    save("part", [(5, 1, "b")], "p_partkey long, p_size int, p_brand string")
+    item = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp"
+    save("lineitem", [(1, 5, s, 1, "R", None) for s in (116, 22, 3)], item)
+    got = {r.o_orderkey: r for r in QUERIES["p29_evidence_package"](spark, str(tmp_path)).collect()}
+    assert got[1].trace == ["3", "22"] and got[1].component == "c" and got[1].earlier == [1]
+    assert got[2].component is None and got[2].exposed is None and got[2].earlier == got[3].earlier == [2, 3] and got[4].earlier is None
+
+
 def test_tasks_keep_the_first_rows_before_the_shuffle(spark):
     code = spark.range(1000).select((F.col("id") % 2).alias("id"), F.col("id").alias("at"), F.col("id").cast("string").alias("text"))
     df = package.evidence_package(spark.createDataFrame([(0,), (1,)], "id long"), "id", {"code": (code, ["at"], "text", 3)})
