@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,46 +48,55 @@ def routes(files: DataFrame) -> DataFrame:
     first method (``level`` is class). A method ends before the next one begins. Methods that a route file names and that no mark names are
     routes without an address (``declared_by`` is yaml). The address is the prefix of the file or its nearest directory, then the class's, then the route's own.
     """
-    lines = _lines(files, r"\.php$")
-    of = Window.partitionBy(*FILE)
-    method, name = F.regexp_extract("code", _METHOD, 1), F.regexp_extract("code", _CLASS, 1)
-    upcoming = of.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    starts = F.when(method != "", F.struct(F.col("line").alias("first"), method.alias("method")))
-    marked = lines.withColumns({
-        "method": method,
-        "next": F.last(starts, ignorenulls=True).over(upcoming),
-        "near": F.array(*(F.lead("code", k).over(of.orderBy("line")) if k else F.col("code") for k in range(ARGUMENT_LINES))),
-        "class": F.first(F.nullif(name, F.lit("")), ignorenulls=True).over(of.orderBy("line").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)),
-        "class_line": F.min(F.when(name != "", F.col("line"))).over(of),
-        "lines": F.max("line").over(of),
-    })
-    # The arguments may run over several lines, but not into the next mark.
-    stop = F.array_position(F.transform(F.slice("near", 2, ARGUMENT_LINES - 1), lambda x: F.coalesce(x.rlike(f"{_ATTRIBUTE}|{_ANNOTATION}"), F.lit(False))), F.lit(True)).cast("int")
-    marked = marked.withColumn("args", F.concat_ws(" ", F.slice("near", F.lit(1), F.when(stop > 0, stop).otherwise(ARGUMENT_LINES)))).drop("near")
-    spans = marked.where("method <> ''").select(*FILE, "class", "method", F.col("line").alias("first"), F.coalesce(F.col("next.first") - 1, F.col("lines")).alias("last"))
+    code = files.where(F.col("path").rlike(r"\.php$") & F.col("text").isNotNull()).select(*FILE, F.split("text", r"\r?\n").alias("_all"))
+    # Only the lines that may say something leave their file's array, with the arguments that follow a mark.
+    # An outer explode, as the filter that Spark puts below a plain one would split the text anew for every line.
+    any_of = lambda c, *words: reduce(Column.__or__, (F.contains(c, F.lit(w)) for w in words))
+
+    def arguments(c: Column, i: Column) -> Column:
+        """The line and those behind it: the arguments may run over several lines, but not into the next mark."""
+        behind = F.array(*(F.get("_all", i + k) for k in range(1, ARGUMENT_LINES)))
+        stop = F.array_position(F.transform(behind, lambda x: x.rlike(f"{_ATTRIBUTE}|{_ANNOTATION}")), F.lit(True)).cast("int")
+        return F.when(F.contains(c, F.lit("Route")), F.concat_ws(" ", c, F.slice(behind, F.lit(1), F.when(stop > 0, stop - 1).otherwise(ARGUMENT_LINES))))
+
+    said = F.filter(F.transform("_all", lambda c, i: F.when(any_of(c, "function", "class", "Route"), F.struct((i + 1).cast("long").alias("line"), c.alias("code"), arguments(c, i).alias("args")))), lambda x: x.isNotNull())
+    rows = code.select(*FILE, F.size("_all").cast("long").alias("lines"), F.explode_outer(said).alias("x")).select(*FILE, "lines", "x.*")
     attribute = F.col("code").rlike(_ATTRIBUTE)
     some = lambda pattern: F.nullif(F.regexp_extract("args", pattern, 1), F.lit(""))
     named, positional = r"""path\s*[:=]\s*["']([^"']*)["']""", r"""["']([^"']*)["']"""
     path = F.when(F.col("args").rlike(named), F.regexp_extract("args", named, 1)).when(F.col("args").rlike(positional), F.regexp_extract("args", positional, 1))
-    marks = marked.where(attribute | F.col("code").rlike(_ANNOTATION)).select(
-        *FILE, "class", "line", F.col("next.first").alias("first"), path.alias("route"), F.regexp_replace(some(r"""methods\s*[:=]\s*(\[[^\]]*\]|["'][^"']*["'])"""), r"""^[\[\]"' ]+|[\[\]"' ]+$""", "").alias("verbs"),
-        F.when(attribute, "attribute").otherwise("annotation").alias("declared_by"), F.when(F.col("line") < F.col("class_line"), "class").otherwise("method").alias("level"),
-    )
-    class_prefix = marks.where("level = 'class'").groupBy(*FILE).agg(F.min_by("route", "line").alias("class_prefix"))
-    own = marks.where("first is not null").join(spans.drop("class"), [*FILE, "first"])
+    verbs = F.regexp_replace(some(r"""methods\s*[:=]\s*(\[[^\]]*\]|["'][^"']*["'])"""), r"""^[\[\]"' ]+|[\[\]"' ]+$""", "")
+    mark = F.when(attribute, "attribute").when(F.col("code").rlike(_ANNOTATION), "annotation")
+    found = rows.select(
+        *FILE, "lines", "line", F.nullif(F.regexp_extract("code", _METHOD, 1), F.lit("")).alias("method"), F.nullif(F.regexp_extract("code", _CLASS, 1), F.lit("")).alias("named"), mark.alias("declared_by"),
+        F.when(mark.isNotNull(), path).alias("route"), F.when(mark.isNotNull(), verbs).alias("verbs"),
+    ).where("method is not null or named is not null or declared_by is not null")
+    # One shuffle and one order of a file's rows tell the next method, its end, the class and the class's prefix.
+    of = Window.partitionBy(*FILE)
+    upcoming = of.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    follows = found.withColumn("_after", F.last(F.when(F.col("method").isNotNull(), F.col("line")), ignorenulls=True).over(upcoming))
+    span = F.when(F.col("method").isNotNull(), F.struct(F.col("line").alias("first"), "method", F.coalesce(F.col("_after") - 1, F.col("lines")).alias("last")))
+    placed = follows.withColumns({"next": F.last(span, ignorenulls=True).over(upcoming), "_class": F.min(F.when(F.col("named").isNotNull(), F.struct("line", "named"))).over(of)})
+    placed = placed.withColumn("class", F.col("_class.named"))
+    level = F.when(F.col("line") < F.col("_class.line"), "class").otherwise("method")
+    placed = placed.withColumn("class_prefix", F.min(F.when(F.col("declared_by").isNotNull() & (level == "class"), F.struct("line", "route"))).over(of)["route"])
+    own = placed.where("declared_by is not null and next is not null").select(*FILE, "class", "next.method", "next.first", "next.last", "route", "verbs", "declared_by", level.alias("level"), "class_prefix")
 
     given = _lines(files, r"(?:^|/)config/routes(?:\.yaml$|/.*\.yaml$)").select("project", F.explode(F.regexp_extract_all("code", F.lit(r"""controller\s*:\s*['"]?([\w\\]+::\w+)"""), 1)).alias("controller"))
     given = given.select("project", F.element_at(F.split(F.split("controller", "::")[0], r"\\"), -1).alias("class"), F.split("controller", "::")[1].alias("method")).distinct()
-    given = given.join(own.select("project", "class", "method").distinct(), ["project", "class", "method"], "left_anti")
+    # Of the named methods one table holds where they are and whether a mark names them.
     stem = F.regexp_extract("path", r"([^/]+)\.php$", 1)
-    by_stem = spans.select(*FILE, stem.alias("class"), "method", "first", "last")
-    yaml = given.join(by_stem, ["project", "class", "method"]).groupBy("project", "class", "method").agg(F.min(F.struct("path", "first", "last")).alias("s"))
+    place = F.struct("path", F.col("line").alias("first"), F.coalesce(F.col("_after") - 1, F.col("lines")).alias("last"))
+    here = F.when(F.col("method").isNotNull(), F.struct(stem.alias("class"), "method", place.alias("s"), F.lit(False).alias("marked")))
+    named_by = F.when(F.col("declared_by").isNotNull() & F.col("next").isNotNull(), F.struct("class", F.col("next.method").alias("method"), F.lit(None).cast("struct<path:string,first:bigint,last:bigint>").alias("s"), F.lit(True).alias("marked")))
+    asked = placed.select("project", F.explode(F.array(here, named_by)).alias("k")).where("k is not null").select("project", "k.*").join(given, ["project", "class", "method"], "left_semi")
+    yaml = asked.groupBy("project", "class", "method").agg(F.min("s").alias("s"), F.bool_or("marked").alias("marked")).where("not marked")
     yaml = yaml.select("project", "s.path", "class", "method", "s.first", "s.last", F.lit("yaml").alias("declared_by"), F.lit("method").alias("level"))
 
     # The file itself, or else the nearest directory that a route file puts below a prefix.
-    homes = own.select(*FILE).distinct().select(*FILE, F.posexplode(F.transform(prefixes(F.col("path")), lambda p: F.when(p == F.col("path"), p).otherwise(F.concat(p, F.lit("/"))))).alias("_far", "target"))
+    homes = code.select(*FILE).distinct().select(*FILE, F.posexplode(F.transform(prefixes(F.col("path")), lambda p: F.when(p == F.col("path"), p).otherwise(F.concat(p, F.lit("/"))))).alias("_far", "target"))
     above = homes.join(route_prefixes(files), ["project", "target"]).groupBy(*FILE).agg(F.min_by("prefix", "_far").alias("dir_prefix"))
-    own = own.join(class_prefix, FILE, "left").join(above, FILE, "left")
+    own = own.join(above, FILE, "left")
     address = F.when((F.col("level") == "method") & F.col("route").isNotNull(), joined_path(F.col("dir_prefix"), F.col("class_prefix"), F.col("route")))
     own = own.select(*FILE, "class", "method", "first", "last", "route", "verbs", "declared_by", "level", address.alias("address"))
     return own.unionByName(yaml, allowMissingColumns=True)

@@ -58,3 +58,13 @@ def test_routes_with_their_prefixes(spark):
     }
     near = {(r.stem, r.hops) for r in routes.perimeter(files, found.where("path like '%Shop.php'")).collect()}
     assert near == {("Shop", 0), ("Basket", 1), ("Money", 1), ("Coin", 2), ("Metal", 3)}
+
+
+def test_texts_meet_one_order_of_their_rows(spark):
+    """Marks far from their method, arguments that the next mark ends, and no sort or shuffle of whole lines."""
+    text = "<?php\nclass A {\n#[Route(\n'/a')]\n" + "// Route\n" * 40 + "#[Route('/b')]\n@Route(\nfunction f() {\n}\nfunction g() {\n}"
+    files = spark.createDataFrame([("p", "src/A.php", text), ("p", "src/B.php", None), ("p", "src/C.php", "")], FILES)
+    df = routes.routes(files)
+    assert {(r.method, r.first, r.last, r.route) for r in df.collect()} == {("f", 47, 48, "/a"), ("f", 47, 48, "/b"), ("f", 47, 48, None)}
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "near" not in plan and "lead(" not in plan
