@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .code import FILE
-from .graph import reach
+from .graph import durable, reach
 from .joins import prefixes
 
 _METHOD = r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)"
@@ -110,7 +110,8 @@ def perimeter(files: DataFrame, entries: DataFrame, within: int = 3) -> DataFram
     named = code.select("project", stem.alias("stem"), F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"\b([A-Z][A-Za-z0-9_]{2,})\b"), 1))).alias("to"))
     named = named.where("to <> stem").join(known.withColumnRenamed("stem", "to"), ["project", "to"], "left_semi").distinct()
     node = lambda c: F.struct(F.col("project").alias("project"), F.col(c).alias("stem"))
-    edges = named.select(node("stem").alias("from"), node("to").alias("onto"))
+    # Every level of the search reads the references, so the texts are looked through once.
+    edges = durable(named.select(node("stem").alias("from"), node("to").alias("onto")))
     starts = entries.select("project", stem.alias("stem")).distinct().select(node("stem").alias("node"))
     found = reach(edges, starts, "from", "onto", within)
     return found.select("node.project", "node.stem", "hops")
