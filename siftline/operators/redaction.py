@@ -5,7 +5,8 @@ Lines and their number stay, so places in a file keep their meaning.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .code import FILE
@@ -36,7 +37,9 @@ def _block(levels: int = 6) -> str:
 def hidden_blocks(text: Column) -> Column:
     """``text`` with the bracketed blocks of secret keys hidden; one that is never closed, or is deeper than blocks are followed, is hidden to the end."""
     head = rf"(?:(?!(?<![\w.-])[\"']?access_token[\"']?[ \t]*(?:=>|:=|:|=)[ \t]*\{{[ \t]*{_HANDLER}){_HEAD})"
-    pieces = F.regexp_extract_all(text, F.lit(rf"(?is){head}(?:{_block()}|[\[{{].*)|(?:(?!{head}[\[{{]).)++"), 0)
+    # A head begins at a quote or a letter with none of a name's characters before it; all else is passed over in runs.
+    other = rf"(?:[^\w.\-\"']++|(?<=[\w.\-])[\w.\-]++|(?!{head}[\[{{]).)++"
+    pieces = F.regexp_extract_all(text, F.lit(rf"(?is){head}(?:{_block()}|[\[{{].*)|{other}"), 0)
     opened = rf"(?is)^({_HEAD})[\[{{].*$"
     lines = lambda p: F.length(p) - F.length(F.replace(p, F.lit("\n"), F.lit("")))
     hide = lambda p: F.concat(F.regexp_extract(p, opened, 1), F.lit(HIDDEN), F.repeat(F.lit("\n"), lines(p)))
@@ -57,31 +60,53 @@ def hidden_values(text: Column) -> Column:
     return F.regexp_replace(out, rf"(?i)(<(?:{tag})\b[^>]*\bvalue\s*=\s*){attribute}(?=[^>]*{named})", f"$1{HIDDEN}")
 
 
+# What is known of a line, below its indent: opens a block, opens one unless a handler follows, is blank, is an item, is a handler.
+_OPENS, _MAY_OPEN, _BLANK, _ITEM, _HANDLES, _INDENT = 1, 2, 4, 8, 16, 32
+
+
+def covered_lines(marks: list[int]) -> list[bool] | None:
+    """Which of a file's lines stand below an open secret key, in one pass; None if no line opens anything. A block inside an open one ends with it or before, so one level is kept."""
+    if not any(m & (_OPENS | _MAY_OPEN) for m in marks):
+        return None
+    out, level = [], None
+    for k, m in enumerate(marks):
+        indent = m // _INDENT
+        if level is not None and not m & _BLANK and (indent < level or indent == level and not m & _ITEM):
+            level = None
+        out.append(level is not None)
+        if level is None and m & (_OPENS | _MAY_OPEN):
+            following = next((marks[j] for j in range(k + 1, len(marks)) if not marks[j] & _BLANK), 0) if m & _MAY_OPEN else 0
+            if m & _OPENS or not following & _HANDLES:
+                level = indent
+    return out
+
+
 def redacted_lines(files: DataFrame) -> DataFrame:
     """project, path, line, code: the lines of configuration files without their secrets.
 
     A secret key without a value on its line (or with a block mark) hides what is indented below it, lists at its own indent included, until a line stands
-    at its indent or before. For each indent at which a file has such a key one ordered pass says whether one is open. Null text has no lines.
+    at its indent or before. A file stays one row until its lines are known, so nothing is shuffled. Null text has no lines.
     """
-    clean = files.where(F.col("text").isNotNull()).select(*FILE, hidden_blocks(F.col("text")).alias("text"))
-    lines = clean.select(*FILE, F.posexplode(F.split("text", "\n")).alias("_at", "code")).select(*FILE, (F.col("_at") + 1).cast("long").alias("line"), "code")
-    lines = lines.withColumn("indent", F.length(F.regexp_extract("code", r"^(\s*)", 1)))
-    blank = F.trim(F.regexp_replace("code", r"\r$", "")) == ""
-    order = Window.partitionBy(*FILE).orderBy("line")
-    following = F.first(F.when(~blank, F.col("code")), ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
+    clean = files.where(F.col("text").isNotNull()).select(*FILE, F.split(hidden_blocks(F.col("text")), "\n").alias("_all"))
     key = rf"""(?i)^[ \t]*(?:-[ \t]+)?["']?({_KEY})["']?[ \t]*:[ \t]*(.*?)\s*$"""
-    value = F.regexp_extract("code", key, 2)
-    handled = (F.lower(F.regexp_extract("code", key, 1)) == "access_token") & F.coalesce(following.rlike(rf"^[ \t]*{_HANDLER}"), F.lit(False))
-    opens = F.col("code").rlike(key) & (value.rlike(r"^[|>]") | ((F.trim(F.split(value, "#")[0]) == "") & ~handled))
-    # Only files that have such a key are looked through.
-    headed = lines.where(F.col("code").rlike(key)).select(*FILE).distinct()
-    placed = lines.join(headed, FILE, "left_semi").withColumns({"opens": opens, "blank": blank})
-    levels = placed.where("opens").select(*FILE, F.col("indent").alias("level")).distinct()
-    each = placed.select(*FILE, "line", "indent", "opens", "blank", F.startswith(F.ltrim("code"), F.lit("- ")).alias("item")).join(levels, FILE)
-    closes = ~F.col("blank") & ((F.col("indent") < F.col("level")) | (F.col("indent") == F.col("level")) & ~F.col("item"))
-    event = F.when(F.col("opens") & (F.col("indent") == F.col("level")), True).when(closes, False)
-    before = F.last(event, ignorenulls=True).over(Window.partitionBy(*FILE, "level").orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    covered = each.withColumn("covered", F.coalesce(before, F.lit(False)) & ~closes).where("covered").select(*FILE, "line", F.lit(True).alias("covered")).distinct()
-    shown = hidden_values(F.col("code"))
-    hidden = F.concat(F.regexp_extract("code", r"^([^\S\r\n]*)", 1), F.lit(HIDDEN))
-    return lines.join(covered, [*FILE, "line"], "left").select(*FILE, "line", F.when(F.col("covered"), hidden).otherwise(shown).alias("code"))
+
+    def mark(c: Column) -> Column:
+        value = F.regexp_extract(c, key, 2)
+        empty = F.trim(F.split(value, "#")[0]) == ""
+        opens = F.when(~F.contains(c, F.lit(":")) | ~c.rlike(key), 0).when(value.rlike(r"^[|>]"), _OPENS).when(~empty, 0).when(F.lower(F.regexp_extract(c, key, 1)) == "access_token", _MAY_OPEN).otherwise(_OPENS)
+        flag = lambda condition, n: F.when(condition, n).otherwise(0)
+        blank, item = F.trim(F.regexp_replace(c, r"\r$", "")) == "", F.startswith(F.ltrim(c), F.lit("- "))
+        return opens + flag(blank, _BLANK) + flag(item, _ITEM) + flag(c.rlike(rf"^[ \t]*{_HANDLER}"), _HANDLES) + F.length(F.regexp_extract(c, r"^(\s*)", 1)) * _INDENT
+
+    @F.pandas_udf("array<boolean>")
+    def covered(marks: pd.Series) -> pd.Series:
+        return pd.Series([covered_lines(m.tolist()) for m in marks], dtype=object)
+
+    known = clean.select(*FILE, "_all", F.coalesce(covered(F.transform("_all", mark)), F.array().cast("array<boolean>")).alias("_covered"))
+    # An outer explode, as the filter that Spark puts below a plain one would work out the lines a second time.
+    lines = known.select(*FILE, F.posexplode_outer(F.arrays_zip(F.col("_all").alias("code"), F.col("_covered").alias("covered"))).alias("_at", "x"))
+    code = F.col("x.code")
+    # Whatever is hidden on a line of its own has one of the keys.
+    shown = F.when(code.rlike(rf"(?i){_KEY}"), hidden_values(code)).otherwise(code)
+    hidden = F.concat(F.regexp_extract(code, r"^([^\S\r\n]*)", 1), F.lit(HIDDEN))
+    return lines.select(*FILE, (F.col("_at") + 1).cast("long").alias("line"), F.when(F.col("x.covered"), hidden).otherwise(shown).alias("code"))

@@ -45,3 +45,30 @@ def test_redaction(spark):
     assert got["c.php"] == ["<?php return [", f"  'password' => {r},", f"  'secret' => {r},", f"  'tokens' => {r}", ",", "  'class' => Foo::class,", "  'token' => Foo::class,", "];"]
     assert got["d.xml"] == [f'<c><password>{r}</password><parameter key="api_key">{r}</parameter><parameter name="size">s</parameter><item value={r} key="token"/><item name="secret" value={r}/><secret>%env(X)%</secret></c>']
     assert "e.yaml" not in got and got["f.yaml"] == [""] and got["g.json"] == [f'{{"secret": {r}'] and got["h.txt"] == ["nothing here"]
+
+
+def test_one_level_covers_what_all_levels_would():
+    import random
+
+    from siftline.operators.redaction import covered_lines
+
+    rng = random.Random(5)
+    for _ in range(3000):
+        marks = [rng.choice((0, 0, 0, 1, 1, 2, 4, 8, 9, 16)) + 32 * rng.randrange(4) for _ in range(rng.randrange(12))]
+        after = [next((n for n in marks[k + 1 :] if not n & 4), 0) for k in range(len(marks))]
+        opens = [bool(m & 1 or m & 2 and not after[k] & 16) for k, m in enumerate(marks)]
+        want = [False] * len(marks)
+        for level in {m // 32 for m in marks}:
+            held = False
+            for k, m in enumerate(marks):
+                closes = not m & 4 and (m // 32 < level or m // 32 == level and not m & 8)
+                want[k] |= held and not closes
+                held = True if opens[k] and m // 32 == level else False if closes else held
+        assert (covered_lines(marks) or [False] * len(marks)) == want
+
+
+def test_lines_are_not_shuffled(spark):
+    files = spark.createDataFrame([("p", "a.yaml", "a:\n  token:\n\n    x: 1\n  b: 2"), ("p", "b.yaml", None), ("p", "c.yaml", "")], "project string, path string, text string")
+    df = redaction.redacted_lines(files)
+    assert [r.code for r in df.where("path = 'a.yaml'").orderBy("line").collect()] == ["a:", "  token:", "<REDACTED>", "    <REDACTED>", "  b: 2"] and df.count() == 6
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
