@@ -6,8 +6,8 @@ from functools import cache
 
 from pyspark.sql import functions as F
 
-from ..operators import code
-from ..operators.graph import durable
+from ..operators import code, links
+from ..operators.graph import durable, kept
 from .registry import query, table
 
 # A statement for each word: its kind and numbers come from the word's place, its length and the document.
@@ -27,8 +27,12 @@ def _files(spark, d):
     docs = table(spark, d, "documents").where("text is not null")
     words = F.split("text", r"[ \n]+")
 
-    def statement(w, i):
-        line, size, doc = (i + 1).cast("long"), F.length(w), F.col("doc_id")
+    def numbers(w, i):
+        line, size = (i + 1).cast("long"), F.length(w)
+        return F.struct(line.alias("line"), size.alias("size"), ((line * 7 + size * 3 + F.col("doc_id")) % 12).cast("int").alias("kind"))
+
+    def statement(word):
+        line, size, doc = word["line"], word["size"], F.col("doc_id")
         s = lambda n: n.cast("string")
         a, b = F.concat(F.lit("v"), s((line + size) % 6)), F.concat(F.lit("v"), s((line * 5 + size) % 6))
         p, n = s((size + doc) % 9), (line + 2 * size) % 8
@@ -41,19 +45,19 @@ def _files(spark, d):
             say(a, ".", f, "(3);"), say(f, "(4);"), say("// ", a, ".", f, "(5);"), say("if (x) { ", a, ".deep?.", f, "('// no comment', 6) }"), say("import ", a, ", { other } from '", near, "';"),
             say("export const ", a, " = ", b, ".x;"), say("export default ", b, ";"),
         ]
-        kind, out = (line * 7 + size * 3 + doc) % 12, None
+        out = None
         for k, form in enumerate(forms):
-            out = F.when(kind == k, form) if out is None else out.when(kind == k, form)
+            out = F.when(word["kind"] == k, form) if out is None else out.when(word["kind"] == k, form)
         return out
 
     tail = F.when(F.col("doc_id") % 5 == 0, "/index.js").otherwise(".js")
     path = F.concat(F.lit("src/"), F.col("lang"), F.lit("/m"), F.col("doc_id").cast("string"), tail)
-    return docs.select(F.lit("all").alias("project"), path.alias("path"), F.array_join(F.transform(words, statement), "\n").alias("text"))
+    return docs.select(F.lit("all").alias("project"), path.alias("path"), F.array_join(F.transform(F.transform(words, numbers), statement), "\n").alias("text"))
 
 
-def _lines(spark, d):
-    """The files' lines, parsed once: every later step reads them."""
-    return durable(code.statements(_files(spark, d)))
+def _traced(spark, d, uses):
+    """What the files hold, read once: every later step reads this."""
+    return kept(code.traced_files(_files(spark, d), uses))
 
 
 def _packages(spark):
@@ -75,8 +79,8 @@ def _doc(path="path"):
 )
 def j21(spark, d):
     """Which names of every file come from which package, over any number of assignments; a later definition ends an earlier one."""
-    traced = code.origins(code.definitions(_lines(spark, d)))
-    return code.package_bindings(traced, _packages(spark)).select(_doc(), "line", "name", "package", "member", "hops")
+    bound = code.traced_bindings(_traced(spark, d, False).where(F.col("role") == links.DEFINITION), _packages(spark))
+    return bound.select(_doc(), "line", "name", "package", "member", "hops")
 
 
 _SQL_MODULES = """given AS (SELECT doc_id, path, CASE WHEN k = 10 THEN a ELSE 'default' END AS exported, CASE WHEN k = 10 THEN a ELSE b END AS chain, line + CASE WHEN k = 10 THEN 1 ELSE 0 END AS place FROM st WHERE k IN (10, 11)),
@@ -93,11 +97,14 @@ through AS (SELECT r.doc_id, r.line, r.name, o.package, r.hops FROM root r JOIN
 )
 def j22(spark, d):
     """Names that come from a package through one module of the project, by relative paths, aliases and index files."""
-    lines = _lines(spark, d)
-    traced = code.origins(code.definitions(lines))
-    bound = code.package_bindings(traced, _packages(spark))
+    traced = _traced(spark, d, True)
+    names = traced.where((F.col("role") == links.DEFINITION) & F.col("spec").isNotNull())
+    return names.join(_modules(spark, d, traced), [*code.FILE, "spec", "original"]).select(_doc(), "line", "name", "package", "hops")
+
+
+def _modules(spark, d, traced):
     aliases = spark.createDataFrame(_aliases(), "project string, prefix string, target string, ordinal int")
-    return code.reexported_bindings(lines, traced, bound, _files(spark, d), aliases).select(_doc(), "line", "name", "package", "hops")
+    return kept(code.traced_modules(traced, _packages(spark), _files(spark, d), aliases))
 
 
 _SQL_CALLS = """calls AS (SELECT doc_id, path, lang, line, k, CASE k WHEN 2 THEN 'make' WHEN 3 THEN b ELSE f END AS name, CASE k WHEN 2 THEN b WHEN 3 THEN b WHEN 5 THEN a WHEN 8 THEN a ELSE f END AS head,
@@ -117,19 +124,13 @@ s AS (SELECT a.package, a.fun AS "function", a.class, CASE WHEN NOT distributed
 
 
 def _sites(spark, d):
-    lines = _lines(spark, d)
-    traced = durable(code.origins(code.definitions(lines)))
-    packages = _packages(spark)
-    bound = durable(code.package_bindings(traced, packages))
-    aliases = spark.createDataFrame(_aliases(), "project string, prefix string, target string, ordinal int")
-    through = code.reexported_bindings(lines, traced, bound, _files(spark, d), aliases)
+    traced = _traced(spark, d, True)
     n = F.col("p_partkey")
     s = lambda x: x.cast("string")
     function = F.when((n % 13 == 0) | (n % 5 == 4), None).when(n % 7 == 6, "make").when(n % 10 == 7, "get").otherwise(F.concat(F.lit("fn"), s(n % 10)))
     klass = F.when(n % 13 == 0, None).when(n % 5 == 4, F.when(n % 3 == 0, "Klass").otherwise(F.concat(F.lit("fn"), s(n % 8))))
     symbols = table(spark, d, "part").select(F.concat(F.lit("pkg"), s(n % 11)).alias("package"), function.alias("function"), klass.alias("class"), (n % 17 != 0).alias("distributed"))
-    imported = code.imported_packages(code.imports(lines), packages)
-    return code.call_sites(symbols, durable(code.calls(lines)), traced, bound.unionByName(through), code.local_functions(lines), imported, F.contains("path", F.lit("/fr/")))
+    return code.traced_call_sites(symbols, traced, _packages(spark), _modules(spark, d, traced), F.contains("path", F.lit("/fr/")))
 
 
 @query(
