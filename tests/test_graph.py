@@ -27,6 +27,9 @@ def test_few_links_take_one_partition_and_many_find_the_same(spark, monkeypatch)
     assert sorted(map(tuple, few.collect())) == expected
     plan = few._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+    edges = graph.durable(frame.where("a > b").select("b", "a").toDF("a", "b")).coalesce(1)
+    for large in (True, False):
+        assert "Exchange" not in graph._star(edges, large, 16, 1)._jdf.queryExecution().executedPlan().toString()
     monkeypatch.setattr(graph, "LINKS", 20)
     assert sorted(map(tuple, graph.connected_components(frame).collect())) == expected
     assert graph.connected_components(frame.where("a is null")).count() == 0
