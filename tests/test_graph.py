@@ -33,3 +33,23 @@ def test_few_links_take_one_partition_and_many_find_the_same(spark, monkeypatch)
     monkeypatch.setattr(graph, "LINKS", 20)
     assert sorted(map(tuple, graph.connected_components(frame).collect())) == expected
     assert graph.connected_components(frame.where("a is null")).count() == 0
+
+
+def test_links_to_several_others_shrink_before_they_are_doubled(spark, monkeypatch):
+    """Nodes tied to 40 others each, as keys tie the classes of a large group: no star that looks both ways takes them all."""
+    links = [(1000 + k, j) for k in range(60) for j in range(40) if (k + j) % 3]
+    star, taken = graph._star, []
+
+    def counted(edges, large, ways, parts):
+        if large:
+            taken.append(edges.count())
+        out = star(edges, large, ways, parts)
+        assert parts == 1 or "Generate" not in out._jdf.queryExecution().executedPlan().toString()
+        return out
+
+    monkeypatch.setattr(graph, "_star", counted)
+    for most in (50_000, 300):
+        monkeypatch.setattr(graph, "LINKS", most)
+        got = graph.connected_components(spark.createDataFrame(links, "a long, b long"))
+        assert sorted(map(tuple, got.collect())) == [(k, 0) for k in [*range(40), *range(1000, 1060)]]
+    assert max(taken) <= 200
