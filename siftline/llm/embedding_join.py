@@ -6,9 +6,10 @@
    length's, with a residual code for each of eight subspaces. Lists are numbered through all lengths.
 3. Each vector visits its own list and every list whose border with its own is at most half a linked displacement away:
    of two linked vectors in two lists one is that near, as their distances to the border add up to no more than their
-   displacement. In a list, distances from visitors to members are sums of table look-ups by code; by the triangle inequality a
-   linked member is at most the displacement and what its code leaves out away. Those within that
+   displacement. In a list, distances from visitors to members are those to what the members' codes stand for, one matrix product
+   a list; by the triangle inequality a linked member is at most the displacement and what its code leaves out away. Those within that
    bound go on to the exact cosine in double precision, which alone decides. So no link is lost, whatever the data are like.
+   A link that both sides see counts where the nearer one to the border visits.
 4. Neighbouring lists form blocks, to which a vector is sent once however many of their lists it visits. Blocks are cut into chunks of
    members and of visitors, one task for each pair of chunks, so no task holds a hot list. Tasks return
    the links' number for each vector and a spanning set of them, never all pairs.
@@ -16,6 +17,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,24 +32,27 @@ SAMPLE = 20_000
 #: What each vector length gives to the sample at least, as far as it has so many.
 LEAST_SAMPLE = 64
 #: Vectors of a list on average, and the most lists.
-LIST_SIZE, MOST_LISTS = 256, 2048
+LIST_SIZE, MOST_LISTS = 32, 2048
 #: What rounding may add to a distance or a squared distance.
 ROUNDING = 1e-4
 SUBSPACES, CODES = 8, 256
 #: Neighbouring lists that are one block: a vector is sent once to each block that it visits.
-BLOCK = 64
+BLOCK = 512
 #: Members and visitors that one task takes.
-MEMBERS, VISITORS = 8192, 8192
+MEMBERS, VISITORS = 16384, 16384
+#: Vectors whose visits to all lists are worked out together, and candidates that are checked together.
+ROWS, PAIRS = 1024, 65_536
 
 
-def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
+def _kmeans(x: np.ndarray, k: int, rounds: int = 4) -> np.ndarray:
     rng = np.random.default_rng(5)
-    centres = x[rng.choice(len(x), k, replace=False)].copy()
+    centres, short = x[rng.choice(len(x), k, replace=False)].copy(), x.astype(np.float32)
     for _ in range(rounds):
-        near = _nearest(x, centres)
-        sums, counts = np.zeros_like(centres), np.bincount(near, minlength=k)
-        np.add.at(sums, near, x)
-        centres[counts > 0] = sums[counts > 0] / counts[counts > 0, None]
+        near = _nearest(short, centres.astype(np.float32))
+        order, counts = np.argsort(near, kind="stable"), np.bincount(near, minlength=k)
+        some = counts > 0
+        sums = np.add.reduceat(x[order], (np.cumsum(counts) - counts)[some])
+        centres[some] = sums / counts[some, None]
     return centres
 
 
@@ -68,17 +74,25 @@ class Index:
         self.cuts = np.linspace(0, x.shape[1], min(SUBSPACES, x.shape[1]) + 1).astype(int)
         rest = x - self.centres[_nearest(x, self.centres)]
         self.codes = [_kmeans(rest[:, a:b], min(CODES, len(x))) for a, b in zip(self.cuts, self.cuts[1:])]
-        square = (self.centres**2).sum(axis=1)
-        gap = square[:, None] + square[None] - 2 * self.centres @ self.centres.T
-        self.half, self.gap = square / 2, np.sqrt(np.maximum(gap, 1e-18))
-
-    def visits(self, x: np.ndarray, home: np.ndarray, radius: float) -> np.ndarray:
-        """Which lists each unit vector visits: those whose border with its own list is within half of ``radius``."""
-        near = x @ self.centres.T - self.half
-        to_border = (near[np.arange(len(x)), home][:, None] - near) / self.gap[home]
-        out = to_border <= radius / 2 + ROUNDING
-        out[np.arange(len(x)), home] = True
-        return out
+        self.half = (self.centres**2).sum(axis=1) / 2
+
+    @cached_property
+    def gap(self) -> np.ndarray:
+        """Distances between list centres, worked out where they are needed: they are larger than all else that is broadcast."""
+        gap = 2 * (self.half[:, None] + self.half[None] - self.centres @ self.centres.T)
+        return np.sqrt(np.maximum(gap, 1e-18))
+
+    def visits(self, x: np.ndarray, home: np.ndarray, radius: float, lists: np.ndarray | None = None) -> np.ndarray:
+        """Which of ``lists`` (of all) each unit vector visits: its own and those whose border with its own is within half of ``radius``."""
+        lists = np.arange(len(self.centres)) if lists is None else lists
+        own = (x * self.centres[home]).sum(axis=1) - self.half[home]
+        ahead = own[:, None] - (x @ self.centres[lists].T - self.half[lists])
+        return (ahead <= (radius / 2 + ROUNDING) * self.gap[home][:, lists]) | (home[:, None] == lists[None])
+
+    def to_border(self, x: np.ndarray, home: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """How far each unit vector is from the border of its own list with one other; row by row, so the same in every task."""
+        near = (x * self.centres[home]).sum(axis=1) - self.half[home] - (x * self.centres[other]).sum(axis=1) + self.half[other]
+        return near / self.gap[home, other]
 
     def encode(self, x: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Codes of the residuals, and the length of what the codes leave out."""
@@ -88,13 +102,10 @@ class Index:
         return codes.astype(np.uint8), np.linalg.norm(left, axis=1)
 
     def distances(self, x: np.ndarray, centre: int, codes: np.ndarray) -> np.ndarray:
-        """Squared distances from unit vectors to coded members of a list, by look-ups in each vector's own tables."""
-        rest = (x - self.centres[centre]).astype(np.float32)
-        out = np.zeros((len(x), len(codes)), np.float32)
-        for m, (a, b, c) in enumerate(zip(self.cuts, self.cuts[1:], self.codes)):
-            part = rest[:, a:b]
-            tables = (part**2).sum(axis=1)[:, None] - 2 * part @ c.T.astype(np.float32) + (c**2).sum(axis=1).astype(np.float32)
-            out += np.take(tables, codes[:, m], axis=1)
+        """Squared distances from unit vectors to what the codes of a list's members stand for."""
+        coded = self.centres[centre] + np.concatenate([c[codes[:, m]] for m, c in enumerate(self.codes)], axis=1)
+        out = x.astype(np.float32, copy=False) @ (-2 * coded.T).astype(np.float32)
+        out += (1 + (coded**2).sum(axis=1)).astype(np.float32)
         return out
 
 
@@ -134,7 +145,7 @@ def _scaled(x: np.ndarray) -> np.ndarray:
 
 
 def _stack(column: pd.Series) -> np.ndarray:
-    return _scaled(np.stack(column.to_list()).astype(np.float64))
+    return _scaled(np.concatenate(column.to_list()).reshape(len(column), -1).astype(np.float64))
 
 
 def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", ways: int = 64) -> DataFrame:
@@ -171,7 +182,10 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
                 x = _stack(part["v"])
                 x /= np.linalg.norm(x, axis=1, keepdims=True)
                 home = _nearest(x, index.centres)
-                visits = [first + np.unique(np.flatnonzero(row) // BLOCK) for row in index.visits(x, home, radius)]
+                lists, visits = np.arange(len(index.centres)), []
+                for at in range(0, len(x), ROWS):
+                    seen = index.visits(x[at : at + ROWS], home[at : at + ROWS], radius, lists)
+                    visits += [first + np.flatnonzero(row) for row in np.logical_or.reduceat(seen, lists[::BLOCK], axis=1)]
                 yield pd.DataFrame({"rep": part["rep"], "weight": part["weight"], "list": home.astype(np.int32), "home": (first + home // BLOCK).astype(np.int32), "v": part["v"], "visits": [v.astype(np.int32) for v in visits]})
 
     placed = written(classes.mapInPandas(place, f"rep long, weight long, list int, home int, v {kept}, visits array<int>"), f"{folder}/placed")
@@ -199,22 +213,26 @@ def embedding_groups(vectors: DataFrame, cosine: float = 0.9, id_col: str = "vec
         id_m, id_v = members["rep"].to_numpy(), visitors["rep"].to_numpy()
         home_m, home_v = members["list"].to_numpy(), visitors["list"].to_numpy()
         codes, left = index.encode(x_m, home_m)
-        limit = (radius + left) ** 2 + ROUNDING
-        there, back = index.visits(x_v, home_v, radius), index.visits(x_m, home_m, radius)
+        limit = ((radius + left) ** 2 + ROUNDING).astype(np.float32)
+        short = x_v.astype(np.float32)
+        lists = np.unique(home_m)
+        there = [index.visits(x_v[i : i + ROWS], home_v[i : i + ROWS], radius, lists) for i in range(0, len(x_v), ROWS)]
+        there = np.concatenate(there).T.copy()
+        members_of = np.split(np.argsort(home_m, kind="stable"), np.cumsum(np.unique(home_m, return_counts=True)[1])[:-1])
         found_v, found_m = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for at in np.unique(home_m).tolist():
-            mine, guests = np.flatnonzero(home_m == at), np.flatnonzero(there[:, at])
-            for i in range(0, len(guests), 512):
-                block = guests[i : i + 512]
-                near = index.distances(x_v[block], at, codes[mine]) <= limit[mine][None]
-                # Each pair once: of two lists that see it the smaller counts, inside a list the smaller id does.
-                seen = np.where((home_v[block] == at)[:, None], id_v[block, None] < id_m[mine][None], ~back[mine][:, home_v[block]].T | (at < home_v[block])[:, None])
-                v, m = np.nonzero(near & seen)
-                for j in range(0, len(v), 200_000):
-                    a, b = block[v[j : j + 200_000]], mine[m[j : j + 200_000]]
+        for at, guests, mine in zip(lists.tolist(), map(np.flatnonzero, there), members_of, strict=True):
+            for i, k in ((i, k) for i in range(0, len(guests), 8192) for k in range(0, len(mine), 256)):
+                block, part = guests[i : i + 8192], mine[k : k + 256]
+                v, m = np.divmod(np.flatnonzero(index.distances(short[block], at, codes[part]) <= limit[part]), len(part))
+                for j in range(0, len(v), PAIRS):
+                    a, b = block[v[j : j + PAIRS]], part[m[j : j + PAIRS]]
                     exact = np.einsum("ij,ij->i", raw_v[a], raw_m[b]) / (norm_v[a] * norm_m[b]) >= cosine
-                    found_v.append(a[exact])
-                    found_m.append(b[exact])
+                    a, b = a[exact], b[exact]
+                    # Each pair once: inside a list where the smaller id visits, else where the nearer to the border does.
+                    out, back = index.to_border(x_v[a], home_v[a], home_m[b]), index.to_border(x_m[b], home_m[b], home_v[a])
+                    counts = np.where(home_v[a] == home_m[b], id_v[a] < id_m[b], (out < back) | ((out == back) & (home_v[a] < home_m[b])))
+                    found_v.append(a[counts])
+                    found_m.append(b[counts])
         a, b = np.concatenate(found_v), np.concatenate(found_m)
         ids, position = np.unique(np.concatenate([id_v, id_m]), return_inverse=True)
         p_v, p_m = position[: len(id_v)][a], position[len(id_v) :][b]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import zlib
 
@@ -746,3 +747,24 @@ def test_vectors_of_extreme_sizes(spark):
     rows = [(1, [1e-200, 0.0, 1e-200]), (2, [1e200, 0.0, 1.1e200]), (3, [1.0, 0.0, 1.0]), (4, [0.0, 5e-324, 0.0]), (5, [0.0, 1.7e308, 1e300]), (6, [-1e-300, 0.0, -1e-300])]
     got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_join.embedding_groups(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
     assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (1, 4), 5: (1, 4), 6: (0, 6)}
+
+
+def test_vectors_without_structure_visit_few_lists():
+    """The work of a vector is what it visits: a fifth of the lists here, about half with lists of 256; and tables between lists are not broadcast."""
+    x = np.random.default_rng(3).normal(size=(8000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    index = embedding_join.Index(x, len(x) // embedding_join.LIST_SIZE)
+    assert len(pickle.dumps(index)) < 1.5 * (index.centres.nbytes + sum(c.nbytes for c in index.codes))
+    home, lists = embedding_join._nearest(x, index.centres), np.arange(len(index.centres))
+    sizes = np.bincount(home, minlength=len(lists))
+    visits = index.visits(x[:500], home[:500], np.sqrt(0.2), lists)
+    assert (visits @ sizes).mean() < 0.3 * len(x)
+    # Of two vectors in two lists the one nearer to the border visits, whatever the other does, if they are linked.
+    y = x[:500] + np.random.default_rng(4).normal(size=(500, 64)) * 0.05
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    there = embedding_join._nearest(y, index.centres)
+    linked = ((x[:500] * y).sum(axis=1) >= 0.9) & (home[:500] != there)
+    out, back = index.to_border(x[:500], home[:500], there), index.to_border(y, there, home[:500])
+    rows = np.arange(500)
+    assert linked.sum() > 20
+    assert np.where(out <= back, visits[rows, there], index.visits(y, there, np.sqrt(0.2), lists)[rows, home[:500]])[linked].all()
