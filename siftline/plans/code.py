@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from functools import cache
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import code, links
 from ..operators.graph import durable, kept
+from . import made
 from .registry import query, table
 
 # A statement for each word: its kind and numbers come from the word's place, its length and the document.
@@ -22,42 +24,45 @@ root AS (SELECT doc_id, name, line, name AS root, line AS root_line, 0 AS hops F
 bound AS (SELECT r.doc_id, r.name, r.line, o.package, CASE WHEN r.hops = 0 THEN o.member END AS member, r.hops FROM root r JOIN defs o ON o.doc_id = r.doc_id AND o.line = r.root_line AND o.package IS NOT NULL)"""
 
 
-def _files(spark, d):
-    """project, path, text: one JavaScript file a document."""
-    docs = table(spark, d, "documents").where("text is not null")
-    words = F.split("text", r"[ \n]+")
-
-    def numbers(w, i):
-        line, size = (i + 1).cast("long"), F.length(w)
-        return F.struct(line.alias("line"), size.alias("size"), ((line * 7 + size * 3 + F.col("doc_id")) % 12).cast("int").alias("kind"))
-
-    def statement(word):
-        line, size, doc = word["line"], word["size"], F.col("doc_id")
-        s = lambda n: n.cast("string")
-        a, b = F.concat(F.lit("v"), s((line + size) % 6)), F.concat(F.lit("v"), s((line * 5 + size) % 6))
-        p, n = s((size + doc) % 9), (line + 2 * size) % 8
-        f = F.when(n == 7, "get").otherwise(F.concat(F.lit("fn"), s(n)))
-        t = F.concat(F.lit("m"), s(doc + size))
-        say = lambda *parts: F.concat(*(x if not isinstance(x, str) else F.lit(x) for x in parts))
-        near = F.when(size % 2 == 0, say("@/", t)).otherwise(say("./", t))
-        forms = [
-            say("import ", a, " from 'pkg", p, "';"), say("import { ", f, " as ", a, ' } from "pkg', p, '";'), say("const ", a, " = ", b, ".make(1); // ", a, ".", f, "(0)"), say("  ", a, " = new ", b, "( 2 )"), say(a, " = unknown", b, ";"),
-            say(a, ".", f, "(3);"), say(f, "(4);"), say("// ", a, ".", f, "(5);"), say("if (x) { ", a, ".deep?.", f, "('// no comment', 6) }"), say("import ", a, ", { other } from '", near, "';"),
-            say("export const ", a, " = ", b, ".x;"), say("export default ", b, ";"),
-        ]
-        out = None
-        for k, form in enumerate(forms):
-            out = F.when(word["kind"] == k, form) if out is None else out.when(word["kind"] == k, form)
-        return out
+# Which numbers of a word's statement are said by each kind: two names, a package, a function, a module.
+_SAYS = np.array([[k in kinds for k in range(12)] for kinds in ((0, 1, 2, 3, 4, 5, 7, 8, 9, 10), (2, 3, 4, 10, 11), (0, 1), (1, 2, 5, 6, 7, 8), (9,))], np.int64)
+
+
+def _statements(doc, place, size):
+    line, kind = place + 1, ((place + 1) * 7 + size * 3 + doc) % 12
+    a, b, p, n, t = (_SAYS[k][kind] * x for k, x in enumerate(((line + size) % 6, (line * 5 + size) % 6, (size + doc) % 9, (line + 2 * size) % 8, (doc + size) * 2 + size % 2)))
+    return made.spelled((((t * 8 + n) * 9 + p) * 6 + b) * 72 + a * 12 + kind, _statement)
+
 
+def _statement(code):
+    code, kind = divmod(code, 12)
+    code, a = divmod(code, 6)
+    code, b = divmod(code, 6)
+    code, p = divmod(code, 9)
+    t, n = divmod(code, 8)
+    a, b, f = f"v{a}", f"v{b}", "get" if n == 7 else f"fn{n}"
+    near = f"{'./' if t % 2 else '@/'}m{t // 2}"
+    return (
+        f"import {a} from 'pkg{p}';", f'import {{ {f} as {a} }} from "pkg{p}";', f"const {a} = {b}.make(1); // {a}.{f}(0)", f"  {a} = new {b}( 2 )", f"{a} = unknown{b};",
+        f"{a}.{f}(3);", f"{f}(4);", f"// {a}.{f}(5);", f"if (x) {{ {a}.deep?.{f}('// no comment', 6) }}", f"import {a}, {{ other }} from '{near}';",
+        f"export const {a} = {b}.x;", f"export default {b};",
+    )[kind]
+
+
+def _path():
     tail = F.when(F.col("doc_id") % 5 == 0, "/index.js").otherwise(".js")
-    path = F.concat(F.lit("src/"), F.col("lang"), F.lit("/m"), F.col("doc_id").cast("string"), tail)
-    return docs.select(F.lit("all").alias("project"), path.alias("path"), F.array_join(F.transform(F.transform(words, numbers), statement), "\n").alias("text"))
+    return F.concat(F.lit("src/"), F.col("lang"), F.lit("/m"), F.col("doc_id").cast("string"), tail)
+
+
+def _files(spark, d):
+    """project, path, text: one JavaScript file a document."""
+    return made.files(table(spark, d, "documents"), F.lit("all"), _path(), _statements)
 
 
-def _traced(spark, d, uses):
-    """What the files hold, read once: every later step reads this."""
-    return kept(code.traced_files(_files(spark, d), uses))
+def _traced(spark, d, uses, calls=False):
+    """What the files hold that goes back to an import, read once: every later step reads this; and the packages of its imports."""
+    traced = kept(code.traced_files(_files(spark, d), uses, calls, tied=True).drop("own", "use" if not calls else "x"))
+    return traced, kept(code.spec_owners(traced.where("spec is not null"), _packages(spark)))
 
 
 def _packages(spark):
@@ -79,7 +84,8 @@ def _doc(path="path"):
 )
 def j21(spark, d):
     """Which names of every file come from which package, over any number of assignments; a later definition ends an earlier one."""
-    bound = code.traced_bindings(_traced(spark, d, False).where(F.col("role") == links.DEFINITION), _packages(spark))
+    traced, packages = _traced(spark, d, False)
+    bound = code.traced_bindings(traced.where(F.col("role") == links.DEFINITION), packages)
     return bound.select(_doc(), "line", "name", "package", "member", "hops")
 
 
@@ -97,14 +103,14 @@ through AS (SELECT r.doc_id, r.line, r.name, o.package, r.hops FROM root r JOIN
 )
 def j22(spark, d):
     """Names that come from a package through one module of the project, by relative paths, aliases and index files."""
-    traced = _traced(spark, d, True)
+    traced, packages = _traced(spark, d, True)
     names = traced.where((F.col("role") == links.DEFINITION) & F.col("spec").isNotNull())
-    return names.join(_modules(spark, d, traced), [*code.FILE, "spec", "original"]).select(_doc(), "line", "name", "package", "hops")
+    return names.join(_modules(spark, d, traced, packages), [*code.FILE, "spec", "original"]).select(_doc(), "line", "name", "package", "hops")
 
 
-def _modules(spark, d, traced):
+def _modules(spark, d, traced, packages):
     aliases = spark.createDataFrame(_aliases(), "project string, prefix string, target string, ordinal int")
-    return kept(code.traced_modules(traced, _packages(spark), _files(spark, d), aliases))
+    return kept(code.traced_modules(traced, packages, table(spark, d, "documents").where("text is not null").select(F.lit("all").alias("project"), _path().alias("path")), aliases))
 
 
 _SQL_CALLS = """calls AS (SELECT doc_id, path, lang, line, k, CASE k WHEN 2 THEN 'make' WHEN 3 THEN b ELSE f END AS name, CASE k WHEN 2 THEN b WHEN 3 THEN b WHEN 5 THEN a WHEN 8 THEN a ELSE f END AS head,
@@ -124,13 +130,13 @@ s AS (SELECT a.package, a.fun AS "function", a.class, CASE WHEN NOT distributed
 
 
 def _sites(spark, d):
-    traced = _traced(spark, d, True)
+    traced, packages = _traced(spark, d, True, True)
     n = F.col("p_partkey")
     s = lambda x: x.cast("string")
     function = F.when((n % 13 == 0) | (n % 5 == 4), None).when(n % 7 == 6, "make").when(n % 10 == 7, "get").otherwise(F.concat(F.lit("fn"), s(n % 10)))
     klass = F.when(n % 13 == 0, None).when(n % 5 == 4, F.when(n % 3 == 0, "Klass").otherwise(F.concat(F.lit("fn"), s(n % 8))))
     symbols = table(spark, d, "part").select(F.concat(F.lit("pkg"), s(n % 11)).alias("package"), function.alias("function"), klass.alias("class"), (n % 17 != 0).alias("distributed"))
-    return code.traced_call_sites(symbols, traced, _packages(spark), _modules(spark, d, traced), F.contains("path", F.lit("/fr/")))
+    return code.traced_call_sites(symbols, traced, packages, _modules(spark, d, traced, packages), F.contains("path", F.lit("/fr/")))
 
 
 @query(
