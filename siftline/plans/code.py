@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import code, links
-from ..operators.graph import durable, kept
+from ..operators.graph import kept
 from . import made
 from .registry import query, table
 
@@ -183,23 +183,17 @@ def p38(spark, d):
     """A file for each document, in one of three languages, with classes, nested braces, braces in strings and comments, and functions that the end of the file cuts."""
     from ..operators import declarations
 
-    docs = table(spark, d, "documents").where("text is not null")
-    lang = F.element_at(F.array(F.lit("js"), F.lit("php"), F.lit("py")), (F.col("doc_id") % 3 + 1).cast("int"))
-
-    def line(k, suffix):
-        out = F.lit("")
-        for r, form in enumerate(_FORMS[suffix]):
-            head, _, tail = form.partition("%s")
-            said = F.lit(head) if "%s" not in form else F.concat(F.lit(head), k.cast("string"), F.lit(tail))
-            if head.startswith("{e}"):
-                said = F.concat(F.when(F.col("doc_id") % 2 == 0, "export ").otherwise(""), F.lit(head[3:]), k.cast("string"), F.lit(tail))
-            out = F.when(k % 12 == r, said).otherwise(out)
-        return out
-
-    every = lambda suffix: F.array_join(F.transform(F.split("text", r"[ \n]+"), lambda w, k: line(k, suffix)), "\n")
-    text = F.when(lang == "js", every("js")).when(lang == "php", every("php")).otherwise(every("py"))
-    files = docs.select(F.lit("all").alias("project"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("."), lang).alias("path"), text.alias("text"))
-    found = declarations.declarations(durable(files))
+    suffixes = list(_FORMS)
+    lang = F.element_at(F.array(*map(F.lit, suffixes)), (F.col("doc_id") % 3 + 1).cast("int"))
+
+    def say(code):
+        k, which = divmod(code, 6)
+        form = _FORMS[suffixes[which // 2]][k % 12]
+        return form.replace("{e}", "" if which % 2 else "export ").replace("%s", str(k))
+
+    lines = lambda doc, place, size: made.spelled(place * 6 + doc % 3 * 2 + doc % 2, say)
+    files = made.files(table(spark, d, "documents"), F.lit("all"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit("."), lang), lines)
+    found = declarations.declarations(files)
     return found.select(F.regexp_extract("path", r"^m(\d+)", 1).cast("long").alias("doc_id"), "name", "owner", "visibility", "first", "last")
 
 
