@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import takewhile
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .code import FILE
-from .graph import durable, reach
+from .graph import durable, kept, reach
 from .joins import prefixes
+from .parsing import AT_ONCE, REMEMBERED, first_of, has, java, replaced
 
 _METHOD = r"^\s*(?:(?:public|private|protected|static|final|abstract)\s+)*function\s+&?(\w+)"
 _CLASS = r"^\s*(?:final\s+|abstract\s+)?class\s+(\w+)"
@@ -41,6 +45,59 @@ def route_prefixes(files: DataFrame) -> DataFrame:
     return entries.where(F.col("prefix").isNotNull() & named.rlike(r"(?:\.\./|^)src/")).select("project", F.replace(target, F.lit("//"), F.lit("/")).alias("target"), "prefix").groupBy("project", "target").agg(F.min("prefix").alias("prefix"))
 
 
+_PLACED = "project string, path string, class string, method string, first long, last long, route string, verbs string, declared_by string, level string, class_prefix string"
+
+
+def _said(line: str) -> tuple[str, str, str | None] | None:
+    """Method, class and mark of a line; None where it says none of them."""
+    if not ("function" in line or "class" in line or "Route" in line):
+        return None
+    found = first_of(_METHOD, line), first_of(_CLASS, line), "attribute" if has(_ATTRIBUTE, line) else "annotation" if has(_ANNOTATION, line) else None
+    return found if any(found) else None
+
+
+def _arguments(args: str) -> tuple[str | None, str | None]:
+    """Path and verbs of a mark."""
+    m = java(r"""path\s*[:=]\s*["']([^"']*)["']""").search(args) or java(r"""["']([^"']*)["']""").search(args)
+    verbs = first_of(r"""methods\s*[:=]\s*(\[[^\]]*\]|["'][^"']*["'])""", args)
+    return m and m[1], replaced(r"""^[\[\]"' ]+|[\[\]"' ]+$""", verbs, "") if verbs else None
+
+
+def _of_file(path: str, text: str, said: Callable, arguments: Callable) -> Iterator[tuple]:
+    """The rows of a file as in ``_PLACED``, without project and path."""
+    lines = text.replace("\r\n", "\n").split("\n")
+    rows = [(n, *x) for n, x in enumerate(map(said, lines), 1) if x]
+    named = next(((n, name) for n, _, name, _ in rows if name), (0, None))
+    marks = [(n, mark, "class" if n < named[0] else "method", *arguments(" ".join([lines[n - 1], *takewhile(lambda c: not ((x := said(c)) and x[2]), lines[n : n + ARGUMENT_LINES - 1])]))) for n, _, _, mark in rows if mark]
+    prefix = next((route for _, _, level, route, _ in marks if level == "class"), None)
+    methods = [(n, method) for n, method, _, _ in rows if method]
+    stem, last = first_of(r"([^/]+)\.php$", path), [n - 1 for n, _ in methods[1:]] + [len(lines)]
+    for (n, method), end in zip(methods, last, strict=False):
+        yield stem, method, n, end, None, None, None, None, None
+    k = 0
+    for n, mark, level, route, verbs in marks:
+        while k < len(methods) and methods[k][0] <= n:
+            k += 1
+        if k < len(methods):
+            yield named[1], methods[k][1], methods[k][0], last[k], route, verbs, mark, level, prefix
+
+
+def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    said, arguments = lru_cache(REMEMBERED)(_said), lru_cache(REMEMBERED)(_arguments)
+    types = [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string()] * 5
+    for batch in batches:
+        texts, paths, at, rows = batch.column("text"), batch.column("path").to_pylist(), [], []
+        for k, path in enumerate(paths):
+            more = list(_of_file(path, texts[k].as_py(), said, arguments))
+            at += [k] * len(more)
+            rows += more
+            if len(rows) >= AT_ONCE or k == len(paths) - 1:
+                place, columns = pa.array(at, pa.int64()), list(zip(*rows, strict=True)) or [()] * len(types)
+                arrays = [batch.column("project").take(place), batch.column("path").take(place), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))]
+                yield pa.RecordBatch.from_arrays(arrays, names=[x.split()[0] for x in _PLACED.split(", ")])
+                at, rows = [], []
+
+
 def routes(files: DataFrame) -> DataFrame:
     """project, path, class, method, first, last, route, verbs, declared_by, level, address: the HTTP entry points of PHP files.
 
@@ -48,48 +105,16 @@ def routes(files: DataFrame) -> DataFrame:
     first method (``level`` is class). A method ends before the next one begins. Methods that a route file names and that no mark names are
     routes without an address (``declared_by`` is yaml). The address is the prefix of the file or its nearest directory, then the class's, then the route's own.
     """
-    code = files.where(F.col("path").rlike(r"\.php$") & F.col("text").isNotNull()).select(*FILE, F.split("text", r"\r?\n").alias("_all"))
-    # Only the lines that may say something leave their file's array, with the arguments that follow a mark.
-    # An outer explode, as the filter that Spark puts below a plain one would split the text anew for every line.
-    any_of = lambda c, *words: reduce(Column.__or__, (F.contains(c, F.lit(w)) for w in words))
-
-    def arguments(c: Column, i: Column) -> Column:
-        """The line and those behind it: the arguments may run over several lines, but not into the next mark."""
-        behind = F.array(*(F.get("_all", i + k) for k in range(1, ARGUMENT_LINES)))
-        stop = F.array_position(F.transform(behind, lambda x: x.rlike(f"{_ATTRIBUTE}|{_ANNOTATION}")), F.lit(True)).cast("int")
-        return F.when(F.contains(c, F.lit("Route")), F.concat_ws(" ", c, F.slice(behind, F.lit(1), F.when(stop > 0, stop - 1).otherwise(ARGUMENT_LINES))))
-
-    said = F.filter(F.transform("_all", lambda c, i: F.when(any_of(c, "function", "class", "Route"), F.struct((i + 1).cast("long").alias("line"), c.alias("code"), arguments(c, i).alias("args")))), lambda x: x.isNotNull())
-    rows = code.select(*FILE, F.size("_all").cast("long").alias("lines"), F.explode_outer(said).alias("x")).select(*FILE, "lines", "x.*")
-    attribute = F.col("code").rlike(_ATTRIBUTE)
-    some = lambda pattern: F.nullif(F.regexp_extract("args", pattern, 1), F.lit(""))
-    named, positional = r"""path\s*[:=]\s*["']([^"']*)["']""", r"""["']([^"']*)["']"""
-    path = F.when(F.col("args").rlike(named), F.regexp_extract("args", named, 1)).when(F.col("args").rlike(positional), F.regexp_extract("args", positional, 1))
-    verbs = F.regexp_replace(some(r"""methods\s*[:=]\s*(\[[^\]]*\]|["'][^"']*["'])"""), r"""^[\[\]"' ]+|[\[\]"' ]+$""", "")
-    mark = F.when(attribute, "attribute").when(F.col("code").rlike(_ANNOTATION), "annotation")
-    found = rows.select(
-        *FILE, "lines", "line", F.nullif(F.regexp_extract("code", _METHOD, 1), F.lit("")).alias("method"), F.nullif(F.regexp_extract("code", _CLASS, 1), F.lit("")).alias("named"), mark.alias("declared_by"),
-        F.when(mark.isNotNull(), path).alias("route"), F.when(mark.isNotNull(), verbs).alias("verbs"),
-    ).where("method is not null or named is not null or declared_by is not null")
-    # One shuffle and one order of a file's rows tell the next method, its end, the class and the class's prefix.
-    of = Window.partitionBy(*FILE)
-    upcoming = of.orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
-    follows = found.withColumn("_after", F.last(F.when(F.col("method").isNotNull(), F.col("line")), ignorenulls=True).over(upcoming))
-    span = F.when(F.col("method").isNotNull(), F.struct(F.col("line").alias("first"), "method", F.coalesce(F.col("_after") - 1, F.col("lines")).alias("last")))
-    placed = follows.withColumns({"next": F.last(span, ignorenulls=True).over(upcoming), "_class": F.min(F.when(F.col("named").isNotNull(), F.struct("line", "named"))).over(of)})
-    placed = placed.withColumn("class", F.col("_class.named"))
-    level = F.when(F.col("line") < F.col("_class.line"), "class").otherwise("method")
-    placed = placed.withColumn("class_prefix", F.min(F.when(F.col("declared_by").isNotNull() & (level == "class"), F.struct("line", "route"))).over(of)["route"])
-    own = placed.where("declared_by is not null and next is not null").select(*FILE, "class", "next.method", "next.first", "next.last", "route", "verbs", "declared_by", level.alias("level"), "class_prefix")
+    code = files.where(F.col("path").rlike(r"\.php$") & F.col("text").isNotNull())
+    # Read once: marks with their methods, and methods by themselves.
+    placed = kept(code.select(*FILE, "text").mapInArrow(_placed, _PLACED))
+    own = placed.where("declared_by is not null")
 
     given = _lines(files, r"(?:^|/)config/routes(?:\.yaml$|/.*\.yaml$)").select("project", F.explode(F.regexp_extract_all("code", F.lit(r"""controller\s*:\s*['"]?([\w\\]+::\w+)"""), 1)).alias("controller"))
     given = given.select("project", F.element_at(F.split(F.split("controller", "::")[0], r"\\"), -1).alias("class"), F.split("controller", "::")[1].alias("method")).distinct()
     # Of the named methods one table holds where they are and whether a mark names them.
-    stem = F.regexp_extract("path", r"([^/]+)\.php$", 1)
-    place = F.struct("path", F.col("line").alias("first"), F.coalesce(F.col("_after") - 1, F.col("lines")).alias("last"))
-    here = F.when(F.col("method").isNotNull(), F.struct(stem.alias("class"), "method", place.alias("s"), F.lit(False).alias("marked")))
-    named_by = F.when(F.col("declared_by").isNotNull() & F.col("next").isNotNull(), F.struct("class", F.col("next.method").alias("method"), F.lit(None).cast("struct<path:string,first:bigint,last:bigint>").alias("s"), F.lit(True).alias("marked")))
-    asked = placed.select("project", F.explode(F.array(here, named_by)).alias("k")).where("k is not null").select("project", "k.*").join(given, ["project", "class", "method"], "left_semi")
+    place = F.when(F.col("declared_by").isNull(), F.struct("path", "first", "last"))
+    asked = placed.select("project", "class", "method", place.alias("s"), F.col("declared_by").isNotNull().alias("marked")).join(given, ["project", "class", "method"], "left_semi")
     yaml = asked.groupBy("project", "class", "method").agg(F.min("s").alias("s"), F.bool_or("marked").alias("marked")).where("not marked")
     yaml = yaml.select("project", "s.path", "class", "method", "s.first", "s.last", F.lit("yaml").alias("declared_by"), F.lit("method").alias("level"))
 
